@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lumigrid.llm import sharding, url_filter
+from lumigrid.llm import license_scan, sharding, url_filter, warc
 
 QUERIES = {
+    "op3_warc": warc.op3_warc,
     "op5_shards": sharding.op5_shards,
+    "op8_licenses": license_scan.op8_licenses,
     "op9_url_filter": url_filter.op9_url_filter,
 }
 ORACLES = {
+    "op8_licenses": license_scan.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
 }
