@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lumigrid.llm import license_scan, sharding, simhash, url_filter, warc
+from lumigrid.llm import fingerprints, license_scan, sharding, simhash, url_filter, warc
 
 QUERIES = {
+    "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_simhash": simhash.op2_simhash,
     "op3_warc": warc.op3_warc,
     "op5_shards": sharding.op5_shards,
