@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumigrid.llm import decontaminate, fingerprints, langid, license_scan, sharding, simhash, toxicity, url_filter, warc
+from lumigrid.llm import bpe, decontaminate, fingerprints, langid, license_scan, sharding, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op2_simhash": simhash.op2_simhash,
     "op3_warc": warc.op3_warc,
+    "op4_bpe": bpe.op4_bpe,
     "op5_shards": sharding.op5_shards,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_toxicity": toxicity.op7_toxicity,
