@@ -230,10 +230,10 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda x: F.element_at(table_, x + 1)), ""))
 
 
-def digests(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """Counts and checksums of encoded (doc_id, ids), decoded again."""
+def digests(encoded: DataFrame, ranks: dict[bytes, int], with_ids: bool = False) -> DataFrame:
+    """Counts and checksums of encoded (doc_id, ids), decoded again; the ids too if wanted."""
     numbers = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", *["ids"] * with_ids, F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
