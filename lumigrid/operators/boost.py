@@ -64,17 +64,17 @@ def vote(x: Column, stump: Stump) -> Column:
     return stump.polarity * F.get(x, F.lit(stump.feature_id)) < stump.polarity * stump.threshold
 
 
-def train(samples: DataFrame, rounds: int) -> Strong:
+def train(samples: DataFrame, rounds: int, found: tuple[Stump, ...] = ()) -> Strong:
     """Boosted stumps; the threshold is half the sum of the alphas.
 
-    Weights after a round follow from the stumps so far, so each round reads the samples as they are and adds one row
+    found: stumps of an earlier training on the same samples, which goes on from there. Weights after a round follow from the stumps so far, so each round reads the samples as they are and adds one row
     to what the driver holds; no lineage grows.
     """
     own = Window.partitionBy("y")
     start = samples.select("sample_id", "y", "x", (1.0 / (2.0 * F.count("*").over(own))).alias("w0")).persist()
     try:
-        found: list[Stump] = []
-        for _ in range(rounds):
+        found = list(found)
+        while len(found) < rounds:
             weight = F.col("w0")
             for s in found:
                 beta = math.exp(-s.alpha)

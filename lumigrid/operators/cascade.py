@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
-from lumigrid.functions.geometry import contrast_at_scale, window_variance
+from lumigrid.functions.geometry import D4, H2, H3, V2, V3
 from lumigrid.operators import boxes as box_ops
 from lumigrid.operators.boost import Strong, classify, confusion
-from lumigrid.operators.images import integral_arrays
-from lumigrid.operators.windows import BASE, detector_windows, ladder_rows
+from lumigrid.operators.windows import scale_ladder
 
 
 @dataclass(frozen=True)
@@ -65,47 +67,78 @@ def evaluate(samples: DataFrame, stages: list[Strong]) -> tuple[float, float]:
     return row["dr"], row["fpr"]
 
 
-def accept(ii: Column, width: Column, scale: Column, win_r: Column, win_c: Column, variance: Column, stages: list[Stage]) -> Column:
-    """Whether all stages accept a window; nested cases, so a rejected window costs no later stage."""
-    norm = 1.0 / (scale * scale * F.sqrt(variance))
-    out = F.lit(True)
-    for stage in reversed(stages):
-        total = F.lit(0.0)
-        for weak in stage.weak:
-            feature = {k: F.lit(getattr(weak, k)) for k in ("ftype", "r", "c", "h", "w")}
-            value = contrast_at_scale(ii, width, feature, scale, win_r, win_c) * norm
-            total = total + F.when(weak.polarity * value < weak.polarity * weak.threshold, weak.alpha).otherwise(0.0)
-        out = F.when(total >= stage.threshold, out).otherwise(False)
-    return F.when(variance < 1e-4, False).otherwise(out)
+def _corners(ii: np.ndarray, r: np.ndarray, c: np.ndarray, h: int, w: int) -> np.ndarray:
+    return ii[r + h, c + w] + ii[r, c] - ii[r, c + w] - ii[r + h, c]
 
 
-def candidate_windows(images: DataFrame, height: int, width: int, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Windows (img_id, scale, win, r, c, var) of images (img_id, h, w, px) of one size that are not flat, with tables.
+def _contrasts(ii: np.ndarray, weak: Weak, scale: float, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The value of one feature in many windows of a scale."""
+    r, c = r + round(weak.r * scale), c + round(weak.c * scale)
+    h, w = max(1, round(weak.h * scale)), max(1, round(weak.w * scale))
+    s = lambda down, across: _corners(ii, r + down * h, c + across * w, h, w)
+    if weak.ftype == H2:
+        return s(0, 1) - s(0, 0)
+    if weak.ftype == V2:
+        return s(1, 0) - s(0, 0)
+    if weak.ftype == H3:
+        return s(0, 1) - s(0, 0) - s(0, 2)
+    if weak.ftype == V3:
+        return s(1, 0) - s(0, 0) - s(2, 0)
+    if weak.ftype == D4:
+        return s(0, 0) + s(1, 1) - s(0, 1) - s(1, 0)
+    raise ValueError(f"unknown feature type {weak.ftype}")
 
-    The windows of a size are few, and broadcast; an image's tables stay where the image is.
+
+def scan_image(px: np.ndarray, stages: list[Stage], cfg: DetectorConfig) -> list[tuple[int, int, int]]:
+    """(r, c, win) of the windows that are not flat and that all stages accept, by scale, row, column.
+
+    Each stage sees only the windows that the stages before it accepted.
     """
-    spark = images.sparkSession
-    ladder = ladder_rows(spark, height, width, factor=cfg.scale_factor, least=cfg.min_face, most=cfg.max_face)
-    grid = detector_windows(ladder, height, width, cfg.step_factor).select("scale", "win", "r", "c")
-    placed = integral_arrays(images).crossJoin(F.broadcast(grid))
-    var = window_variance(F.col("ii"), F.col("ii_sq"), F.col("w"), F.col("r"), F.col("c"), F.col("win"))
-    return placed.withColumn("var", var).where(F.col("var") >= cfg.flat_variance)
+    height, width = px.shape
+    tables = np.zeros((2, height + 1, width + 1))
+    tables[0, 1:, 1:], tables[1, 1:, 1:] = px.cumsum(0).cumsum(1), (px * px).cumsum(0).cumsum(1)
+    out = []
+    for _, scale, win in scale_ladder(height, width, cfg.scale_factor, cfg.min_face, cfg.max_face):
+        step = max(1, round(scale * cfg.step_factor))
+        r, c = np.meshgrid(np.arange(0, height - win - 3, step), np.arange(0, width - win - 3, step), indexing="ij")
+        r, c = r.ravel(), c.ravel()
+        mean = _corners(tables[0], r, c, win, win) / (win * win)
+        var = np.maximum(0.0, _corners(tables[1], r, c, win, win) / (win * win) - mean * mean)
+        alive = (var >= cfg.flat_variance) & (var >= 1e-4)
+        r, c, norm = r[alive], c[alive], 1.0 / (scale * scale * np.sqrt(var[alive]))
+        for stage in stages:
+            total = np.zeros(len(r))
+            for weak in stage.weak:
+                value = _contrasts(tables[0], weak, scale, r, c) * norm
+                total += np.where(weak.polarity * value < weak.polarity * weak.threshold, weak.alpha, 0.0)
+            passed = total >= stage.threshold
+            r, c, norm = r[passed], c[passed], norm[passed]
+        out += [(int(y), int(x), win) for y, x in zip(r, c)]
+    return out
 
 
-def accepted_windows(images: DataFrame, height: int, width: int, stages: list[Stage], cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """The candidate windows that the cascade accepts, as boxes with ids in the order scale, row, column."""
-    from pyspark.sql import Window
+def accepted_windows(images: DataFrame, stages: list[Stage], cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+    """The windows of images (img_id, h, w, px) that the cascade accepts, as boxes with ids in the order of scan_image.
+
+    An image is scanned where it is: nothing is joined or shuffled, and images may differ in size.
+    """
+    names = ("img_id", "box_id", "x", "y", "w", "h")
+    schema = pa.schema([(n, pa.int64()) for n in names])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for img_id, h, w, px in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                found = scan_image(np.asarray(px.values, np.float64).reshape(h, w), stages, cfg)
+                rows += [(img_id, k, c, r, win, win) for k, (r, c, win) in enumerate(found, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(names), schema=schema)
 
-    found = candidate_windows(images, height, width, cfg)
-    kept = found.where(accept(F.col("ii"), F.col("w"), F.col("scale"), F.col("r"), F.col("c"), F.col("var"), stages))
-    order = Window.partitionBy("img_id").orderBy("scale", "r", "c")
-    named = kept.select("img_id", "scale", "r", "c", "win").withColumn("box_id", F.row_number().over(order).cast("long"))
-    return named.select("img_id", "box_id", F.col("c").alias("x"), F.col("r").alias("y"), F.col("win").alias("w"), F.col("win").alias("h"))
+    return images.select(F.col("img_id").cast("long"), "h", "w", "px").mapInArrow(scan, ", ".join(f"{n} long" for n in names))
 
 
-def detect(images: DataFrame, height: int, width: int, stages: list[Stage], cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def detect(images: DataFrame, stages: list[Stage], cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Merged boxes of the accepted windows of each image."""
-    return box_ops.post_process(accepted_windows(images, height, width, stages, cfg), cfg.mode, cfg.threshold, cfg.min_votes)
+    return box_ops.post_process(accepted_windows(images, stages, cfg), cfg.mode, cfg.threshold, cfg.min_votes)
 
 
 def growth_schedule(most: int, start: int = 2) -> list[int]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumigrid.operators.boost import Strong, train
-from lumigrid.operators.cascade import evaluate, growth_schedule, refill_negatives
+from lumigrid.operators.boost import Strong, score, train
+from lumigrid.operators.cascade import growth_schedule, refill_negatives, survivors
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,8 @@ def train_cascade(positives: DataFrame, negatives: DataFrame, validation: DataFr
         n = max(2, len(stages[-1].stumps)) if stages else 2
         rows = positives.select("sample_id", "y", "x").unionByName(pool.select("sample_id", "y", "x"))
         while chosen is None:
-            trial = _lower(train(rows, n), stages, validation, goal_dr, cfg)
+            model = train(rows, n, model.stumps if history else ())
+            trial = _lower(model, stages, validation, goal_dr, cfg)
             history.append(trial)
             if trial.fpr <= goal_fpr and trial.dr >= goal_dr:
                 chosen = trial
@@ -79,9 +81,20 @@ def train_cascade(positives: DataFrame, negatives: DataFrame, validation: DataFr
 
 
 def _lower(model: Strong, stages: list[Strong], validation: DataFrame, goal_dr: float, cfg: CascadeTrainConfig) -> Trial:
-    """The model with its threshold lowered by steps until the cascade's detection rate reaches the goal."""
-    dr, fpr = evaluate(validation, [*stages, model])
-    while dr < goal_dr and model.threshold > cfg.least_threshold:
-        model = replace(model, threshold=model.threshold - cfg.step)
-        dr, fpr = evaluate(validation, [*stages, model])
-    return Trial(model, dr, fpr)
+    """The model with its threshold lowered by steps until the cascade's detection rate reaches the goal.
+
+    One job counts the validation samples by the steps that each needs; there are no more steps than the bounds allow.
+    """
+    steps = F.ceil((F.lit(model.threshold) - score(F.col("x"), model)) / cfg.step - 1e-9)
+    reached = survivors(validation, stages).where(F.col("passed") == len(stages)).select("sample_id") if stages else None
+    rows = validation.join(reached, "sample_id", "left_semi") if stages else validation
+    totals = {r["y"]: r["count"] for r in validation.groupBy("y").count().collect()}
+    counts = {(r["y"], r["step"]): r["count"] for r in rows.groupBy("y", F.greatest(F.lit(0), steps).alias("step")).count().collect()}
+    most, k, hits = max(0, math.ceil((model.threshold - cfg.least_threshold) / cfg.step)), 0, {0: 0, 1: 0}
+    while True:
+        for y in (0, 1):
+            hits[y] += counts.get((y, k), 0)
+        dr, fpr = (hits[y] / totals[y] if totals.get(y) else 0.0 for y in (1, 0))
+        if dr >= goal_dr or k >= most:
+            return Trial(replace(model, threshold=model.threshold - k * cfg.step), dr, fpr)
+        k += 1

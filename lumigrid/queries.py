@@ -1,6 +1,409 @@
-"""The registered queries over the driver's tables and their DuckDB SQL."""
+"""The registered queries over the driver's tables; their DuckDB SQL is in lumigrid.oracles."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from lumigrid.functions import geometry
+from lumigrid.operators import boost, boxes, cascade, dataset, images, windows
+from lumigrid.operators.cascade import DetectorConfig, Stage, Weak
+from lumigrid.oracles import ORACLES as ORACLES
+from lumigrid.session import table
+from lumigrid.sources import models, parsers, views
+from lumigrid.streaming import video
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+#: Rectangles (r, c, h, w) of the queries over 8 x 8 patches.
+RECTS = [(0, 0, 8, 8), (0, 0, 4, 4), (2, 3, 3, 4), (7, 7, 1, 1), (1, 0, 1, 8)]
+#: A small cascade for 24 x 24 windows of the frames.
+MODEL = [
+    Stage((Weak(0, 0, 0, 24, 12, 150.0, 1, 1.0), Weak(1, 0, 0, 12, 24, -40.0, -1, 0.8)), 0.8),
+    Stage((Weak(2, 4, 0, 12, 8, 30.0, -1, 0.9), Weak(4, 0, 0, 12, 12, 60.0, 1, 0.7), Weak(3, 0, 4, 8, 12, 0.0, 1, 0.4)), 0.9),
+]
+DETECTOR = DetectorConfig(threshold=0.3, min_votes=2)
+#: Two boosted stages over the samples, as fixed numbers.
+STAGES = [
+    boost.Strong((boost.Stump(5, 0.05, 1, 0.7), boost.Stump(17, -0.02, -1, 0.5)), 0.5),
+    boost.Strong((boost.Stump(40, 0.01, 1, 0.6), boost.Stump(2, 0.0, -1, 0.6), boost.Stump(61, 0.03, 1, 0.3)), 0.6),
+]
+ROUNDS = 3
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    return views.pixels(views.patches(spark, d))
+
+
+def _tables(spark: SparkSession, d: str) -> DataFrame:
+    sized = views.patches(spark, d).select("img_id", F.lit(views.SIDE).alias("h"), F.lit(views.SIDE).alias("w"), "px")
+    return images.integral_arrays(sized)
+
+
+@query
+def gray_pixels(spark, d):
+    """Three neighbouring pixels as blue, green and red."""
+    px = _pixels(spark, d)
+    row = Window.partitionBy("img_id", "r").orderBy("c")
+    shifted = px.withColumn("g", F.coalesce(F.lead("v", 1).over(row), F.lit(0))).withColumn("b", F.coalesce(F.lead("v", 2).over(row), F.lit(0)))
+    return shifted.select("img_id", "r", "c", images.gray(F.col("v"), F.col("g"), F.col("b")).alias("gray"))
+
+
+@query
+def variance_normalize(spark, d):
+    px = _pixels(spark, d)
+    both = images.normalise_or_zero(px).withColumnRenamed("z", "za").join(images.normalise_or_drop(px).withColumnRenamed("z", "zb"), ["img_id", "r", "c"], "left")
+    return both.select("img_id", "r", "c", F.round("za", 6).alias("za"), F.round("zb", 6).alias("zb"))
+
+
+@query
+def minmax_quantize(spark, d):
+    return images.quantise(_pixels(spark, d))
+
+
+@query
+def area_downscale(spark, d):
+    return images.downscale(_pixels(spark, d), 2)
+
+
+@query
+def histogram_equalize(spark, d):
+    return images.equalise(_pixels(spark, d))
+
+
+@query
+def integral_image(spark, d):
+    return images.integral(_pixels(spark, d)).select("img_id", "r", "c", "ii")
+
+
+@query
+def integral_image_sq(spark, d):
+    return images.integral(_pixels(spark, d)).select("img_id", "r", "c", "ii_sq")
+
+
+@query
+def rect_sum(spark, d):
+    rects = spark.createDataFrame([(k, *r) for k, r in enumerate(RECTS)], "rect_id int, r int, c int, h int, w int")
+    own = _tables(spark, d).select("img_id", "ii", "ii_sq").crossJoin(F.broadcast(rects))
+    s = lambda t: geometry.rect_sum(F.col(t), views.SIDE, F.col("r"), F.col("c"), F.col("h"), F.col("w")).cast("long")
+    return own.select("img_id", "rect_id", s("ii").alias("total"), s("ii_sq").alias("total_sq"))
+
+
+def _patch_windows(spark, d) -> DataFrame:
+    places = F.sequence(F.lit(0), F.lit(4), F.lit(2))
+    own = _tables(spark, d).withColumn("r", F.explode(places)).withColumn("c", F.explode(places))
+    return own.select("img_id", "r", "c", geometry.window_variance(F.col("ii"), F.col("ii_sq"), views.SIDE, F.col("r"), F.col("c"), F.lit(4)).alias("var"))
+
+
+@query
+def window_variance(spark, d):
+    return _patch_windows(spark, d).select("img_id", "r", "c", F.round("var", 6).alias("var"))
+
+
+@query
+def flat_patch_filter(spark, d):
+    """Windows that the limits 50, 10 and 1e-4 keep, in hundreds of the variance so that all limits matter."""
+    v = F.round("var", 6) / 100
+    return _patch_windows(spark, d).groupBy("img_id").agg(F.count_if(v >= 50).alias("texture"), F.count_if(v >= 10).alias("detector"), F.count_if(v >= 1e-4).alias("cascade"))
+
+
+@query
+def haar_enumerate(spark, d):
+    return windows.enumerate_features(spark, 24, 3)
+
+
+@query
+def haar_type_counts(spark, d):
+    counted = [windows.enumerate_features(spark, 24, s).groupBy("ftype").agg(F.count("*").alias("n")).select(F.lit(s).alias("stride"), "ftype", "n") for s in (1, 2, 3)]
+    return counted[0].union(counted[1]).union(counted[2])
+
+
+@query
+def haar_stride_adaptive(spark, d):
+    n = table(spark, d, "embeddings").groupBy("label").agg((F.count("*") * 21).alias("n_pos"))
+    return n.select("label", "n_pos", windows.adaptive_stride(F.col("n_pos")).alias("stride"))
+
+
+@query
+def scale_ladder(spark, d):
+    return windows.ladder_rows(spark, 288, 384)
+
+
+@query
+def window_grid(spark, d):
+    return windows.window_grid(windows.ladder_rows(spark, 64, 64), 64, 64, 1.5)
+
+
+@query
+def detector_windows(spark, d):
+    return windows.detector_windows(windows.ladder_rows(spark, 360, 480, least=60, most=140), 360, 480)
+
+
+@query
+def haar_feature_values(spark, d):
+    return windows.feature_values(_tables(spark, d), windows.enumerate_features(spark, 8, 3))
+
+
+@query
+def haar_feature_at_scale(spark, d):
+    framed = images.integral_arrays(views.frames(spark, d))
+    return windows.feature_values_at_scale(framed, windows.enumerate_features(spark, 8, 3), 2.5, 7, 11)
+
+
+@query
+def weights_init(spark, d):
+    return boost.initial_weights(views.samples(spark, d)).select("sample_id", "y", F.round("weight", 12).alias("weight"))
+
+
+def _weighted(spark, d) -> DataFrame:
+    rows = views.samples(spark, d)
+    return rows.join(boost.initial_weights(rows).drop("y"), "sample_id")
+
+
+@query
+def stump_best_threshold(spark, d):
+    return boost.stumps(_weighted(spark, d)).select("feature_id", F.round("threshold", 9).alias("threshold"), "polarity", F.round("error", 9).alias("error"))
+
+
+@query
+def stump_best_feature(spark, d):
+    return boost.best_stump(boost.stumps(_weighted(spark, d))).select("feature_id", F.round("threshold", 9).alias("threshold"), "polarity", F.round("error", 9).alias("error"))
+
+
+@query
+def adaboost_rounds(spark, d):
+    strong = boost.train(views.samples(spark, d), ROUNDS)
+    rows = [(k + 1, s.feature_id, round(s.threshold, 9), s.polarity, round(s.error, 9), round(s.alpha, 6)) for k, s in enumerate(strong.stumps)]
+    return spark.createDataFrame(rows, "round int, feature_id int, threshold double, polarity int, error double, alpha double")
+
+
+def _scored(spark, d) -> DataFrame:
+    return views.samples(spark, d).select("sample_id", "y", F.round(boost.score(F.col("x"), STAGES[0]), 9).alias("score"))
+
+
+@query
+def strong_score(spark, d):
+    return _scored(spark, d)
+
+
+@query
+def strong_classify(spark, d):
+    return views.samples(spark, d).select("sample_id", "y", boost.classify(F.col("x"), STAGES[0]).alias("predicted"))
+
+
+@query
+def confusion_metrics(spark, d):
+    return boost.confusion(strong_classify(spark, d))
+
+
+@query
+def threshold_for_dr(spark, d):
+    return boost.tune_threshold(_scored(spark, d), 0.8)
+
+
+@query
+def cascade_predict(spark, d):
+    passed = cascade.survivors(views.samples(spark, d), STAGES)
+    return passed.select("sample_id", "y", (F.col("passed") == len(STAGES)).cast("int").alias("predicted"))
+
+
+@query
+def cascade_stage_survivors(spark, d):
+    passed = cascade.survivors(views.samples(spark, d), STAGES)
+    each = passed.select("y", F.explode(F.sequence(F.lit(0), F.col("passed"))).alias("stage"))
+    return each.groupBy("y", "stage").agg(F.count("*").alias("n"))
+
+
+@query
+def cascade_growth_schedule(spark, d):
+    return spark.createDataFrame([(k, n) for k, n in enumerate(cascade.growth_schedule(400))], "attempt int, n int")
+
+
+@query
+def hard_negatives(spark, d):
+    return cascade.hard_negatives(views.samples(spark, d), STAGES)
+
+
+@query
+def hnm_fallback(spark, d):
+    return cascade.refill_negatives(views.samples(spark, d).where("y = 0"), STAGES, 400, 450)
+
+
+@query
+def box_iou(spark, d):
+    return boxes.iou_pairs(views.boxes(spark, d), cell=64).select("img_id", "a_id", "b_id", F.round("iou", 9).alias("iou"))
+
+
+@query
+def box_iom_votes(spark, d):
+    return boxes.votes(views.boxes(spark, d), 0.3)
+
+
+@query
+def nms_vote_merge(spark, d):
+    return boxes.vote_merge(views.boxes(spark, d), 0.3, 3)
+
+
+@query
+def nms_scored(spark, d):
+    return boxes.suppress_by_score(views.boxes(spark, d), 0.3)
+
+
+@query
+def group_rectangles(spark, d):
+    return boxes.group_similar(views.boxes(spark, d), 2, 0.3)
+
+
+@query
+def merge_overlapping(spark, d):
+    return boxes.merge_overlapping(views.boxes(spark, d).where("img_id % 3 = 0 or box_id = 1"), 0.5)
+
+
+@query
+def box_expand_clip(spark, d):
+    return boxes.expand_and_clip(views.boxes(spark, d), 180, 190)
+
+
+@query
+def box_restore_coords(spark, d):
+    return boxes.restore(views.boxes(spark, d), 640 / 480, 1.7)
+
+
+@query
+def eye_midpoint_match(spark, d):
+    b = views.boxes(spark, d)
+    points = b.where("box_id <= 5").select("img_id", F.col("box_id").alias("point_id"), ((F.col("x") * 7 + 20) % 180).alias("px"), ((F.col("y") * 5 + 10) % 180).alias("py"))
+    return boxes.points_in_boxes(points, b)
+
+
+@query
+def annotation_waterfall(spark, d):
+    return dataset.rejection_counts(views.annotations(spark, d))
+
+
+@query
+def anti_join_category(spark, d):
+    """Orders as images, their lines as marks, the return flag as category."""
+    marks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.ascii("l_returnflag").alias("category_id"))
+    categories = spark.createDataFrame([(65, "cat"), (78, "dog"), (82, "person")], "id int, name string")
+    return dataset.images_without(table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), marks, categories, "person")
+
+
+def _keypoint_lines(spark, d) -> DataFrame:
+    """Lines of key points, and some that do not count, by fixed arithmetic on lineitem."""
+    n = lambda c, m: (F.col(c) % m).cast("string")
+    point = F.concat(n("l_partkey", 97), F.lit(".0 "), n("l_suppkey", 89), F.lit(".5"))
+    good = F.concat(F.lit("  img_"), (F.col("l_orderkey") / 4).cast("long").cast("string"), F.lit(".gif  "), point, F.lit(" "), n("l_suppkey", 83), F.lit(" "), n("l_partkey", 79), F.lit(".25"), F.lit(" 1 2" * 4))
+    line = F.when(F.col("l_linenumber") == 1, "left right nose").when(F.col("l_linenumber") == 2, F.concat(F.lit("img_"), F.col("l_orderkey").cast("string"), F.lit(" 1 2 3"))).when(F.col("l_linenumber") == 3, F.concat(F.lit("bad_"), F.col("l_orderkey").cast("string"), F.lit(" x" * 12))).otherwise(good)
+    return table(spark, d, "lineitem").select(line.alias("line"))
+
+
+@query
+def keypoint_parse(spark, d):
+    return parsers.parse_keypoints(_keypoint_lines(spark, d))
+
+
+@query
+def annotation_reconcile(spark, d):
+    grouped = parsers.group_keypoints(parsers.parse_keypoints(_keypoint_lines(spark, d)))
+    files = table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.concat(F.lit("img_"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("image"))
+    return dataset.reconcile(grouped, files).select("image", F.size("faces").alias("n_faces"))
+
+
+@query
+def annotation_json_summary(spark, d):
+    grouped = parsers.group_keypoints(parsers.parse_keypoints(_keypoint_lines(spark, d)))
+    written = models.summary(grouped, "test", "midpoint in box")
+    back = written.select(F.from_json("json", "eval_criterion string, annotation struct<image_path:string,faces:array<struct<eye_midpoint:array<double>>>>").alias("s"))
+    return back.agg(F.count("*").alias("total_images"), F.sum(F.size("s.annotation.faces")).alias("total_faces"))
+
+
+@query
+def grouped_text_parse(spark, d):
+    """Annotation files, one for each of seven folders, with empty, damaged and short entries among the faces."""
+    rows = views.annotations(spark, d).withColumn("file", F.substring_index("img_rel_path", "/", 1))
+    numbers = F.concat_ws(" ", "x", "y", "w", "h", "blur", F.lit(0), F.lit(1), "occlusion", "pose", "invalid")
+    entry = rows.groupBy("file", "img_rel_path").agg(F.concat_ws("\n", F.array_sort(F.collect_list(numbers))).alias("faces"), F.count("*").alias("n"))
+    block = F.concat("img_rel_path", F.lit("\n"), (F.col("n") + 1).cast("string"), F.lit("\n"), "faces", F.lit("\n1 2 3\nempty.jpg\n0\n0 0 0 0 0 0 0 0 0 0\nodd.jpg\nmany"))
+    files = entry.groupBy("file").agg(F.concat_ws("\n", F.array_sort(F.collect_list(block))).alias("text"))
+    return parsers.parse_face_lists(files)
+
+
+@query
+def seeded_split(spark, d):
+    return dataset.split_rows(table(spark, d, "part").select("p_partkey"), "p_partkey", 900, 400).select("p_partkey", "split", "name")
+
+
+@query
+def index_continuation(spark, d):
+    existing = table(spark, d, "supplier").select(F.concat(F.lit("neg_"), F.lpad(F.col("s_suppkey").cast("string"), 5, "0"), F.lit(".png")).alias("name"))
+    rows = table(spark, d, "customer").where("c_custkey % 10 = 0").select("c_custkey")
+    return dataset.append_numbered(existing, rows, "c_custkey").select("c_custkey", "name")
+
+
+@query
+def category_rollup(spark, d):
+    return dataset.category_counts(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus")
+
+
+@query
+def union_training_set(spark, d):
+    x = views.samples(spark, d).select("sample_id", "y")
+    both = dataset.training_set(x.where("y = 1").drop("y"), x.where("y = 0").drop("y"))
+    return both
+
+
+@query
+def topk_paths(spark, d):
+    files = table(spark, d, "pages").select(F.concat(F.lit("page_"), F.col("page_id").cast("string"), F.lit(".png")).alias("path"))
+    return dataset.first_paths(files, 20)
+
+
+@query
+def image_stats(spark, d):
+    """Minimum, maximum, mean and deviation of each image."""
+    return _pixels(spark, d).groupBy("img_id").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.round(F.avg("v"), 9).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"))
+
+
+@query
+def random_patch_sample(spark, d):
+    """Places of textured 24 x 24 patches of the frames."""
+    return dataset.random_patches(images.integral_arrays(views.frames(spark, d)), 64, 64, 24)
+
+
+@query
+def frame_decimation(spark, d):
+    return video.decimate(table(spark, d, "events"))
+
+
+@query
+def rate_window(spark, d):
+    timed = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return video.rates(timed).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query
+def accepted_windows(spark, d):
+    return cascade.accepted_windows(views.frames(spark, d), MODEL, DETECTOR)
+
+
+@query
+def detect_frames(spark, d):
+    return cascade.detect(views.frames(spark, d), MODEL, DETECTOR)
+
+
+@query
+def cascade_training(spark, d):
+    """A cascade trained on the samples, validated on those of another residue of the id: its stages."""
+    from lumigrid.plans.training import CascadeTrainConfig, train_cascade
+
+    rows = views.samples(spark, d)
+    train_rows, validation = rows.where("sample_id % 4 <> 0"), rows.where("sample_id % 4 = 0")
+    cfg = CascadeTrainConfig(target_fpr=0.5, stage_fpr=0.9, stage_dr=0.9, most_stumps=9, most_stages=2)
+    stages = train_cascade(train_rows.where("y = 1"), train_rows.where("y = 0"), validation, cfg)
+    found = [(k, n, s.feature_id, s.threshold, s.polarity, s.alpha, stage.threshold) for k, stage in enumerate(stages) for n, s in enumerate(stage.stumps)]
+    return spark.createDataFrame(found, "stage int, seq int, feature_id int, threshold double, polarity int, alpha double, stage_threshold double")
