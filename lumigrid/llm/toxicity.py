@@ -171,7 +171,7 @@ class Classifier:
 
     def features(self, x: np.ndarray) -> np.ndarray:
         own = np.minimum(x[:, :-3] / (self.floors[None, :-3] + 1e-4), 2.0)
-        some = np.minimum(own.sum(1), 4.0)[:, None]
+        some = np.minimum(own.sum(1), 2.0)[:, None]
         return np.concatenate((own, some, x[:, -3:], np.ones((len(x), 1))), axis=1)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
