@@ -11,6 +11,8 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,11 +31,12 @@ LONGEST = 64
 #: Words that a task remembers or counts before it starts anew.
 REMEMBERED = 300_000
 _NO_RANK = (1 << 31) - 1
-_BUCKETS = 1 << 16
+_BUCKETS = 1 << 14
 _ROWS = 256
 #: Unicode white space, as the tokenizer's \s has it; Python's also has U+001C to U+001F.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-_SPACE = regex.compile(f"[{_SPACES}]")
+#: White space next to a space: only there do pieces reach beyond a space that a word follows.
+_TOUCHING = re.compile(f"[{_SPACES}] | [{_SPACES}]")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -64,9 +67,12 @@ def _let(value: Column, use) -> Column:
 
 def fold_merges(digits: Column, ranks: Column) -> Column:
     """Ids of the word whose bytes are given in hexadecimal digits; a word that is a token itself is that token."""
+    return _let(ranks, lambda table: _fold(digits, table))
 
+
+def _fold(digits: Column, table: Column) -> Column:
     def rank(token: Column) -> Column:
-        bucket = F.get(ranks, F.xxhash64(token).bitwiseAND(F.lit(_BUCKETS - 1)).cast("int"))
+        bucket = F.get(table, F.xxhash64(token).bitwiseAND(F.lit(_BUCKETS - 1)).cast("int"))
         return F.coalesce(F.element_at(bucket, token), F.lit(_NO_RANK))
 
     def pair(parts: Column, at: Column) -> Column:
@@ -84,9 +90,22 @@ def fold_merges(digits: Column, ranks: Column) -> Column:
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges for one word, with a heap of pairs."""
+    """The same merges for one word: step by step for a short one, with a heap of pairs for a long one."""
     if word in ranks:
         return [ranks[word]]
+    if len(word) <= LONGEST:
+        get = ranks.get
+        parts = [word[k : k + 1] for k in range(len(word))]
+        pairs = [get(a + b, _NO_RANK) for a, b in zip(parts, parts[1:])]
+        while pairs and (least := min(pairs)) != _NO_RANK:
+            k = pairs.index(least)
+            parts[k] += parts.pop(k + 1)
+            del pairs[k]
+            if k < len(pairs):
+                pairs[k] = get(parts[k] + parts[k + 1], _NO_RANK)
+            if k:
+                pairs[k - 1] = get(parts[k - 1] + parts[k], _NO_RANK)
+        return [ranks[p] for p in parts]
     ends, follows, before, alive = list(range(1, len(word) + 1)), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1)), [True] * len(word)
     heap: list[tuple[int, int, int]] = []
 
@@ -114,14 +133,13 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[a : ends[a]]] for a in range(len(word)) if alive[a]]
 
 
-def _chunks(text: str) -> list[str]:
-    """The parts between single spaces; all but the first follow a space."""
-    return text.split(" ")
-
-
-def _safe(chunk: str) -> bool:
-    """Whether no white space touches the spaces around a chunk, so that no piece reaches beyond it."""
-    return bool(chunk) and not _SPACE.match(chunk[0]) and not _SPACE.match(chunk[-1])
+def _cut(chunk: str, pieces) -> list[str]:
+    """The pieces of a chunk that follows a space; words of letters alone, or before a mark, need no pattern."""
+    if chunk.isalpha():
+        return [" " + chunk]
+    if chunk[:-1].isalpha() and chunk[-1] in ".,":
+        return [" " + chunk[:-1], chunk[-1]]
+    return pieces(" " + chunk)
 
 
 def _count(pattern: str):
@@ -132,7 +150,7 @@ def _count(pattern: str):
 
         def flush() -> Iterator[pa.RecordBatch]:
             for chunk, n in chunks.items():
-                for piece in pieces(" " + chunk):
+                for piece in _cut(chunk, pieces):
                     whole[piece] += n
             words, n = list(whole.keys()), list(whole.values())
             for k in range(0, len(words), 50_000):
@@ -143,12 +161,12 @@ def _count(pattern: str):
         for batch in batches:
             for value in batch.column(0):
                 text = value.as_py() or ""
-                parts = _chunks(text)
-                if all(map(_safe, {*parts})):
-                    whole.update(pieces(parts[0]))
-                    chunks.update(parts[1:])
-                else:
+                if _TOUCHING.search(text):
                     whole.update(pieces(text))
+                else:
+                    first, *parts = text.split(" ")
+                    whole.update(pieces(first))
+                    chunks.update(parts)
                 if len(chunks) + len(whole) > REMEMBERED:
                     yield from flush()
         yield from flush()
@@ -166,34 +184,32 @@ def fold_frequent(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most:
 
 
 class Encoder:
-    """Ids of texts; remembers chunks, by the bytes of their ids as 32-bit numbers."""
+    """Ids of texts, as bytes of 32-bit numbers; remembers them for what stands between spaces."""
 
     def __init__(self, ranks: dict[bytes, int], known: dict[str, bytes], pattern: str):
         self.ranks, self.known, self.pieces = ranks, known, splitter(pattern).findall
-        self.chunks: dict[str, bytes | None] = {}
+        self.chunks: dict[str, bytes] = {}
         self.rare: dict[str, bytes] = {}
 
     def piece(self, word: str) -> bytes:
         got = self.known.get(word) or self.rare.get(word)
         if got is None:
-            got = np.array(merge_word(word.encode(), self.ranks), np.int32).tobytes()
+            got = array("i", merge_word(word.encode(), self.ranks)).tobytes()
             if len(word) <= LONGEST:
                 self.rare[word] = got
         return got
 
     def encode(self, text: str) -> bytes:
+        if _TOUCHING.search(text):
+            return b"".join(map(self.piece, self.pieces(text)))
         if len(self.chunks) > REMEMBERED:
             self.chunks, self.rare = {}, {}
-        first, *parts = _chunks(text)
+        first, *parts = text.split(" ")
         chunks = self.chunks
-        for chunk in {*parts} - chunks.keys():
-            chunks[chunk] = b"".join(map(self.piece, self.pieces(" " + chunk))) if _safe(chunk) else None
-        try:
-            if not parts or _safe(first):
-                return b"".join((*map(self.piece, self.pieces(first)), *map(chunks.__getitem__, parts)))
-        except TypeError:  # a chunk that is not safe
-            pass
-        return b"".join(map(self.piece, self.pieces(text)))
+        for chunk in {*parts}:
+            if chunk not in chunks:
+                chunks[chunk] = b"".join(map(self.piece, _cut(chunk, self.pieces)))
+        return b"".join((*map(self.piece, self.pieces(first)), *map(chunks.__getitem__, parts)))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, folded: int = FOLDED) -> DataFrame:
