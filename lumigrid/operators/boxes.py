@@ -5,6 +5,10 @@ boxes: img_id, box_id and x, y, w, h; box_id gives the input order and is unique
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumigrid.functions.geometry import iom, iou, similar
@@ -52,22 +56,61 @@ def _leaders(ordered: Column, overlap) -> Column:
     return F.aggregate(ordered, F.slice(ordered, 1, 0), lambda led, b: F.when(F.exists(led, lambda x: overlap(x, b)), led).otherwise(F.concat(led, F.array(b))))
 
 
+def _merge_image(b: np.ndarray, threshold: float, min_votes: int) -> list[tuple]:
+    """vote_merge of one image; b has rows x, y, w, h in the order of box_id."""
+
+    def over(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+        wide = np.minimum(one[0] + one[2], many[:, 0] + many[:, 2]) - np.maximum(one[0], many[:, 0])
+        high = np.minimum(one[1] + one[3], many[:, 1] + many[:, 3]) - np.maximum(one[1], many[:, 1])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.maximum(wide, 0) * np.maximum(high, 0) / np.minimum(one[2] * one[3], many[:, 2] * many[:, 3]) > threshold
+
+    found = np.array([over(one, b).sum() for one in b])
+    left = np.lexsort((-np.arange(len(b)), -found))
+    left, out = left[found[left] >= min_votes], []
+    while len(left):
+        taken = over(b[left[0]], b[left])
+        if not taken.any():
+            break
+        group = b[left[taken]]
+        out.append((*(int(v) for v in group.sum(0) / len(group)), len(group)))
+        left = left[~taken]
+    return out
+
+
 def vote_merge(boxes: DataFrame, threshold: float = 0.3, min_votes: int = 3) -> DataFrame:
     """Means, truncated, of groups of boxes: (img_id, group_id, x, y, w, h, n).
 
     Boxes with fewer than min_votes votes go. By votes, then box_id, both descending, each box that is left takes all
-    later ones whose overlap by the smaller area exceeds threshold. One grouping by image; group_id follows the order.
+    later ones whose overlap by the smaller area exceeds threshold. One exchange by image; the images of a partition
+    are streamed, one at a time. group_id follows the order.
     """
     _check(threshold, min_votes)
-    over = lambda a, b: F.coalesce(iom(a, b) > threshold, F.lit(False))
-    all_ = boxes.groupBy("img_id").agg(F.collect_list(F.struct("box_id", "x", "y", "w", "h")).alias("bs"))
-    voted = F.transform("bs", lambda b: F.struct((-F.size(F.filter("bs", lambda o: over(o, b)))).alias("against"), (-b["box_id"]).alias("back"), b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h")))
-    kept = all_.select("img_id", F.array_sort(F.filter(voted, lambda b: b["against"] <= -min_votes)).alias("bs")).where(F.size("bs") > 0)
-    led = kept.withColumn("leaders", _leaders(F.col("bs"), over))
-    member = led.select("img_id", "leaders", F.explode("bs").alias("b"))
-    first = F.get(F.filter(F.sequence(F.lit(0), F.size("leaders") - 1), lambda k: over(F.get("leaders", k), F.col("b"))), F.lit(0))
-    grouped = member.select("img_id", first.alias("group_id"), "b.*").groupBy("img_id", "group_id")
-    return grouped.agg(*(F.avg(c).cast("int").alias(c) for c in ("x", "y", "w", "h")), F.count("*").alias("n"))
+    names = ("img_id", "group_id", "x", "y", "w", "h", "n")
+    schema = pa.schema([(n, pa.int64() if n in ("img_id", "n") else pa.int32()) for n in names])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, rows = np.empty(0, np.int64), np.empty((0, 4), np.int64)  # the image that may go on in the next batch
+
+        def done(ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+            starts = np.concatenate(([0], np.nonzero(np.diff(ids))[0] + 1))
+            out = [(int(ids[a]), k, *m) for a, own in zip(starts, np.split(rows, starts[1:])) for k, m in enumerate(_merge_image(own, threshold, min_votes))]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
+
+        for batch in batches:
+            ids = np.concatenate((ids, batch.column(0).to_numpy()))
+            rows = np.concatenate((rows, np.stack([batch.column(k).to_numpy() for k in range(1, 5)], axis=1)))
+            cut = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
+            if cut:
+                yield done(ids[:cut], rows[:cut])
+                ids, rows = ids[cut:], rows[cut:]
+        if len(ids):
+            yield done(ids, rows)
+
+    long = boxes.select(*(F.col(c).cast("long").alias(c) for c in ("img_id", "x", "y", "w", "h", "box_id")))
+    width = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = long.repartition(width, "img_id").sortWithinPartitions("img_id", "box_id")
+    return placed.select("img_id", "x", "y", "w", "h").mapInArrow(merge, "img_id long, group_id int, x int, y int, w int, h int, n long")
 
 
 def suppress_by_score(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
