@@ -22,10 +22,10 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumigrid.session import table
+from lumigrid.session import materialize, table
 
-#: Distinct words, most used first, that are folded and then broadcast.
-FOLDED = 1 << 16
+#: Distinct words, most used first, that are folded and then broadcast, at most.
+FOLDED = 1 << 17
 #: Bytes beyond which a word is left to the tasks, as the fold takes a square of steps.
 LONGEST = 64
 #: Words that a task remembers or counts before it starts anew.
@@ -174,13 +174,27 @@ def _count(pattern: str):
     return count
 
 
-def fold_frequent(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = FOLDED) -> dict[str, list[int]]:
-    """Ids of the most used distinct words of docs (text), encoded by the fold; at most most of them."""
-    counted = docs.select("text").mapInArrow(_count(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = counted.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(most)
-    spread = frequent.repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def fold_frequent(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = FOLDED) -> dict[str, bytes]:
+    """Ids of the most used distinct words of docs (text), encoded by the fold, as bytes of 32-bit numbers.
+
+    These are all words that are used so often that at most most words are; the bound comes from counts of words by
+    the logarithm of their use, so no task gathers or sorts words.
+    """
+    counted = materialize(docs.select("text").mapInArrow(_count(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= LONGEST), "words")
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
+    taken, least = 0, None
+    for r in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        taken += r["count"]
+        if taken > most:
+            break
+        least = r["step"]
+    if least is None:
+        return {}
+    spread = counted.where(step >= least).select("word").repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     folded = spread.select("word", fold_merges(F.hex(F.encode("word", "utf-8")), rank_map(ranks)).alias("ids")).toArrow()
-    return dict(zip(folded["word"].to_pylist(), folded["ids"].to_pylist()))
+    ids = folded["ids"].combine_chunks()
+    values, ends = ids.values.to_numpy().astype(np.int32, copy=False).tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+    return {w: values[a:b] for w, a, b in zip(folded["word"].to_pylist(), ends, ends[1:])}
 
 
 class Encoder:
@@ -220,7 +234,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, folded: int = FOLDED)
     """
     context = docs.sparkSession.sparkContext
     ranks = read_ranks(ranks_path)
-    known = {w: np.array(ids, np.int32).tobytes() for w, ids in fold_frequent(docs, ranks, pattern, folded).items()}
+    known = fold_frequent(docs, ranks, pattern, folded)
     shared = context.broadcast((ranks, known))  # the vocabulary and at most folded words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
