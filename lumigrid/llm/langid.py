@@ -19,7 +19,7 @@ from lumigrid.session import table
 DIMENSIONS = 4096
 CENTROIDS = 3
 #: Rows of each language, and of all languages, that the centroids are fitted on.
-ROWS_PER_LANGUAGE, ROWS = 1000, 8000
+ROWS_PER_LANGUAGE, ROWS = 750, 3000
 #: A text is rejected below this share of the cosine that all but one in a thousand fitted texts reach.
 REJECT = 0.5
 UNDETERMINED = "und"
@@ -126,7 +126,9 @@ def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, rows: int = ROWS
     for row, r in zip(x, got):
         row[np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["n"], np.float32)
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.2).astype(np.float32)
-    x = _normal(np.log1p(x) * idf)
+    np.log1p(x, out=x)
+    x *= idf
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     langs = np.array([r["lang"] for r in got])
     languages = sorted(set(langs.tolist()))
     groups = [_k_means(x[langs == g], centroids) for g in languages]
