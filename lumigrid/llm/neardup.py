@@ -1,10 +1,10 @@
-"""Near-duplicate groups: SimHash candidates by parts of a long fingerprint, verified on shingle sets.
+"""Near-duplicate groups: an exact join of shingle sets by prefixes, linked around central texts first.
 
-Texts get a SimHash of 256 bits over word pairs, which small edits move little. By the pigeonhole principle two
-fingerprints within 15 bits agree on one of the 16 parts of 16 bits; texts that agree on a part are candidates. A
-bucket of a few texts gives all pairs; a larger one gives its minimum spanning tree by differing bits, so texts that a
-chain of closer texts joins stay joined, without the pairs being expanded. Each pair is verified: the Jaccard
-similarity of the sets of five-word shingles must reach the limit.
+Shingles have one fixed order, frequent ones last. Two sets of Jaccard similarity t or more share one of the first
+n - ceil(t n) + 1 shingles of either, so texts that share none are never compared and no pair is lost. Texts of a
+shingle are first verified against the one whose shingles most texts share, which joins a large group of near copies
+in as many pairs as texts. Then all pairs of a shingle's texts that no chain of links joins yet are verified. Each
+link is verified: the Jaccard similarity of the sets of five-word shingles reaches the limit.
 """
 
 from __future__ import annotations
@@ -15,41 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumigrid.llm.simhash import BITS
 from lumigrid.llm.text import shingle_hashes
 from lumigrid.plans.components import connected_components
 from lumigrid.session import materialize
 
 SIMILARITY, SHINGLE_WORDS = 0.8, 5
-LANES = 4  # 64 bits each
-PARTS = 16
-#: Candidates with more differing bits than this are not verified: five-word similarity 0.8 stays well below.
+#: Texts that are sampled for frequent shingles, and the frequent shingles that are kept.
+SAMPLE, FREQUENT = 20_000, 1 << 17
+#: spanning_pairs leaves out pairs with more differing bits.
 MOST_BITS = 72
-#: Texts of a bucket up to which all pairs are taken; beyond HOT texts a bucket is split by the next part.
+#: Prints up to which spanning_pairs takes all pairs; texts of a shingle that meet in one block of a join.
 PAIRS, HOT = 24, 2000
 
 
-def long_simhash(text: str | None) -> np.ndarray:
-    """LANES * 64 bits over word pairs, as bytes; 0 without words."""
-    hashes = shingle_hashes(text, 2)
-    out = []
-    for lane in range(LANES):
-        mixed = (hashes ^ np.uint64(0xA5A5A5A5 * (lane + 1))) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(32)
-        counts = np.zeros(BITS, np.int64)
-        for k in range(0, len(mixed), 1 << 15):
-            counts += np.unpackbits(mixed[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-        out.append(np.packbits(counts * 2 > len(hashes)))
-    return np.concatenate(out)
-
-
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        made = [long_simhash(t.as_py()).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["digest", "print"])
-
-
 def _distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count(many ^ one).sum(1)
 
@@ -76,24 +54,36 @@ def spanning_pairs(prints: np.ndarray) -> list[tuple[int, int]]:
 _PAIR = pa.schema([("a", pa.string()), ("b", pa.string())])
 
 
-def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket."""
+def _frequent(keyed: DataFrame) -> np.ndarray:
+    """Sorted shingle hashes that several of a bounded sample of texts have; they go last in the order of shingles."""
+    share = min(1.0, SAMPLE / max(1, keyed.count()))
+    sample = keyed.where(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") < int(share * (1 << 32))).dropDuplicates(["digest"])
 
-    def close(rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
-        prints = np.frombuffer(b"".join(p for _, p in rows), np.uint64).reshape(len(rows), -1)
-        pairs = [(rows[i][0], rows[j][0]) for i, j in spanning_pairs(prints)]
-        return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.string()), pa.array([max(p) for p in pairs], pa.string())], schema=_PAIR)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text.as_py(), SHINGLE_WORDS)).view(np.int64))], names=["key"])
 
-    now, rows = None, []
-    for batch in batches:
-        for bucket, digest, own in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if bucket != now:
-                if len(rows) > 1:
-                    yield close(rows)
-                now, rows = bucket, []
-            rows.append((digest, own))
-    if len(rows) > 1:
-        yield close(rows)
+    counts = sample.select("text").mapInArrow(each, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    return np.sort(counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()["key"].to_numpy().view(np.uint64))
+
+
+def _prefixes(shared, limit: float):
+    """Of each text the first shingles of a fixed order: two texts that reach the limit share one of these."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = shared.value
+        for batch in batches:
+            made, sizes = [], []
+            for text in batch.column(1):
+                own = np.unique(shingle_hashes(text.as_py(), SHINGLE_WORDS))
+                late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own if len(frequent) else np.zeros(len(own), bool)
+                first = len(own) - int(np.ceil(limit * len(own) - 1e-9)) + 1
+                made.append(np.concatenate((own[~late], own[late]))[:first].view(np.int64) if len(own) else np.zeros(1, np.int64))
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["digest", "n", "keys"])
+
+    return prefixes
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,32 +109,53 @@ def text_digest() -> Column:
     return F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
 
 
-def _candidates(prints: DataFrame) -> DataFrame:
-    """Pairs (a, b) of digests from prints (digest, print), which must not change between reads."""
-    part = lambda k: F.substring("print", F.lit(2) * (k % PARTS) + 1, F.lit(2))
-    rows = prints.select("digest", "print", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("k"))
-    rows = rows.select("digest", "print", F.concat(F.hex(F.col("k")), F.lit("."), F.hex(part(F.col("k")))).alias("bucket"), F.hex(part(F.col("k") + 1)).alias("next"))
-    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    several = rows.join(counts, "bucket")
-    split = F.when(F.col("n") > HOT, F.concat("bucket", F.lit("."), "next")).otherwise(F.col("bucket"))
-    # of each part of a split bucket one text stands in the whole bucket too, which ties the parts together
-    heads = several.where(F.col("n") > HOT).groupBy("bucket", "next").agg(F.min(F.struct("digest", "print")).alias("head")).select("bucket", "head.digest", "head.print")
-    placed = several.select(split.alias("bucket"), "digest", "print").unionByName(heads)
-    width = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(width, "bucket").sortWithinPartitions("bucket", "digest").mapInArrow(_bucket_pairs, "a string, b string").distinct()
+def _long_enough(limit: float) -> Column:
+    """Sets of sizes n and m may reach the limit."""
+    return F.least("n", "m") >= limit * F.greatest("n", "m") - 1e-9
 
 
-def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts (digest, least doc_id) of docs (doc_id, text), and verified links (a, b) between digests."""
-    keyed = docs.select("doc_id", "text", text_digest().alias("digest"))
-    texts = materialize(keyed.groupBy("digest").agg(F.min("doc_id").alias("least")), "texts")
-    prints = materialize(keyed.select("digest", "text").mapInArrow(_prints, "digest string, print binary").distinct(), "prints")
-    pairs = materialize(_candidates(prints), "pairs")
+def _central_pairs(rows: DataFrame, limit: float) -> DataFrame:
+    """Each text of a key with the one whose keys have most texts, from rows (key, digest, n, held)."""
+    score = rows.groupBy("digest").agg(F.sum("held").alias("score"))
+    heads = rows.join(score, "digest").groupBy("key").agg(F.max_by(F.struct("digest", "n"), F.struct("score", "digest")).alias("head"))
+    both = rows.join(heads, "key").select(F.col("digest").alias("a"), "n", F.col("head.digest").alias("b"), F.col("head.n").alias("m"))
+    return both.where("a <> b").where(_long_enough(limit)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _open_pairs(rows: DataFrame, linked: DataFrame, limit: float) -> DataFrame:
+    """All pairs that share a key and that no chain of links joins yet; linked: (node, component)."""
+    placed = rows.join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    placed = materialize(placed.join(several, "key"), "open")
+    left = placed.select("key", F.col("digest").alias("a"), "n", F.col("component").alias("ca"))
+    right = placed.select("key", F.col("digest").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
+    both = left.join(right, "key").where("ca < cb").where(_long_enough(limit))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, keyed: DataFrame, limit: float) -> DataFrame:
     ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     sets = materialize(keyed.join(ends, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "text").mapInArrow(_shingles, "digest string, set binary"), "sets")
     left, right = sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), sets.select(F.col("digest").alias("b"), F.col("set").alias("y"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a string, b string")
-    return texts, links
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(limit), "a string, b string"), "links")
+
+
+def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts (digest, least doc_id) of docs (doc_id, text), and verified links (a, b) between digests.
+
+    The links join just those texts that chains of pairs at similarity or more join; pairs that are joined anyway are
+    not all there.
+    """
+    keyed = docs.select("doc_id", "text", text_digest().alias("digest"))
+    texts = materialize(keyed.groupBy("digest").agg(F.min("doc_id").alias("least")), "texts")
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(keyed))  # at most 1 MB
+    own = keyed.select("digest", "text").mapInArrow(_prefixes(shared, similarity), "digest string, n long, keys array<long>").dropDuplicates(["digest"])
+    rows = materialize(own.select("digest", "n", F.explode("keys").alias("key")), "prefixes")
+    held = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    rows = materialize(rows.join(held, "key"), "shared")
+    central = _verified(materialize(_central_pairs(rows, similarity), "pairs"), keyed, similarity)
+    rest = _verified(materialize(_open_pairs(rows, connected_components(central), similarity), "pairs"), keyed, similarity)
+    return texts, central.union(rest)
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

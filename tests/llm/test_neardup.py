@@ -74,3 +74,25 @@ def test_spanning_tree_is_minimal():
         w, j = min((d(i, j), j) for i in joined for j in range(len(prints)) if j not in joined)
         best, joined = best + w, joined | {j}
     assert len(pairs) == len(prints) - 1 and sum(d(*p) for p in pairs) == best
+
+
+def edited(base, rng, places, tag):
+    own = list(base)
+    for at in places:
+        own[at] = f"{tag}x{rng.randrange(10**9)}"
+    return own
+
+
+def similarity(a, b):
+    a, b = shingles(" ".join(a)), shingles(" ".join(b))
+    return len(a & b) / len(a | b)
+
+
+def test_copies_nearer_to_the_original_than_to_each_other(spark):
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    copies = [edited(base, rng, [60 * j + rng.randrange(50) for j in range(6)], f"c{k}") for k in range(100)]
+    assert min(similarity(base, c) for c in copies) > 0.84 and similarity(copies[0], copies[1]) < 0.8
+    rows = [(k, " ".join(t)) for k, t in enumerate(copies + [base])]
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept] == [0]
