@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lumigrid.llm.fingerprints import _BYTE, _FOLD, _ODD, _mix
 from lumigrid.session import materialize, table
 
-#: Places that each mask looks at; fixed values.
-MASKS = ((0, 1, 2, 4, 7, 9), (0, 1, 4, 6, 7, 9), (0, 2, 3, 7, 8, 9))
+#: Places that each mask looks at; fixed values. Some mask fits every RUN words of which two differ.
+MASKS = ((0, 1, 2, 4, 7, 9), (0, 1, 4, 6, 7, 9), (0, 2, 3, 7, 8, 9), (0, 1, 2, 3, 5, 6))
+#: Further masks for items of SPAN to RUN - 1 words, which may differ in two words as well.
+SHORT_MASKS = ((0, 1, 3, 4, 5, 7), (0, 2, 5, 6, 7, 8), (0, 1, 2, 3, 4, 8))
 SPAN = 10
 #: Items of fewer words match nothing; of fewer than SPAN words only as a whole.
 SHORTEST = 5
@@ -46,9 +48,10 @@ def token_hashes(text: str | None) -> np.ndarray:
     return _mix(sums[ends - starts[0]] - sums[starts - starts[0]])
 
 
-def seeds(tokens: np.ndarray, lengths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hashes, places) of the windows under each mask, and of all runs of the given lengths."""
-    forms = [(k, mask, SPAN) for k, mask in enumerate(MASKS)] + [(100 + n, range(n), n) for n in lengths]
+def seeds(tokens: np.ndarray, lengths: list[int], short: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, places) of the windows under each mask, short ones if asked, and of all runs of the given lengths."""
+    masks = MASKS + SHORT_MASKS if short else MASKS
+    forms = [(k, mask, mask[-1] + 1) for k, mask in enumerate(masks)] + [(100 + n, range(n), n) for n in lengths]
     for form, mask, span in forms:
         n = len(tokens) - span + 1
         if n > 0:
@@ -71,7 +74,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for item_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             tokens = token_hashes(text)
             if len(tokens) >= SHORTEST:
-                made = list(seeds(tokens, [])) if len(tokens) >= SPAN else list(seeds(tokens, [len(tokens)]))
+                made = list(seeds(tokens, [], len(tokens) < RUN)) if len(tokens) >= SPAN else list(seeds(tokens, [len(tokens)]))
                 out.append({"item_id": item_id, "tokens": tokens.tobytes(), "n": len(tokens), "hash": np.concatenate([h for h, _ in made]).view(np.int64).tolist(), "at": np.concatenate([p for _, p in made]).tolist()})
         yield pa.RecordBatch.from_pylist(out, schema=_ITEM)
 
@@ -79,7 +82,7 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _REGION = pa.schema([("doc_id", pa.int64()), ("region", pa.int64()), ("tokens", pa.binary()), ("hash", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))])
 
 
-def _regions(shared, lengths: list[int], margin: int):
+def _regions(shared, lengths: list[int], margin: int, short: bool):
     """Stretches of documents around windows that the bitmap knows, margin words to either side."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +92,7 @@ def _regions(shared, lengths: list[int], margin: int):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 tokens = token_hashes(text.as_py())
                 hits = []
-                for hashes, places in seeds(tokens, lengths):
+                for hashes, places in seeds(tokens, lengths, short):
                     cells = _cells(hashes)
                     known = (bitmap[cells >> np.uint64(6)] >> (cells & np.uint64(63))) & np.uint64(1) > 0
                     hits.append((hashes[known], places[known]))
@@ -140,7 +143,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, run: int = RUN, agree:
     """
     spark = docs.sparkSession
     items = materialize(benchmark.select(F.col("item_id").cast("long"), "text").distinct().mapInArrow(_items, "item_id long, tokens binary, n long, hash array<long>, at array<int>"), "items")
-    sized = items.agg(F.max("n").alias("most"), F.collect_set(F.when(F.col("n") < SPAN, F.col("n"))).alias("short")).first()
+    sized = items.agg(F.max("n").alias("most"), F.collect_set(F.when(F.col("n") < SPAN, F.col("n"))).alias("short"), F.max(F.col("n").between(SPAN, RUN - 1)).alias("masked")).first()
     margin, lengths = sized["most"] or 0, sorted(sized["short"] or [])
     seeded = items.select("item_id", F.explode(F.arrays_zip("hash", "at")).alias("s")).select("item_id", F.col("s.hash").alias("hash"), F.col("s.at").alias("item_at"))
     cell = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
@@ -148,7 +151,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, run: int = RUN, agree:
     bitmap = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
     bitmap[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
     shared = spark.sparkContext.broadcast(bitmap)
-    found = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInArrow(_regions(shared, lengths, margin), "doc_id long, region long, tokens binary, hash array<long>, at array<int>")
+    found = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInArrow(_regions(shared, lengths, margin, bool(sized["masked"])), "doc_id long, region long, tokens binary, hash array<long>, at array<int>")
     regions = materialize(found.withColumn("key", F.monotonically_increasing_id()), "regions")
     hits = regions.select("key", F.explode(F.arrays_zip("hash", "at")).alias("s")).select("key", F.col("s.hash").alias("hash"), F.col("s.at").alias("at"))
     laid = hits.join(seeded, "hash").groupBy("key", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.count("*").alias("hits"))

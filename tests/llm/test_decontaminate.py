@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 from lumigrid.llm import decontaminate as dc
 
@@ -55,3 +56,18 @@ def test_empty(spark):
     items = docs.select(docs.doc_id.alias("item_id"), "text")
     assert dc.find_overlaps(docs.where("false"), items).count() == 0
     assert dc.find_overlaps(docs, items).count() == 1
+
+
+def test_all_patterns_of_two_substitutions(spark):
+    docs, items, expect = [], [], set()
+    for n in (10, 11, 12, 13):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for pattern in combinations(range(n), 2):
+            expect.add((len(docs), n))
+            own = [f"x{len(docs)}y{k}" if k in pattern else w for k, w in enumerate(item)]
+            docs.append((len(docs), " ".join(["before", *own, "after"])))
+    for rows in ([r for r in items if r[0] == 13], items):  # items of 13 words alone have fewer masks
+        own = {(d, i) for d, i in expect if (i, dict(items)[i]) in rows}
+        got = dc.find_overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(rows, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == own
