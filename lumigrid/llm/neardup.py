@@ -126,10 +126,12 @@ def _open_pairs(rows: DataFrame, linked: DataFrame, limit: float) -> DataFrame:
     """All pairs that share a key and that no chain of links joins yet; linked: (node, component)."""
     placed = rows.join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    placed = materialize(placed.join(several, "key"), "open")
-    left = placed.select("key", F.col("digest").alias("a"), "n", F.col("component").alias("ca"))
-    right = placed.select("key", F.col("digest").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-    both = left.join(right, "key").where("ca < cb").where(_long_enough(limit))
+    # the texts of a key lie in blocks of about HOT, each of which meets all texts of the key in tasks of its own
+    blocks = F.ceil(F.col("held") / HOT).cast("int")
+    placed = materialize(placed.join(several, "key").withColumn("blocks", blocks), "open")
+    left = placed.select("key", F.pmod(F.xxhash64("digest"), "blocks").cast("int").alias("block"), F.col("digest").alias("a"), "n", F.col("component").alias("ca"))
+    right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("digest").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
+    both = left.join(right, ["key", "block"]).where("ca < cb").where(_long_enough(limit))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -96,3 +96,30 @@ def test_copies_nearer_to_the_original_than_to_each_other(spark):
     rows = [(k, " ".join(t)) for k, t in enumerate(copies + [base])]
     kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.doc_id for r in kept] == [0]
+
+
+def test_groups_do_not_depend_on_the_size_of_blocks(spark, monkeypatch):
+    """Many texts share a passage; most are alike in nothing else, some by chains whose ends are not similar."""
+    rng = random.Random(4)
+    shared = [f"s{k}" for k in range(60)]
+    rows = []
+    for k in range(60):
+        own = shared + [f"t{k}w{j}" for j in range(60)]
+        for step in range(rng.choice([1, 1, 4])):
+            own = own[4:] + [f"t{k}s{step}w{j}" for j in range(4)]
+            rows.append((len(rows), " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (2000, 7):
+        monkeypatch.setattr(neardup, "HOT", hot)
+        assert sorted((r.doc_id for r in neardup.drop_near_duplicates(docs).collect()), key=repr) == brute(rows)
+
+
+def test_appended_text(spark):
+    """Isolated pairs of a text and itself with a fifth of other words appended."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(200):
+        base = [f"a{k}w{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + [f"b{k}w{j}" for j in range(46)]))]
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(0, 400, 2))
