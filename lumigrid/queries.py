@@ -322,15 +322,20 @@ def annotation_json_summary(spark, d):
     return back.agg(F.count("*").alias("total_images"), F.sum(F.size("s.annotation.faces")).alias("total_faces"))
 
 
-@query
-def grouped_text_parse(spark, d):
-    """Annotation files, one for each of seven folders, with empty, damaged and short entries among the faces."""
+def _face_files(spark, d) -> DataFrame:
+    """Annotation files (file, text), one for each of seven folders, in pieces of at most 100 images cut at entries."""
     rows = views.annotations(spark, d).withColumn("file", F.substring_index("img_rel_path", "/", 1))
     numbers = F.concat_ws(" ", "x", "y", "w", "h", "blur", F.lit(0), F.lit(1), "occlusion", "pose", "invalid")
     entry = rows.groupBy("file", "img_rel_path").agg(F.concat_ws("\n", F.array_sort(F.collect_list(numbers))).alias("faces"), F.count("*").alias("n"))
     block = F.concat("img_rel_path", F.lit("\n"), (F.col("n") + 1).cast("string"), F.lit("\n"), "faces", F.lit("\n1 2 3\nempty.jpg\n0\n0 0 0 0 0 0 0 0 0 0\nodd.jpg\nmany"))
-    files = entry.groupBy("file").agg(F.concat_ws("\n", F.array_sort(F.collect_list(block))).alias("text"))
-    return parsers.parse_face_lists(files)
+    piece = F.floor(F.regexp_extract("img_rel_path", r"img_(\d+)", 1).cast("long") / 100)
+    return entry.groupBy("file", piece.alias("piece")).agg(F.concat_ws("\n", F.array_sort(F.collect_list(block))).alias("text")).select("file", "text")
+
+
+@query
+def grouped_text_parse(spark, d):
+    """Annotation files of seven folders, with empty, damaged and short entries among the faces."""
+    return parsers.parse_face_lists(_face_files(spark, d))
 
 
 @query

@@ -40,7 +40,7 @@ def _faces(text: str) -> Iterator[tuple]:
 
 
 def parse_face_lists(files: DataFrame) -> DataFrame:
-    """One row for each face line of files (file, text); the order of lines matters, so a file is read by one task."""
+    """One row for each face line of files (file, text); the order of lines matters, so a text is read by one task. A large file may come in several texts cut at entries."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

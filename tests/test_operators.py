@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from lumigrid import queries
 from lumigrid.functions import geometry
 from lumigrid.operators import boost, boxes, cascade, dataset, images, windows
 from lumigrid.plans.components import connected_components
@@ -245,3 +246,10 @@ def test_image_folder(spark, tmp_path):
     (tmp_path / "c.txt").write_bytes(b"P5 1 1 255\n\x01")
     got = parsers.read_images(spark, str(tmp_path), parsers.decode_pgm).collect()
     assert [(r.h, r.w, r.px) for r in got] == [(2, 3, [0, 1, 2, 3, 4, 5])]
+
+
+def test_annotation_files_come_in_bounded_pieces(spark):
+    pieces = queries._face_files(spark, "/root/testdata/sf0.01")
+    per_file = pieces.groupBy("file").count().collect()
+    assert len(per_file) == 7 and all(r["count"] > 1 for r in per_file)
+    assert pieces.agg(F.max(F.size(F.split("text", "img_")))).first()[0] <= 101
