@@ -7,11 +7,12 @@ sample. A text goes to the language of the centroid with the largest cosine, and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lumigrid.llm.sampling import held_out, learnable
 from lumigrid.session import table
@@ -102,15 +103,20 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, rows: int = ROWS, centroids: int = CENTROIDS) -> Centroids | None:
     """Centroids from the learnable rows of docs (doc_id, text, lang); None if there are none.
 
-    Rows of a language are taken below a bound of the doc_id's hash that lets about per_language rows through.
+    The first rows of each language by the doc_id's hash are taken, at most per_language and at least one. A bound of
+    the hash that lets more than these through spares the rest the ranking.
     """
     known = docs.select("doc_id", "text", "lang").where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows).collect()}
+    known = known.withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40)))
+    counts = {r["lang"]: (r["n"], r["least"]) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("least")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
     if not counts:
         return None
     each = max(1, min(per_language, rows // len(counts)))
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.25 * each / n)))), F.col("lang"))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < share * (1 << 20))
+    enough = each + 6 * math.sqrt(each) + 20  # expected below the bound; fewer than each are out of the question
+    bounds = {lang: max(least + 1, int(min(1.0, enough / n) * (1 << 40))) for lang, (n, least) in counts.items()}
+    bound = F.element_at(F.create_map(*(x for lang, b in bounds.items() for x in (F.lit(lang), F.lit(b).cast("long")))), F.col("lang"))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id", F.xxhash64("text"))
+    chosen = known.where(F.col("place") < bound).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

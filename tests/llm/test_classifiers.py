@@ -82,3 +82,13 @@ def test_label_model_finds_accuracies():
     assert ((posterior > 0.5) == y).mean() > 0.9
     assert model["rates"][1][0][0] == pytest.approx(0.7, abs=0.05) and model["rates"][0][0][0] == pytest.approx(0.02, abs=0.02)
     assert model["correlation"][2, 3] > 0.9 and model["discount"][2] < 0.6
+
+
+def test_language_rows_are_bounded_and_none_is_left_out(spark, monkeypatch):
+    rows = [(k, f"die katze {k} und der hund", "de") for k in range(6000)] + [(k, f"the cat {k} and the dog", "en") for k in range(10000, 16000)]
+    rows += [(7, f"le chat {k} et le chien", "fr") for k in range(3000)] + [(40000, "il gatto e il cane", "it")]
+    seen = []
+    k_means = langid._k_means
+    monkeypatch.setattr(langid, "_k_means", lambda x, k: seen.append(len(x)) or k_means(x, k))
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=50)
+    assert model.languages == ["de", "en", "fr", "it"] and seen == [50, 50, 50, 1]
