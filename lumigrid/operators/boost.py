@@ -29,8 +29,13 @@ class Strong:
 
 def initial_weights(samples: DataFrame) -> DataFrame:
     """(sample_id, y, weight): half of all weight for either class."""
-    own = Window.partitionBy("y")
-    return samples.select("sample_id", "y").withColumn("weight", 1.0 / (2.0 * F.count("*").over(own)))
+    return _start(samples.select("sample_id", "y"), "weight")
+
+
+def _start(samples: DataFrame, name: str) -> DataFrame:
+    """samples with the first weight; the classes are counted apart, so no sample is moved."""
+    sizes = samples.groupBy(F.col("y").alias("_y")).agg((1.0 / (2.0 * F.count("*"))).alias(name))
+    return samples.join(F.broadcast(sizes), samples["y"].eqNullSafe(sizes["_y"])).drop("_y")
 
 
 def stumps(weighted: DataFrame) -> DataFrame:
@@ -70,8 +75,7 @@ def train(samples: DataFrame, rounds: int, found: tuple[Stump, ...] = ()) -> Str
     found: stumps of an earlier training on the same samples, which goes on from there. Weights after a round follow from the stumps so far, so each round reads the samples as they are and adds one row
     to what the driver holds; no lineage grows.
     """
-    own = Window.partitionBy("y")
-    start = samples.select("sample_id", "y", "x", (1.0 / (2.0 * F.count("*").over(own))).alias("w0")).persist()
+    start = _start(samples.select("sample_id", "y", "x"), "w0").persist()
     try:
         found = list(found)
         while len(found) < rounds:

@@ -248,6 +248,13 @@ def test_image_folder(spark, tmp_path):
     assert [(r.h, r.w, r.px) for r in got] == [(2, 3, [0, 1, 2, 3, 4, 5])]
 
 
+def test_first_weights_move_no_sample(spark):
+    samples = spark.createDataFrame([(k, int(k < 3), [float(k)]) for k in range(10)], "sample_id long, y int, x array<double>")
+    weighted = boost.initial_weights(samples)
+    assert {(r.y, round(r.weight, 9)) for r in weighted.collect()} == {(1, round(1 / 6, 9)), (0, round(1 / 14, 9))}
+    assert "Window" not in weighted._jdf.queryExecution().executedPlan().toString()
+
+
 def test_annotation_files_come_in_bounded_pieces(spark):
     pieces = queries._face_files(spark, "/root/testdata/sf0.01")
     per_file = pieces.groupBy("file").count().collect()
