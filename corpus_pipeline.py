@@ -39,7 +39,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, and checksums of ids and of the decoded bytes."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digests(bpe.encode(docs, path, public_tokenizers.PATTERN), bpe.read_ranks(path), with_ids=True)
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [

@@ -1,40 +1,43 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are split by the tokenizer's pattern. The corpus's words are counted, and the FOLDED most used distinct words are
-encoded by Spark's higher-order functions: an aggregate over the bytes of a word merges, step by step, the adjacent
-pair of least rank, looked up in a literal rank map. Their ids go to all tasks, a table of bounded size; the words
-beyond it are merged where they occur, by the same ranks. Decoding joins the pieces of the ids, natively.
+Texts are split by the tokenizer's pattern. The distinct words of each block of texts meet by word; each distinct word is
+encoded once by Spark's higher-order functions: an aggregate over its bytes merges, step by step, the adjacent pair of
+least rank. A literal rank map, an array that a pair of ids indexes, gives the ranks; the accumulator keeps the rank of
+each pair, and a merge renews two of them. The ids go back by block to the shared folder, and the task that encodes a
+block reads the ids of just its words. Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-import json
 import re
 from array import array
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import regex
-import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from lumigrid.session import materialize, table
-
-#: Distinct words, most used first, that are folded and then broadcast, at most.
-FOLDED = 1 << 17
-#: Bytes beyond which a word is left to the tasks, as the fold takes a square of steps.
-LONGEST = 64
-#: Words that a task remembers or counts before it starts anew.
-REMEMBERED = 300_000
-_NO_RANK = (1 << 31) - 1
-_BUCKETS = 1 << 14
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from lumigrid.llm.shared import file_system, qualified
+from lumigrid.session import new_folder, table
+
+#: Bytes of text in a block, whose distinct words one task holds; a longer text is a block of its own.
+BLOCK_BYTES = 16 << 20
+#: Bytes beyond which a word is merged where it occurs, as the fold takes a square of steps; the ids are the same.
+LONGEST = 256
+#: Bits of an id, of a place in a word, and of a rank in the fold's accumulator.
+_BITS = 20
+_LOW = (1 << _BITS) - 1
 _ROWS = 256
 #: Unicode white space, as the tokenizer's \s has it; Python's also has U+001C to U+001F.
-_SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space next to a space: only there do pieces reach beyond a space that a word follows.
 _TOUCHING = re.compile(f"[{_SPACES}] | [{_SPACES}]")
 
@@ -47,46 +50,78 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def splitter(pattern: str):
     """The pattern with white space spelt out."""
-    inner = f"{_SPACES}"
-    return regex.compile(pattern.replace(r"[^\s", f"[^{inner}").replace(r"\S", f"[^{inner}]").replace(r"\s", f"[{inner}]"))
+    return regex.compile(pattern.replace(r"[^\s", f"[^{_SPACES}").replace(r"\S", f"[^{_SPACES}]").replace(r"\s", f"[{_SPACES}]"))
 
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The literal rank map: an array of _BUCKETS maps from a token's hexadecimal digits to its rank, by hash."""
-    buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
+def rank_map(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, cells): the pair of ids a, b has the rank cells[starts[a] + b] less a's bits, if that is a rank.
+
+    A cell holds a and the rank. The rows of all a lie over each other where their cells leave room; a free cell, and
+    one of another a, gives a number beyond all ranks.
+    """
+    if max(ranks.values(), default=0) >= _LOW:
+        raise ValueError("too many ids")
+    rows: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for token, rank in ranks.items():
-        digits = token.hex().upper()
-        buckets[xxhash.xxh64_intdigest(digits.encode(), 42) % _BUCKETS][digits] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")  # folded to a literal by the optimizer
+        for k in range(1, len(token)):
+            a, b = ranks.get(token[:k]), ranks.get(token[k:])
+            if a is not None and b is not None:
+                rows[a].append((b, rank))
+    end, size = max(ranks.values(), default=0) + 1, 4 * sum(map(len, rows.values())) + 1
+    cells, starts = np.full(size + 2 * end + 2, 1 << 62, np.int64), np.full(end, size, np.int64)
+    places = np.random.Generator(np.random.PCG64(7))
+    for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+        b, rank = np.array(row).T
+        while (cells[(start := int(places.integers(size))) + b] != 1 << 62).any():
+            pass
+        starts[a], cells[start + b] = start, a << _BITS | rank
+    return starts, cells
 
 
 def _let(value: Column, use) -> Column:
     """use(value), with value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.aggregate(F.expr("cast(array() as array<int>)"), value, lambda own, _: own, use)
+
+
+def _literal(numbers: np.ndarray) -> Column:
+    """A literal array; the optimizer folds the split and the cast."""
+    return F.split(F.lit(",".join(map(str, numbers.tolist()))), ",").cast("array<bigint>")
+
 
+def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids (array of long) that merges alone give for a word, a string that is not empty."""
+    starts, cells = rank_map(ranks)
+    single = np.array([ranks[bytes([k])] for k in range(256)])
+    return _let(_literal(starts), lambda s: _let(_literal(cells), lambda c: _let(_literal(single), lambda one: _fold(word, s, c, one, len(starts)))))
 
-def fold_merges(digits: Column, ranks: Column) -> Column:
-    """Ids of the word whose bytes are given in hexadecimal digits; a word that is a token itself is that token."""
-    return _let(ranks, lambda table: _fold(digits, table))
 
+def _fold(word: Column, starts: Column, cells: Column, single: Column, end: int) -> Column:
+    """The accumulator's elements are the parts of the word: the rank of a part with the next, its place, its id."""
 
-def _fold(digits: Column, table: Column) -> Column:
-    def rank(token: Column) -> Column:
-        bucket = F.get(table, F.xxhash64(token).bitwiseAND(F.lit(_BUCKETS - 1)).cast("int"))
-        return F.coalesce(F.element_at(bucket, token), F.lit(_NO_RANK))
+    def rank(a: Column, b: Column) -> Column:
+        found = F.get(cells, F.get(starts, a) + F.coalesce(b, F.lit(end).cast("long"))).bitwiseXOR(F.shiftleft(a, _BITS))
+        return F.shiftleft(F.least(found, F.lit(_LOW).cast("long")), 2 * _BITS)
 
-    def pair(parts: Column, at: Column) -> Column:
-        return F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))
+    def of(part: Column, mask: int) -> Column:
+        return part.bitwiseAND(F.lit(mask).cast("long"))
 
     def merge(parts: Column, _: Column) -> Column:
-        places = F.sequence(F.lit(1), F.size(parts) - 1)
-        least = F.array_min(F.transform(places, lambda at: F.struct(rank(pair(parts, at)).alias("rank"), at.alias("at"))))
-        merged = lambda m: F.concat(F.slice(parts, F.lit(1), m["at"] - 1), F.array(pair(parts, m["at"])), F.slice(parts, m["at"] + 2, F.size(parts)))
-        return F.when(F.size(parts) < 2, parts).otherwise(_let(least, lambda m: F.when(m["rank"] == _NO_RANK, parts).otherwise(merged(m))))
+        def replaced(least: Column, at: Column) -> Column:
+            made = F.shiftright(least, 2 * _BITS)  # the rank of a merged token is its id
+            here = rank(made, of(F.get(parts, at + 1), _LOW)) + of(least, _LOW << _BITS) + made
+            before = lambda part: rank(of(part, _LOW), made) + of(part, (1 << 2 * _BITS) - 1)
+            renewed = F.transform(parts, lambda part, k: F.when(k == at - 1, here).when(k == at - 2, before(part)).otherwise(part))
+            return _let(F.get(parts, at), lambda gone: F.array_remove(renewed, gone))
 
-    single = F.transform(F.sequence(F.lit(1), F.length(digits), F.lit(2)), lambda at: F.substring(digits, at, F.lit(2)))
-    steps = F.sequence(F.lit(2), F.greatest((F.length(digits) / 2).cast("int"), F.lit(2)))
-    return _let(rank(digits), lambda whole: F.when(whole != _NO_RANK, F.array(whole)).otherwise(F.transform(F.aggregate(steps, single, merge), rank)))
+        none = lambda least: F.shiftright(least, 2 * _BITS) == _LOW
+        step = lambda least: _let(F.array_position(parts, least).cast("int"), lambda at: replaced(least, at))
+        return _let(F.array_min(parts), lambda least: F.when(none(least), parts).otherwise(step(least)))
+
+    data = F.split(F.decode(F.encode(word, "utf-8"), "ISO-8859-1"), "")  # a character for each byte
+    ids = F.transform(data, lambda c: F.get(single, F.ascii(c)))
+    parts = _let(ids, lambda own: F.transform(own, lambda x, k: rank(x, F.get(own, k + 1)) + F.shiftleft(k.cast("long"), _BITS) + x))
+    steps = F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2)))
+    return F.aggregate(steps, parts, merge, lambda done: F.transform(done, lambda part: of(part, _LOW)))
 
 
 def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -96,15 +131,15 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     if len(word) <= LONGEST:
         get = ranks.get
         parts = [word[k : k + 1] for k in range(len(word))]
-        pairs = [get(a + b, _NO_RANK) for a, b in zip(parts, parts[1:])]
-        while pairs and (least := min(pairs)) != _NO_RANK:
+        pairs = [get(a + b, _LOW) for a, b in zip(parts, parts[1:])]
+        while pairs and (least := min(pairs)) != _LOW:
             k = pairs.index(least)
             parts[k] += parts.pop(k + 1)
             del pairs[k]
             if k < len(pairs):
-                pairs[k] = get(parts[k] + parts[k + 1], _NO_RANK)
+                pairs[k] = get(parts[k] + parts[k + 1], _LOW)
             if k:
-                pairs[k - 1] = get(parts[k - 1] + parts[k], _NO_RANK)
+                pairs[k - 1] = get(parts[k - 1] + parts[k], _LOW)
         return [ranks[p] for p in parts]
     ends, follows, before, alive = list(range(1, len(word) + 1)), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1)), [True] * len(word)
     heap: list[tuple[int, int, int]] = []
@@ -142,82 +177,120 @@ def _cut(chunk: str, pieces) -> list[str]:
     return pieces(" " + chunk)
 
 
-def _count(pattern: str):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = splitter(pattern).findall
-        whole: Counter = Counter()  # texts that are not cut at spaces, by piece
-        chunks: Counter = Counter()
+class _Blocks:
+    """Numbers the blocks of a task's texts, alike each time that the task reads the same texts."""
+
+    def __init__(self):
+        self.first, self.bytes = TaskContext.get().partitionId() << 20, 0
+
+    def of(self, text: str) -> int:
+        block = self.first + self.bytes // BLOCK_BYTES
+        self.bytes += len(text)
+        return block
+
+
+def _distinct(shared, pattern: str):
+    """(block, word) for the distinct words of each block that are no tokens."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces, blocks, ranks = splitter(pattern).findall, _Blocks(), shared.value
+        words: set[str] = set()
+        chunks: set[str] = set()
+        now = None
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for chunk, n in chunks.items():
-                for piece in _cut(chunk, pieces):
-                    whole[piece] += n
-            words, n = list(whole.keys()), list(whole.values())
-            for k in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[k : k + 50_000], pa.string()), pa.array(n[k : k + 50_000], pa.int64())], names=["word", "n"])
-            whole.clear()
+            for chunk in chunks:
+                words.update(_cut(chunk, pieces))
+            folded = [w for w in words if len(data := w.encode()) <= LONGEST and data not in ranks]
+            for k in range(0, len(folded), 50_000):
+                some = folded[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([now] * len(some), pa.int64()), pa.array(some, pa.string())], names=["block", "word"])
+            words.clear()
             chunks.clear()
 
         for batch in batches:
-            for value in batch.column(0):
+            for value in batch.column(1):
                 text = value.as_py() or ""
+                if (block := blocks.of(text)) != now:
+                    yield from flush()
+                    now = block
                 if _TOUCHING.search(text):
-                    whole.update(pieces(text))
+                    words.update(pieces(text))
                 else:
                     first, *parts = text.split(" ")
-                    whole.update(pieces(first))
+                    words.update(pieces(first))
                     chunks.update(parts)
-                if len(chunks) + len(whole) > REMEMBERED:
-                    yield from flush()
         yield from flush()
 
-    return count
+    return distinct
 
 
-def fold_frequent(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = FOLDED) -> dict[str, bytes]:
-    """Ids of the most used distinct words of docs (text), encoded by the fold, as bytes of 32-bit numbers.
+def fold_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, shared) -> tuple[str, int]:
+    """Write the folded ids of the words of each block of docs (doc_id, text); gives the folder and its number of files.
 
-    These are all words that are used so often that at most most words are; the bound comes from counts of words by
-    the logarithm of their use, so no task gathers or sorts words.
+    Words of a block meet the same words of other blocks in one exchange, the first of them is folded, and a second
+    exchange brings the ids to the file that the block's number names, ordered by block.
     """
-    counted = materialize(docs.select("text").mapInArrow(_count(pattern), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.octet_length("word") <= LONGEST), "words")
-    step = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int")
-    taken, least = 0, None
-    for r in counted.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        taken += r["count"]
-        if taken > most:
-            break
-        least = r["step"]
-    if least is None:
-        return {}
-    spread = counted.where(step >= least).select("word").repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    folded = spread.select("word", fold_merges(F.hex(F.encode("word", "utf-8")), rank_map(ranks)).alias("ids")).toArrow()
-    ids = folded["ids"].combine_chunks()
-    values, ends = ids.values.to_numpy().astype(np.int32, copy=False).tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-    return {w: values[a:b] for w, a, b in zip(folded["word"].to_pylist(), ends, ends[1:])}
+    spark = docs.sparkSession
+    folder, files = qualified(spark, new_folder(spark, "words")), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = docs.select("doc_id", "text").mapInArrow(_distinct(shared, pattern), "block long, word string").repartition(files, "word")
+    same = Window.partitionBy("word").orderBy("block")
+    ids = F.when(F.col("place") == 1, F.transform(fold_merges(F.col("word"), ranks), lambda x: F.lpad(F.hex(x), 8, "0")))
+    first = pairs.withColumn("place", F.row_number().over(same)).select("block", "word", F.unhex(F.array_join(ids, "")).alias("ids"))
+    every = first.select("block", F.first("ids", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)).alias("ids"))
+    placed = every.repartitionById(files, F.pmod("block", F.lit(files)).cast("int")).sortWithinPartitions("block")
+    placed.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(folder)
+    return folder, files
+
+
+class _Folded:
+    """Reads the folded words of a block."""
+
+    def __init__(self, folder: str, files: int, pieces: list[bytes]):
+        self.fs, root = file_system(folder)
+        self.files, self.pieces = files, pieces
+        names = [f.path for f in self.fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")]
+        self.paths = {int(n.rsplit("/", 1)[-1].split("-")[1]): n for n in names}
+
+    def of(self, block: int) -> dict[str, bytes]:
+        """Ids by word, as bytes of 32-bit numbers. The ids spell the word."""
+        if (path := self.paths.get(block % self.files)) is None:
+            return {}
+        out, pieces = {}, self.pieces
+        for chunk in pq.read_table(path, columns=["ids"], filters=[("block", "=", block)], filesystem=self.fs)["ids"].chunks:
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1] // 4
+            ids = np.frombuffer(chunk.buffers()[2], ">i4").astype(np.int32)
+            data, numbers, ends = ids.tobytes(), ids.tolist(), ends.tolist()
+            for a, b in zip(ends, ends[1:]):
+                out[b"".join([pieces[x] for x in numbers[a:b]]).decode()] = data[4 * a : 4 * b]
+        return out
 
 
 class Encoder:
     """Ids of texts, as bytes of 32-bit numbers; remembers them for what stands between spaces."""
 
-    def __init__(self, ranks: dict[bytes, int], known: dict[str, bytes], pattern: str):
-        self.ranks, self.known, self.pieces = ranks, known, splitter(pattern).findall
-        self.chunks: dict[str, bytes] = {}
-        self.rare: dict[str, bytes] = {}
+    def __init__(self, ranks: dict[bytes, int], pattern: str, helped: bool = True):
+        self.ranks, self.pieces, self.helped = ranks, splitter(pattern).findall, helped
+        self.start({})
+
+    def start(self, known: dict[str, bytes]) -> None:
+        """Begin a block with its folded words."""
+        self.known, self.chunks = known, {}
 
     def piece(self, word: str) -> bytes:
-        got = self.known.get(word) or self.rare.get(word)
+        got = self.known.get(word)
         if got is None:
-            got = array("i", merge_word(word.encode(), self.ranks)).tobytes()
-            if len(word) <= LONGEST:
-                self.rare[word] = got
+            data = word.encode()
+            if not self.helped and len(data) <= LONGEST and data not in self.ranks:
+                raise KeyError(f"not folded: {word!r}")
+            got = array("i", merge_word(data, self.ranks)).tobytes()
+            if len(data) <= LONGEST:
+                self.known[word] = got
         return got
 
     def encode(self, text: str) -> bytes:
         if _TOUCHING.search(text):
             return b"".join(map(self.piece, self.pieces(text)))
-        if len(self.chunks) > REMEMBERED:
-            self.chunks, self.rare = {}, {}
         first, *parts = text.split(" ")
         chunks = self.chunks
         for chunk in {*parts}:
@@ -226,49 +299,100 @@ class Encoder:
         return b"".join((*map(self.piece, self.pieces(first)), *map(chunks.__getitem__, parts)))
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, folded: int = FOLDED) -> DataFrame:
-    """doc_id and ids (array of int) of each row of docs (doc_id, text), each match of pattern encoded by itself.
+def _pieces(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """Tokens by id; None where no token has the id."""
+    out: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
 
-    ranks_path: a rank file that the driver can read. A null or empty text has no ids. Repeated rows each give a row;
-    no rows give no rows; further columns are not read.
-    """
-    context = docs.sparkSession.sparkContext
-    ranks = read_ranks(ranks_path)
-    known = fold_frequent(docs, ranks, pattern, folded)
-    shared = context.broadcast((ranks, known))  # the vocabulary and at most folded words
 
+def _encode(shared, folder: str, files: int, pattern: str, helped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*shared.value, pattern)
+        ranks = shared.value
+        encoder, folded, blocks, now = Encoder(ranks, pattern, helped), _Folded(folder, files, _pieces(ranks)), _Blocks(), None
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
-                ids, texts = batch.column(0).slice(at, _ROWS), batch.column(1).slice(at, _ROWS)
-                made = [encoder.encode(t.as_py() or "") for t in texts]
+                ids, made = batch.column(0).slice(at, _ROWS), []
+                for value in batch.column(1).slice(at, _ROWS):
+                    text = value.as_py() or ""
+                    if (block := blocks.of(text)) != now:
+                        encoder.start(folded.of(block))
+                        now = block
+                    made.append(encoder.encode(text))
                 ends = np.cumsum([0, *(len(m) // 4 for m in made)], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(made), np.int32))
                 yield pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(ends), values)], names=["doc_id", "ids"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    return run
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, helped: bool = True) -> DataFrame:
+    """doc_id and ids (array of int) of each row of docs (doc_id, text), each match of pattern encoded by itself.
+
+    ranks_path: a rank file that the driver can read. A null or empty text has no ids. Repeated rows each give a row;
+    no rows give no rows; further columns are not read. A task whose texts come in another order than before lacks
+    folded words and merges them itself, to the same ids; if it may not (helped), that is an error.
+    """
+    run, kind = _encoding(docs, ranks_path, pattern, helped)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
-def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of an array of ids: the joined pieces; empty for no ids, null for null, an error for an unknown id."""
-    pieces = [""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token.hex()
-    table_ = F.split(F.lit(",".join(pieces)), ",")
-    return F.unhex(F.array_join(F.transform(ids, lambda x: F.element_at(table_, x + 1)), ""))
+def _encoding(docs: DataFrame, ranks_path: str, pattern: str, helped: bool = True):
+    ranks = read_ranks(ranks_path)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary
+    folder, files = fold_words(docs, ranks, pattern, shared)
+    return _encode(shared, folder, files, pattern, helped), docs.schema["doc_id"].dataType.simpleString()
+
+
+def decode_ids(ids: list[int] | None, pieces: list[bytes | None]) -> bytes | None:
+    """The joined pieces of ids; empty for no ids, null for null, an error for an id that no token has."""
+    if ids is None:
+        return None
+    try:
+        return b"".join([pieces[x] for x in ids])
+    except (TypeError, IndexError) as e:
+        raise ValueError("an id that no token has") from e
+
+
+def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
+    """doc_id and data (binary) of each row of encoded (doc_id, ids), by decode_ids."""
+    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                made = [decode_ids(x.as_py(), pieces) for x in batch.column(1).slice(at, _ROWS)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, _ROWS), pa.array(made, pa.binary())], names=["doc_id", "data"])
+
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, data binary")
+
+
+def _digest(pieces: list[bytes | None], with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    digits = [str(k) for k in range(len(pieces))]
+    for batch in batches:
+        counts, numbers, data = [], [], []
+        for x in batch.column(1):
+            ids = x.values.to_pylist()
+            counts.append(len(ids))
+            numbers.append(hashlib.sha256(" ".join([digits[k] for k in ids]).encode()).hexdigest())
+            data.append(hashlib.sha256(decode_ids(ids, pieces)).hexdigest())
+        own = [batch.column(0), *[batch.column(1)] * with_ids, pa.array(counts, pa.int64()), pa.array(numbers), pa.array(data)]
+        yield pa.RecordBatch.from_arrays(own, names=["doc_id", *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def digests(encoded: DataFrame, ranks: dict[bytes, int], with_ids: bool = False) -> DataFrame:
-    """Counts and checksums of encoded (doc_id, ids), decoded again; the ids too if wanted."""
-    numbers = F.array_join(F.transform("ids", lambda x: x.cast("string")), " ")
-    return encoded.select("doc_id", *["ids"] * with_ids, F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2(decode(F.col("ids"), ranks), 256).alias("decoded_sha256"))
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = False, helped: bool = True) -> DataFrame:
+    """n_tokens, ids_sha256 and decoded_sha256 of each row of docs, encoded and decoded as encode and decode do; the ids too if wanted."""
+    run, kind = _encoding(docs, ranks_path, pattern, helped)
+    pieces = docs.sparkSession.sparkContext.broadcast(_pieces(read_ranks(ranks_path)))
+    schema = f"doc_id {kind}, " + "ids array<int>, " * with_ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _digest(pieces.value, with_ids, run(batches)), schema)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents by the ranks of byte_bpe_50k, and back."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return digests(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), read_ranks(path))
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
