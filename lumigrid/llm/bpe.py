@@ -12,7 +12,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -38,8 +37,11 @@ _LOW = (1 << _BITS) - 1
 _ROWS = 256
 #: Unicode white space, as the tokenizer's \s has it; Python's also has U+001C to U+001F.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: White space next to a space: only there do pieces reach beyond a space that a word follows.
-_TOUCHING = re.compile(f"[{_SPACES}] | [{_SPACES}]")
+
+
+def touching(text: str) -> bool:
+    """White space next to a space: only there do pieces reach beyond a space that a word follows."""
+    return "  " in text or any(c in text and (f"{c} " in text or f" {c}" in text) for c in _SPACES if c != " ")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -199,8 +201,10 @@ def _distinct(shared, pattern: str):
         now = None
 
         def flush() -> Iterator[pa.RecordBatch]:
+            words.update([" " + chunk for chunk in chunks if chunk.isalpha()])
             for chunk in chunks:
-                words.update(_cut(chunk, pieces))
+                if not chunk.isalpha():
+                    words.update(_cut(chunk, pieces))
             folded = [w for w in words if len(data := w.encode()) <= LONGEST and data not in ranks]
             for k in range(0, len(folded), 50_000):
                 some = folded[k : k + 50_000]
@@ -214,7 +218,7 @@ def _distinct(shared, pattern: str):
                 if (block := blocks.of(text)) != now:
                     yield from flush()
                     now = block
-                if _TOUCHING.search(text):
+                if touching(text):
                     words.update(pieces(text))
                 else:
                     first, *parts = text.split(" ")
@@ -266,16 +270,17 @@ class _Folded:
         return out
 
 
-class Encoder:
+class Encoder(dict):
     """Ids of texts, as bytes of 32-bit numbers; remembers them for what stands between spaces."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, helped: bool = True):
-        self.ranks, self.pieces, self.helped = ranks, splitter(pattern).findall, helped
-        self.start({})
+        self.ranks, self.pieces, self.helped, self.known = ranks, splitter(pattern).findall, helped, {}
 
     def start(self, known: dict[str, bytes]) -> None:
         """Begin a block with its folded words."""
-        self.known, self.chunks = known, {}
+        self.known = known
+        self.clear()
+        self.update((word[1:], ids) for word, ids in known.items() if word[0] == " ")
 
     def piece(self, word: str) -> bytes:
         got = self.known.get(word)
@@ -288,15 +293,15 @@ class Encoder:
                 self.known[word] = got
         return got
 
+    def __missing__(self, chunk: str) -> bytes:
+        made = self[chunk] = b"".join(map(self.piece, _cut(chunk, self.pieces)))
+        return made
+
     def encode(self, text: str) -> bytes:
-        if _TOUCHING.search(text):
+        if touching(text):
             return b"".join(map(self.piece, self.pieces(text)))
         first, *parts = text.split(" ")
-        chunks = self.chunks
-        for chunk in {*parts}:
-            if chunk not in chunks:
-                chunks[chunk] = b"".join(map(self.piece, _cut(chunk, self.pieces)))
-        return b"".join((*map(self.piece, self.pieces(first)), *map(chunks.__getitem__, parts)))
+        return b"".join((*map(self.piece, self.pieces(first)), *map(self.__getitem__, parts)))
 
 
 def _pieces(ranks: dict[bytes, int]) -> list[bytes | None]:
@@ -370,16 +375,26 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, data binary")
 
 
+def _joined(ids: pa.ListArray, pieces: pa.LargeBinaryArray) -> Iterator[memoryview]:
+    """For each row the joined pieces of its ids, all taken at once."""
+    ends = ids.offsets.to_numpy()
+    taken = pieces.take(ids.values.slice(ends[0], ends[-1] - ends[0]))
+    if taken.null_count:
+        raise ValueError("an id that no token has")
+    bounds = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+    data = memoryview(taken.buffers()[2] or b"")
+    cuts = bounds[ends - ends[0]].tolist()
+    return (data[a:b] for a, b in zip(cuts, cuts[1:]))
+
+
 def _digest(pieces: list[bytes | None], with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digits = [str(k) for k in range(len(pieces))]
+    binary, digits = pa.array(pieces, pa.large_binary()), pa.array([b"%d " % k for k in range(len(pieces))], pa.large_binary())
     for batch in batches:
-        counts, numbers, data = [], [], []
-        for x in batch.column(1):
-            ids = x.values.to_pylist()
-            counts.append(len(ids))
-            numbers.append(hashlib.sha256(" ".join([digits[k] for k in ids]).encode()).hexdigest())
-            data.append(hashlib.sha256(decode_ids(ids, pieces)).hexdigest())
-        own = [batch.column(0), *[batch.column(1)] * with_ids, pa.array(counts, pa.int64()), pa.array(numbers), pa.array(data)]
+        ids = batch.column(1)
+        counts = pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64))
+        numbers = [hashlib.sha256(x[:-1]).hexdigest() for x in _joined(ids, digits)]  # less the last space
+        data = [hashlib.sha256(x).hexdigest() for x in _joined(ids, binary)]
+        own = [batch.column(0), *[ids] * with_ids, counts, pa.array(numbers, pa.string()), pa.array(data, pa.string())]
         yield pa.RecordBatch.from_arrays(own, names=["doc_id", *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
