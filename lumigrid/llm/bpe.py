@@ -37,6 +37,8 @@ _LOW = (1 << _BITS) - 1
 _ROWS = 256
 #: Unicode white space, as the tokenizer's \s has it; Python's also has U+001C to U+001F.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks that end words often; no letters, numbers, apostrophes or white space.
+_MARKS = ".,;:!?*#&%$)-"
 
 
 def touching(text: str) -> bool:
@@ -170,13 +172,18 @@ def merge_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[a : ends[a]]] for a in range(len(word)) if alive[a]]
 
 
+def _marked(word: str, before: str) -> list[str] | None:
+    """The letters of a word, after what stands before them, and the marks that follow; None for another form."""
+    stem = word.rstrip(_MARKS)
+    return ([before + stem, word[len(stem) :]] if len(stem) < len(word) else [before + stem]) if stem.isalpha() else None
+
+
 def _cut(chunk: str, pieces) -> list[str]:
-    """The pieces of a chunk that follows a space; words of letters alone, or before a mark, need no pattern."""
-    if chunk.isalpha():
-        return [" " + chunk]
-    if chunk[:-1].isalpha() and chunk[-1] in ".,":
-        return [" " + chunk[:-1], chunk[-1]]
-    return pieces(" " + chunk)
+    """The pieces of a chunk that follows a space; words of letters and marks, and two with a line end between, need no pattern."""
+    head, line, tail = chunk.partition("\n")
+    first = _marked(head, " ")
+    second = _marked(tail, "") if line else []
+    return pieces(" " + chunk) if first is None or second is None else [*first, line, *second] if line else first
 
 
 class _Blocks:
