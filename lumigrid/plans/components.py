@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumigrid.session import materialize
+from lumigrid.session import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,14 +24,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of edges (a, b), component being the least node that can be reached.
 
     Each round is a grouped minimum and a join; a node with many edges is pre-aggregated and its join side can be split.
-    Edges are written to the shared folder after each round, so a lost executor costs one round at most. Edges of a
-    node with itself are allowed; no edges give no rows; null ends are left out.
+    Edges are written to the shared folder after each round, so a lost executor costs one round at most; the edges of
+    the round before are removed. Edges of a node with itself are allowed; no edges give no rows; null ends are left out.
     """
     loops = edges.where("a = b").select("a", "b")
-    now = materialize(edges.where("a <> b").select("a", "b").distinct(), "edges")
-    state = None
+    last, state = Scratch(edges.sparkSession), None
+    now = last.table(edges.where("a <> b").select("a", "b").distinct(), "edges")
     while True:
-        now = materialize(_small_star(_large_star(now)).distinct(), "edges")
+        new = Scratch(edges.sparkSession)
+        now = new.table(_small_star(_large_star(now)).distinct(), "edges")
+        last.clear()
+        last = new
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
             break

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,10 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, a temporary one is set."""
+    """The folder that spark.checkpoint.dir names; where it is unset and the master local, as in tests, a temporary one is set."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lumigrid-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
@@ -50,3 +53,23 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Intermediate tables that go when they are no longer needed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, what: str) -> DataFrame:
+        """As materialize does; clear removes it."""
+        path = new_folder(self.spark, what)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Remove the tables. No DataFrame that reads them may be used afterwards."""
+        for path in map(self.spark._jvm.org.apache.hadoop.fs.Path, self.paths):
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = []
