@@ -52,19 +52,29 @@ def word_hashes(data: bytes) -> np.ndarray:
     return _mix(sums[ends] - sums[starts])
 
 
-def sketch(text: str, shingle_words: int = SHINGLE_WORDS, scale: int = SCALE, floor: int = FLOOR) -> np.ndarray:
-    """Sorted distinct hashes of the runs of shingle_words words that the fraction or the floor keeps.
-
-    Fewer words are one shingle; without words the sketch is empty.
-    """
-    own = word_hashes(text.encode("utf-8", "surrogatepass"))
+def all_shingles(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The hash of each run of shingle_words words; of all words where there are fewer; none without words."""
+    own = word_hashes((text or "").encode("utf-8", "surrogatepass"))
     if not len(own):
         return own
     size = min(shingle_words, len(own))
     total = np.zeros(len(own) - size + 1, np.uint64)
     for k in range(size):
         total = total * _ODD + own[k : len(own) - size + 1 + k]
-    hashes = _mix(total)
+    return _mix(total)
+
+
+def shingle_set(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The distinct hashes, ascending."""
+    return np.unique(all_shingles(text, shingle_words))
+
+
+def sketch(text: str, shingle_words: int = SHINGLE_WORDS, scale: int = SCALE, floor: int = FLOOR) -> np.ndarray:
+    """Sorted distinct hashes of the runs of shingle_words words that the fraction or the floor keeps.
+
+    Fewer words are one shingle; without words the sketch is empty.
+    """
+    hashes = all_shingles(text, shingle_words)
     below = hashes[hashes <= np.uint64(_FULL // scale - 1)]
     kept = np.unique(below)
     return kept if len(kept) >= floor else np.unique(hashes)[: max(floor, len(kept))]

@@ -1,10 +1,16 @@
-"""Near-duplicate groups: an exact join of shingle sets by prefixes, linked around central texts first.
+"""Near-duplicate groups: SimHash links, then an exact join of shingle sets by prefixes for what lies beyond them.
 
-Shingles have one fixed order, frequent ones last. Two sets of Jaccard similarity t or more share one of the first
-n - ceil(t n) + 1 shingles of either, so texts that share none are never compared and no pair is lost. Texts of a
-shingle are first verified against the one whose shingles most texts share, which joins a large group of near copies
-in as many pairs as texts. Then all pairs of a shingle's texts that no chain of links joins yet are verified. Each
-link is verified: the Jaccard similarity of the sets of five-word shingles reaches the limit.
+Two texts are linked if the Jaccard similarity of their sets of five-word shingles reaches the limit. Candidates come
+from three searches, and every candidate is verified on the whole sets:
+
+1. texts whose SimHash fingerprints the generalised pigeonhole search of operator 2 links;
+2. texts of a shared prefix shingle with the most central of them, which joins a large group of near copies in as many
+   pairs as texts;
+3. all pairs of a prefix shingle's texts that no chain of links joins yet.
+
+Shingles have one fixed order, frequent ones last. Two sets of similarity t or more share one of the first
+n - ceil(t n) + 1 shingles of either, so the last two searches lose no pair. The first shingle that two sets share
+bounds what they can share in all, by its places in both, so most other pairs are never verified.
 """
 
 from __future__ import annotations
@@ -15,81 +21,82 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumigrid.llm.text import shingle_hashes
+from lumigrid.llm.fingerprints import shingle_set
+from lumigrid.llm.simhash import close_pairs, fingerprints
 from lumigrid.plans.components import connected_components
-from lumigrid.session import materialize
-
-SIMILARITY, SHINGLE_WORDS = 0.8, 5
-#: Texts that are sampled for frequent shingles, and the frequent shingles that are kept.
-SAMPLE, FREQUENT = 20_000, 1 << 17
-#: spanning_pairs leaves out pairs with more differing bits.
-MOST_BITS = 72
-#: Prints up to which spanning_pairs takes all pairs; texts of a shingle that meet in one block of a join.
-PAIRS, HOT = 24, 2000
-
-
-def _distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(many ^ one).sum(1)
+from lumigrid.session import Scratch, materialize
 
+SIMILARITY, SHINGLE_WORDS, BITS = 0.8, 5, 2
+#: Frequent shingles that are kept: 1 MB.
+FREQUENT = 1 << 17
+#: A shingle is frequent if so many texts of a task hold it; shingles that a task counts before rare ones are let go.
+HELD, COUNTED = 3, 1 << 23
+#: Texts of a shingle that meet in one block of a join; results do not depend on it.
+BLOCK = 2000
 
-def spanning_pairs(prints: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs of a few prints, else a minimum spanning tree; pairs beyond MOST_BITS are left out."""
-    n = len(prints)
-    if n <= PAIRS:
-        near = [(i, i + 1 + np.nonzero(_distances(prints[i], prints[i + 1 :]) <= MOST_BITS)[0]) for i in range(n - 1)]
-        return [(i, int(j)) for i, js in near for j in js]
-    out, best, via = [], _distances(prints[0], prints).astype(np.int64), np.zeros(n, np.int64)
-    best[0] = 1 << 30
-    for _ in range(n - 1):
-        k = int(best.argmin())
-        if best[k] <= MOST_BITS:
-            out.append((int(via[k]), k))
-        best[k] = 1 << 30
-        d = _distances(prints[k], prints)
-        closer = (d < best) & (best < 1 << 30)
-        best[closer], via[closer] = d[closer], k
-    return out
 
+def text_digest() -> Column:
+    return F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
 
-_PAIR = pa.schema([("a", pa.string()), ("b", pa.string())])
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) for shingles that several of a task's distinct texts hold; where too many are held, rare ones go."""
+    seen: set[str] = set()
+    keys, n, waiting, size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
 
-def _frequent(keyed: DataFrame) -> np.ndarray:
-    """Sorted shingle hashes that several of a bounded sample of texts have; they go last in the order of shingles."""
-    share = min(1.0, SAMPLE / max(1, keyed.count()))
-    sample = keyed.where(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") < int(share * (1 << 32))).dropDuplicates(["digest"])
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        every, at = np.unique(np.concatenate((keys, *waiting)), return_inverse=True)
+        total = np.bincount(at[len(keys) :], minlength=len(every)).astype(np.int64)
+        total[at[: len(keys)]] += n
+        return every, total
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text.as_py(), SHINGLE_WORDS)).view(np.int64))], names=["key"])
-
-    counts = sample.select("text").mapInArrow(each, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    for batch in batches:
+        for digest, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if digest not in seen:
+                seen.add(digest)
+                waiting.append(shingle_set(text.as_py(), SHINGLE_WORDS))
+                size += len(waiting[-1])
+                if size > COUNTED:
+                    keys, n = merged()
+                    if len(keys) > COUNTED:
+                        keys, n = keys[n > 1], n[n > 1] - 1
+                    waiting, size = [], 0
+    keys, n = merged()
+    often = n >= HELD
+    yield pa.RecordBatch.from_arrays([pa.array(keys[often].view(np.int64)), pa.array(n[often])], names=["key", "n"])
+
+
+def frequent_shingles(keyed: DataFrame) -> np.ndarray:
+    """Sorted hashes of the shingles of keyed (digest, text) that most texts hold, over all texts.
+
+    They only go last in the order of shingles, so results do not depend on them.
+    """
+    counts = keyed.select("digest", "text").mapInArrow(_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return np.sort(counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()["key"].to_numpy().view(np.uint64))
 
 
 def _prefixes(shared, limit: float):
-    """Of each text the first shingles of a fixed order: two texts that reach the limit share one of these."""
+    """Of each text the size of its set and the first shingles in the fixed order; [0] for a text without words."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in batches:
             made, sizes = [], []
             for text in batch.column(1):
-                own = np.unique(shingle_hashes(text.as_py(), SHINGLE_WORDS))
+                own = shingle_set(text.as_py(), SHINGLE_WORDS)
                 late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own if len(frequent) else np.zeros(len(own), bool)
                 first = len(own) - int(np.ceil(limit * len(own) - 1e-9)) + 1
                 made.append(np.concatenate((own[~late], own[late]))[:first].view(np.int64) if len(own) else np.zeros(1, np.int64))
                 sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["digest", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))], names=["digest", "n", "keys"])
 
     return prefixes
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        made = [np.unique(shingle_hashes(t.as_py(), SHINGLE_WORDS)).tobytes() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["digest", "set"])
+        made = [shingle_set(t.as_py(), SHINGLE_WORDS).tobytes() for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "set"])
 
 
 def _similar(limit: float):
@@ -98,78 +105,105 @@ def _similar(limit: float):
             kept = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 a, b = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= limit * max(len(a), len(b)) else 0
+                both = len(np.intersect1d(a, b, assume_unique=True)) if min(len(a), len(b)) >= limit * max(len(a), len(b)) - 1e-9 else 0
                 kept.append(both >= limit * (len(a) + len(b) - both) - 1e-9 if len(a) + len(b) else True)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=_PAIR).filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     return similar
 
 
-def text_digest() -> Column:
-    return F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
+def _possible(limit: float) -> Column:
+    """Sets of n and m shingles that meet at places p and q of the order can reach the limit, if they meet there first."""
+    least = F.lit(limit / (1 + limit)) * (F.col("n") + F.col("m")) - 1e-6
+    return (F.lit(1) + F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q")) - 1 >= least) & (F.least("n", "m") >= limit * F.greatest("n", "m") - 1e-6)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _long_enough(limit: float) -> Column:
-    """Sets of sizes n and m may reach the limit."""
-    return F.least("n", "m") >= limit * F.greatest("n", "m") - 1e-9
+def _simhash_pairs(texts: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Operator 2 over five-word shingles: texts with the least of their fingerprint, and those of linked fingerprints."""
+    prints = fingerprints(docs.select(F.col("digest").alias("doc_id"), "text"), SHINGLE_WORDS).dropDuplicates(["doc_id"])
+    prints = scratch.table(prints.join(texts, F.col("doc_id") == F.col("digest")).select("id", "fp"), "prints")
+    heads = scratch.table(prints.groupBy("fp").agg(F.min("id").alias("head")), "heads")
+    near = close_pairs(heads, BITS)
+    left, right = heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    across = near.join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return prints.join(heads, "fp").select(F.col("id").alias("a"), F.col("head").alias("b")).where("a <> b").union(across)
 
 
 def _central_pairs(rows: DataFrame, limit: float) -> DataFrame:
-    """Each text of a key with the one whose keys have most texts, from rows (key, digest, n, held)."""
-    score = rows.groupBy("digest").agg(F.sum("held").alias("score"))
-    heads = rows.join(score, "digest").groupBy("key").agg(F.max_by(F.struct("digest", "n"), F.struct("score", "digest")).alias("head"))
-    both = rows.join(heads, "key").select(F.col("digest").alias("a"), "n", F.col("head.digest").alias("b"), F.col("head.n").alias("m"))
-    return both.where("a <> b").where(_long_enough(limit)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    """Each text of a key with the one whose keys have most texts, from rows (key, id, n, p, held)."""
+    score = rows.groupBy("id").agg(F.sum("held").alias("score"))
+    heads = rows.join(score, "id").groupBy("key").agg(F.max_by(F.struct("id", "n", "p"), F.struct("score", "id")).alias("head"))
+    both = rows.join(heads, "key").select(F.col("id").alias("a"), "n", "p", F.col("head.id").alias("b"), F.col("head.n").alias("m"), F.col("head.p").alias("q"))
+    return both.where("a <> b").where(_possible(limit)).select("a", "b")
 
 
-def _open_pairs(rows: DataFrame, linked: DataFrame, limit: float) -> DataFrame:
+def _open_pairs(rows: DataFrame, linked: DataFrame, limit: float, scratch: Scratch) -> DataFrame:
     """All pairs that share a key and that no chain of links joins yet; linked: (node, component)."""
-    placed = rows.join(linked.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    placed = rows.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    # the texts of a key lie in blocks of about HOT, each of which meets all texts of the key in tasks of its own
-    blocks = F.ceil(F.col("held") / HOT).cast("int")
-    placed = materialize(placed.join(several, "key").withColumn("blocks", blocks), "open")
-    left = placed.select("key", F.pmod(F.xxhash64("digest"), "blocks").cast("int").alias("block"), F.col("digest").alias("a"), "n", F.col("component").alias("ca"))
-    right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("digest").alias("b"), F.col("n").alias("m"), F.col("component").alias("cb"))
-    both = left.join(right, ["key", "block"]).where("ca < cb").where(_long_enough(limit))
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _verified(pairs: DataFrame, keyed: DataFrame, limit: float) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    sets = materialize(keyed.join(ends, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", "text").mapInArrow(_shingles, "digest string, set binary"), "sets")
-    left, right = sets.select(F.col("digest").alias("a"), F.col("set").alias("x")), sets.select(F.col("digest").alias("b"), F.col("set").alias("y"))
-    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(limit), "a string, b string"), "links")
-
-
-def near_duplicate_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Distinct texts (digest, least doc_id) of docs (doc_id, text), and verified links (a, b) between digests.
-
-    The links join just those texts that chains of pairs at similarity or more join; pairs that are joined anyway are
-    not all there.
+    # the texts of a key lie in blocks, each of which meets all texts of the key in tasks of its own
+    placed = scratch.table(placed.join(several, "key").withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")), "open")
+    left = placed.select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.col("id").alias("a"), "n", "p", F.col("component").alias("ca"))
+    right = placed.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("component").alias("cb"))
+    return left.join(right, ["key", "block"]).where("ca < cb").where(_possible(limit)).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, limit: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of ids whose sets reach the limit, written."""
+    own = Scratch(docs.sparkSession)
+    pairs = own.table(_ordered(pairs).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    # one row of docs for each text
+    named = ends.join(texts, "id").select("id", "digest")
+    one = docs.select("digest", "text").join(named, "digest").dropDuplicates(["id"]).select("id", "text")
+    sets = own.table(one.mapInArrow(_sets, "id long, set binary"), "sets")
+    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    found = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(limit), "a long, b long"), "links")
+    own.clear()
+    return found
+
+
+def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(digest, least, component) of the distinct texts of docs (doc_id, text): the least doc_id and the group's number.
+
+    Groups: chains of texts that are similar. Texts without words, null ones included, are one group.
     """
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     keyed = docs.select("doc_id", "text", text_digest().alias("digest"))
-    texts = materialize(keyed.groupBy("digest").agg(F.min("doc_id").alias("least")), "texts")
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(keyed))  # at most 1 MB
-    own = keyed.select("digest", "text").mapInArrow(_prefixes(shared, similarity), "digest string, n long, keys array<long>").dropDuplicates(["digest"])
-    rows = materialize(own.select("digest", "n", F.explode("keys").alias("key")), "prefixes")
-    held = rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    rows = materialize(rows.join(held, "key"), "shared")
-    central = _verified(materialize(_central_pairs(rows, similarity), "pairs"), keyed, similarity)
-    rest = _verified(materialize(_open_pairs(rows, connected_components(central), similarity), "pairs"), keyed, similarity)
-    return texts, central.union(rest)
+    texts = materialize(keyed.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "texts")
+    shared = spark.sparkContext.broadcast(frequent_shingles(keyed))
+    own = keyed.select("digest", "text").mapInArrow(_prefixes(shared, similarity), "digest string, n int, keys array<long>").dropDuplicates(["digest"])
+    own = scratch.table(own.join(texts, "digest").select("id", "n", "keys"), "prefixes")
+    shared.destroy()
+    rows = own.select("id", "n", F.posexplode("keys").alias("p", "key"))
+    held = own.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+    rows = scratch.table(rows.join(held, "key"), "shared")
+    near = _central_pairs(rows, similarity).union(_simhash_pairs(texts.select("digest", "id"), keyed, scratch))
+    links = _verified(near, texts, keyed, similarity, scratch)
+    rest = _verified(_open_pairs(rows, connected_components(links), similarity, scratch), texts, keyed, similarity, scratch)
+    linked = materialize(connected_components(links.union(rest)), "linked")
+    scratch.clear()
+    joined = texts.join(linked.withColumnRenamed("node", "id"), "id", "left")
+    return joined.select("digest", "least", F.coalesce("component", "id").alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs (doc_id, text, more columns) without all but one document of each group: that with the smallest doc_id.
 
     Groups: equal texts, and chains of texts whose sets of five-word shingles (of all words where they are fewer) have
-    a Jaccard similarity of at least similarity. Texts without words, null ones included, are one group. A null doc_id goes before a document
-    with one only if its group has none. Rows that repeat doc_id and text leave one. No rows give no rows.
+    a Jaccard similarity of at least similarity. Texts without words, null ones included, are one group. A null doc_id
+    goes before a document with one only if its group has none. Rows that repeat doc_id and text leave one. No rows
+    give no rows. Further columns go through as they are, whatever their names.
     """
-    texts, links = near_duplicate_links(docs, similarity)
-    member = texts.join(connected_components(links).withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    kept = member.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest")).alias("one")).select(F.col("one.least").alias("_least"), F.col("one.digest").alias("_digest"))
-    marked = docs.withColumn("_text_digest", text_digest())
-    same = marked["doc_id"].eqNullSafe(kept["_least"]) & (marked["_text_digest"] == kept["_digest"])
-    return marked.join(kept, same).dropDuplicates(["_least", "_digest"]).select(*docs.columns)
+    groups = near_duplicate_groups(docs, similarity)
+    kept = groups.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest")).alias("one"))
+    kept = kept.select("one.least", "one.digest")
+    # whole rows in one column, so that no name can clash
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").alias("row_id"), text_digest().alias("row_digest"))
+    same = whole["row_id"].eqNullSafe(kept["least"]) & (whole["row_digest"] == kept["digest"])
+    return whole.join(kept, same, "left_semi").dropDuplicates(["row_id", "row_digest"]).select("row.*")

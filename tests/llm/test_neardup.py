@@ -2,8 +2,6 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
-import numpy as np
-
 from lumigrid.llm import neardup
 
 
@@ -44,7 +42,7 @@ def test_groups(spark):
                 own[rng.randrange(len(own))] = rng.choice(words)
             rows.append((len(rows), " ".join(own)))
     rows += [(900, None), (901, ""), (None, ""), (902, rows[3][1].upper()), (None, rows[5][1]), (7, rows[7][1]), (None, "alone with a null id here"), (903, " \n ")]
-    docs = spark.createDataFrame([(*r, k, "d") for k, r in enumerate(rows)], "doc_id long, text string, component int, digest string")
+    docs = spark.createDataFrame([(*r, k, "d") for k, r in enumerate(rows)], "doc_id long, text string, component int, row_digest string")
     got = neardup.drop_near_duplicates(docs)
     assert got.columns == docs.columns
     assert sorted((r.doc_id for r in got.collect()), key=repr) == brute(rows)
@@ -52,7 +50,7 @@ def test_groups(spark):
 
 
 def test_one_large_group(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HOT", 50)
+    monkeypatch.setattr(neardup, "BLOCK", 50)
     rng = random.Random(2)
     base = [f"w{rng.randrange(900)}" for _ in range(400)]
     rows = [(0, " ".join(base))]
@@ -65,17 +63,6 @@ def test_one_large_group(spark, monkeypatch):
     assert [r.doc_id for r in kept] == [0]
 
 
-def test_spanning_tree_is_minimal():
-    prints = np.random.default_rng(1).integers(0, 1 << 62, (60, 4), np.uint64) & np.uint64(0x0101010101010101)
-    pairs = neardup.spanning_pairs(prints)
-    d = lambda i, j: int(np.bitwise_count(prints[i] ^ prints[j]).sum())
-    best, joined = 0, {0}
-    while len(joined) < len(prints):
-        w, j = min((d(i, j), j) for i in joined for j in range(len(prints)) if j not in joined)
-        best, joined = best + w, joined | {j}
-    assert len(pairs) == len(prints) - 1 and sum(d(*p) for p in pairs) == best
-
-
 def edited(base, rng, places, tag):
     own = list(base)
     for at in places:
@@ -110,7 +97,7 @@ def test_groups_do_not_depend_on_the_size_of_blocks(spark, monkeypatch):
             rows.append((len(rows), " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for hot in (2000, 7):
-        monkeypatch.setattr(neardup, "HOT", hot)
+        monkeypatch.setattr(neardup, "BLOCK", hot)
         assert sorted((r.doc_id for r in neardup.drop_near_duplicates(docs).collect()), key=repr) == brute(rows)
 
 
@@ -123,3 +110,23 @@ def test_appended_text(spark):
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base + [f"b{k}w{j}" for j in range(46)]))]
     kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.doc_id for r in kept) == list(range(0, 400, 2))
+
+
+def test_many_near_copies(spark):
+    """5,000 copies, each at 0.85 to the original and most below 0.8 to each other, are one group; other texts stay."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 5000):
+        rows.append((k, " ".join(edited(base, rng, [40 * j + rng.randrange(35) for j in range(3)], f"c{k}"))))
+    rows += [(10_000 + k, " ".join(f"o{rng.randrange(10**6)}" for _ in range(60))) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in neardup.drop_near_duplicates(docs).collect())
+    assert kept == [0, *range(10_000, 10_500)]
+
+
+def test_recall_on_documents(spark):
+    """Against brute force over all pairs that share a shingle, on the documents of sf0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted((r.doc_id for r in neardup.drop_near_duplicates(docs).collect()), key=repr) == brute(rows)
