@@ -1,45 +1,53 @@
-"""A corpus pipeline: toxicity, language, near-duplicates, decontamination, and a check of the tokens."""
+"""A corpus pipeline: toxicity, language, near-duplicates, decontamination, and a check of the tokens.
+
+Every stage judges each row by its own text, so rows with a null or a repeated doc_id are kept or dropped by themselves,
+and gives no rows for no rows. All stages but the last pass whole rows on: the columns of docs, whatever further ones
+there are.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from lumigrid.llm import bpe, decontaminate, langid, neardup, toxicity
 from lumigrid.session import materialize, table
 
 
-def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is among bad's, null included."""
-    named = bad.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(named, docs["doc_id"].eqNullSafe(named["_bad"]), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic; it learns from labels of these documents."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, toxicity.score(docs, model).where("predicted = 1"))
+    """Rows that the classifier does not call toxic; it learns from labels of these documents.
+
+    A null or empty text has no toxic word. Without labelled rows no row is toxic. Labels are matched by doc_id; a null
+    one has none.
+    """
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are near a centroid of some language of these documents."""
-    return _without(docs, langid.predict(docs, langid.fit(docs)).where("rejected"))
+    """Rows near a centroid of some language of these documents.
+
+    Texts without a letter, null and empty ones included, are rejected; where no row has a language, all are. Of equal
+    cosines the first language in alphabetical order counts; that rejects nothing.
+    """
+    return langid.keep_known(docs, langid.fit(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One row of each group of near-duplicates, that with the smallest doc_id, a null one only if there is no other.
+
+    Repeated rows leave one. Texts without words are one group. Of rows with one doc_id the text of least digest stays.
+    """
     return neardup.drop_near_duplicates(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
-    return _without(docs, decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark")))
+    """Rows whose text overlaps no benchmark item. A null or empty text overlaps none; no items drop nothing."""
+    return decontaminate.drop_overlapping(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, and checksums of ids and of the decoded bytes."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, with_ids=True)
+    """For each row doc_id, its ids, their number, and checksums of ids and of the decoded bytes; a null text has no ids."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [

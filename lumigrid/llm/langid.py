@@ -145,6 +145,18 @@ def fit(docs: DataFrame, per_language: int = ROWS_PER_LANGUAGE, rows: int = ROWS
 _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
 
+def judge(texts: list[str | None], fitted: Centroids | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """For each text the language, the cosine and whether it is rejected."""
+    counts = np.stack([gram_counts(t) for t in texts])
+    some = counts.any(1)
+    if fitted is None:
+        return [UNDETERMINED] * len(counts), np.zeros(len(counts)), np.ones(len(counts), bool)
+    cosines = fitted.cosines(counts)
+    names = [fitted.languages[fitted.owner[k]] if s else UNDETERMINED for k, s in zip(cosines.argmax(1), some)]
+    best = np.where(some, np.clip(cosines.max(1), 0, 1), 0).astype(np.float64)
+    return names, best, ~some | (best < fitted.least)
+
+
 def predict(docs: DataFrame, model: Centroids | None) -> DataFrame:
     """doc_id, held_out, lang_pred, score (the cosine) and rejected of each row of docs (doc_id, text).
 
@@ -154,25 +166,28 @@ def predict(docs: DataFrame, model: Centroids | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, _BATCH):
                 ids, held, texts = (batch.column(k).slice(at, _BATCH) for k in range(3))
-                counts = np.stack([gram_counts(t.as_py()) for t in texts])
-                some = counts.any(1)
-                if fitted is None:
-                    names, best = [UNDETERMINED] * len(counts), np.zeros(len(counts))
-                    refused = np.ones(len(counts), bool)
-                else:
-                    cosines = fitted.cosines(counts)
-                    names = [fitted.languages[fitted.owner[k]] if s else UNDETERMINED for k, s in zip(cosines.argmax(1), some)]
-                    best = np.where(some, np.clip(cosines.max(1), 0, 1), 0).astype(np.float64)
-                    refused = ~some | (best < fitted.least)
+                names, best, refused = judge(texts.to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([ids, held, pa.array(names, pa.string()), pa.array(best), pa.array(refused)], schema=_RESULT)
 
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(label, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
+def keep_known(docs: DataFrame, model: Centroids | None) -> DataFrame:
+    """The rows of docs (text, more columns) that predict does not reject, each judged by itself and passed on whole."""
+    shared, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BATCH):
+                piece = batch.slice(at, _BATCH)
+                yield piece.filter(pa.array(~judge(piece.column(column).to_pylist(), shared.value)[2]))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by centroids of the documents."""
     docs = table(spark, sf_dir, "documents")

@@ -204,6 +204,6 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     kept = groups.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest")).alias("one"))
     kept = kept.select("one.least", "one.digest")
     # whole rows in one column, so that no name can clash
-    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").alias("row_id"), text_digest().alias("row_digest"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("row_id"), text_digest().alias("row_digest"))
     same = whole["row_id"].eqNullSafe(kept["least"]) & (whole["row_digest"] == kept["digest"])
     return whole.join(kept, same, "left_semi").dropDuplicates(["row_id", "row_digest"]).select("row.*")

@@ -1,9 +1,10 @@
 """Toxicity by weak supervision.
 
 Voters are words and word beginnings that toxic rows of a bounded labelled sample use far more than clean rows, and
-patterns of writing. A generative label model takes the votes over a bounded sample without labels, and estimates the
-share of toxic texts, how often each voter votes either way on toxic and on clean texts, and which voters go together
-beyond that; such voters count less. A linear classifier learns its posterior labels and scores every text.
+patterns of writing. Labels choose the voters and their floors, and say which class is toxic; they do no more. A
+generative label model takes the votes over a second bounded sample, whose labels it never sees. By expectation
+maximisation it estimates the share of the classes, how often each voter is right, and which voters correlate;
+these stand for one kind of toxic texts. A linear classifier learns the posterior labels and scores every text.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from string import ascii_uppercase, digits
 
 import ahocorasick
 import numpy as np
@@ -18,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumigrid.llm.sampling import bounded, held_out, learnable
-from lumigrid.session import table
+from lumigrid.session import Scratch, table
 
-#: Labelled rows that the lexicon is mined from, and rows that the label model and the classifier are fitted on.
-LABELLED_ROWS = 8000
+#: Labelled rows that choose the voters, and rows without labels that the label model and the classifier are fitted on.
+LABELLED_ROWS, UNLABELLED_ROWS = 8000, 8000
 #: Entries of the lexicon.
 ENTRIES = 64
 THRESHOLD = 0.7
@@ -29,8 +31,15 @@ THRESHOLD = 0.7
 LIFT, TOXIC_SHARE = 6.0, 0.02
 #: A voter must find so many toxic sample rows more than it costs; a clean row that it hits costs as much as so many.
 GAIN, CLEAN_COST = 4, 3
-#: How often a label is taken to be right.
-MARK_ACCURACY = 0.93
+#: First guesses: how likely a text with a vote is toxic, and one without is clean.
+PRIOR_ACCURACY, PRIOR_SILENT = 0.9, 0.98
+#: Rows that are added to each kind of texts, and how often voters vote in them.
+PRIOR_VOTES, PRIOR_RATE = 5, 0.002
+#: Voters that correlate so much are one group.
+DEPENDENT = 0.25
+#: Patterns of writing, as shares of the text's characters or words.
+PATTERNS = ("capitals", "shouted words", "exclamations", "questions", "stars and signs", "digits", "runs of marks", "repeated words", "long words", "line ends")
+_RUNS = ("!!", "??", "**", "##", "$$", "%%", "&&")
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = range(4, 9)
 
@@ -89,22 +98,31 @@ class Lexicon:
             self.machine.make_automaton()
 
     def densities(self, text: str | None) -> np.ndarray:
-        """For each entry its share of the words; then shares of capital letters, of marks, and of repeated words."""
+        """For each entry its share of the words; then the PATTERNS."""
         text = text or ""
         low = text.lower()
         own = low.split()
-        out = np.zeros(len(self.entries) + 3)
-        n = max(1, len(own))
+        out = np.zeros(len(self.entries) + len(PATTERNS))
+        n, size = max(1, len(own)), max(1, len(text))
         if self.entries and own:
-            for end, (k, size, whole) in self.machine.iter(low):
-                begin = end - size + 1
+            for end, (k, length, whole) in self.machine.iter(low):
+                begin = end - length + 1
                 if (begin == 0 or not low[begin - 1].isalpha()) and not (whole and end + 1 < len(low) and low[end + 1].isalpha()):
                     out[k] += 1
-        size = max(1, len(text))
-        out[:-3] /= n
-        out[-3] = sum(map(text.count, "ETAOINSR")) / size
-        out[-2] = sum(map(text.count, "!?*#$%&")) / size
-        out[-1] = 1 - len(set(own)) / n
+        out[: len(self.entries)] /= n
+        count = text.count
+        out[len(self.entries) :] = (
+            sum(map(count, ascii_uppercase)) / size,
+            sum(w.isupper() and len(w) > 1 for w in text.split()) / n,
+            count("!") / size,
+            count("?") / size,
+            sum(map(count, "*#$%&@")) / size,
+            sum(map(count, digits)) / size,
+            sum(map(count, _RUNS)) / n,
+            1 - len(set(own)) / n,
+            sum(len(w) > 20 for w in own) / n,
+            count("\n") / size,
+        )
         return out
 
 
@@ -125,42 +143,73 @@ def choose_floors(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def votes(x: np.ndarray, floors: np.ndarray) -> np.ndarray:
-    """1 for toxic, -1 for clean, 0 for none: a voter for each column, and one that calls texts without any entry clean."""
-    fired = (x > floors[None, :]).astype(np.int8)
-    fired[:, -3:] = np.where(np.isfinite(floors[-3:]), fired[:, -3:], 0)
-    silent = np.where(fired[:, :-3].any(1), 0, -1).astype(np.int8)
-    return np.concatenate((fired, silent[:, None]), axis=1)
+    """1 where a voter, one for each column, says toxic; 0 where it says nothing."""
+    return (x > floors[None, :]).astype(np.int8)
 
 
-def label_model(v: np.ndarray, marks: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, dict]:
-    """Posterior of toxic for each row of votes, and the estimates: share, accuracies, correlations.
+def correlations(v: np.ndarray) -> np.ndarray:
+    """Correlation of each two voters over rows of votes."""
+    own = v.mean(0)
+    spread = np.sqrt(np.maximum(own * (1 - own), 1e-12))
+    return (v.T @ v / len(v) - np.outer(own, own)) / np.outer(spread, spread)
 
-    marks: 1, 0 or -1 for unknown; a voter of fixed accuracy MARK_ACCURACY that says which of the two classes is which.
 
-    Expectation-maximisation over voters that are independent given the label; after each round the correlations that
-    remain given the label are estimated, and the evidence of a voter is divided by one plus those it has with others.
+def voter_groups(strength: np.ndarray, least: float) -> np.ndarray:
+    """A number for each voter; voters that chains of correlations of at least least connect share it."""
+    group = np.arange(len(strength))
+    for j, k in zip(*np.nonzero(np.triu(strength >= least, 1))):
+        group[group == group[k]] = group[j]
+    return np.unique(group, return_inverse=True)[1]
+
+
+class LabelModel:
+    """How often each voter votes in clean texts and in each kind of toxic texts, and the shares of these kinds.
+
+    A kind of toxic texts stands for each group of correlated voters, so voters that go together are not counted as
+    if they said something anew. rates[0] and shares[0] are those of clean texts.
     """
-    kinds = np.stack([v == 1, v == 0, v == -1], axis=2).astype(float)
-    anchor = np.where(marks < 0, 0.0, np.where(marks == 1, 1.0, -1.0)) * np.log(MARK_ACCURACY / (1 - MARK_ACCURACY))
-    posterior = np.clip((v[:, :-4] == 1).any(1) * 0.9 + 0.02, 0.02, 0.92)
-    discount = np.ones(v.shape[1])
-    correlation = np.eye(v.shape[1])
+
+    def __init__(self, shares: np.ndarray, rates: np.ndarray, groups: np.ndarray):
+        self.shares, self.rates, self.groups = shares, rates, groups
+
+    def kinds(self, v: np.ndarray) -> np.ndarray:
+        """For each row of votes how likely it is of each kind."""
+        logs = v @ (np.log(self.rates) - np.log(1 - self.rates)).T + (np.log(1 - self.rates).sum(1) + np.log(self.shares))[None, :]
+        likely = np.exp(logs - logs.max(1, keepdims=True))
+        return likely / likely.sum(1, keepdims=True)
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        """How likely each row is toxic."""
+        return 1 - self.kinds(v.astype(float))[:, 0]
+
+    def accuracies(self) -> np.ndarray:
+        """For each voter the share of its votes that meet toxic texts."""
+        voting = self.shares[:, None] * self.rates
+        return voting[1:].sum(0) / voting.sum(0)
+
+
+def label_model(v: np.ndarray, rounds: int = 100) -> LabelModel:
+    """Fitted to rows of votes by expectation maximisation, from the belief that a text with a vote is toxic."""
+    v = v.astype(float)
+    groups = voter_groups(correlations(v), DEPENDENT)
+    members = np.eye(groups.max() + 1)[groups]
+    named = v @ members
+    held = np.zeros((len(v), 1 + members.shape[1]))
+    silent = named.sum(1) == 0
+    held[:, 0] = np.where(silent, PRIOR_SILENT, 1 - PRIOR_ACCURACY)
+    held[silent, 1:] = (1 - PRIOR_SILENT) / members.shape[1]
+    held[~silent, 1:] = PRIOR_ACCURACY * named[~silent] / named[~silent].sum(1, keepdims=True)
+    model = None
     for _ in range(rounds):
-        weights = np.stack([1 - posterior, posterior])
-        share = np.clip(weights.mean(1), 1e-3, 1)
-        rates = (np.einsum("ya,ajk->yjk", weights, kinds) + 0.1) / (weights.sum(1)[:, None, None] + 0.3)
-        spread = []
-        for y in (0, 1):
-            centred = v - (rates[y][:, 0] - rates[y][:, 2])[None, :]
-            spread.append((centred * weights[y][:, None]).T @ centred)
-        total = spread[0] + spread[1]
-        scale = np.sqrt(np.maximum(np.diag(total), 1e-9))
-        correlation = np.clip(total / np.outer(scale, scale), -1, 1)
-        np.fill_diagonal(correlation, 1)
-        discount = 1 / np.where(correlation > 0.2, correlation, 0).sum(1)
-        evidence = np.einsum("ajk,jk->a", kinds, discount[:, None] * (np.log(rates[1]) - np.log(rates[0])))
-        posterior = 1 / (1 + np.exp(-np.clip(evidence + anchor + np.log(share[1] / share[0]), -30, 30)))
-    return posterior, {"share": float(share[1]), "rates": rates, "correlation": correlation, "discount": discount}
+        weight = held.sum(0)
+        shares = (weight + 0.1) / (weight.sum() + 0.1 * len(weight))
+        rates = np.clip((held.T @ v + PRIOR_VOTES * PRIOR_RATE) / (weight[:, None] + PRIOR_VOTES), 1e-5, 1 - 1e-3)
+        model = LabelModel(shares, rates, groups)
+        new = model.kinds(v)
+        moved, held = np.abs(new - held).max(), new
+        if moved < 1e-4:
+            break
+    return model
 
 
 class Classifier:
@@ -170,9 +219,10 @@ class Classifier:
         self.entries, self.floors, self.weights = entries, floors, weights
 
     def features(self, x: np.ndarray) -> np.ndarray:
-        own = np.minimum(x[:, :-3] / (self.floors[None, :-3] + 1e-4), 2.0)
+        k = len(self.entries)
+        own = np.minimum(x[:, :k] / (self.floors[None, :k] + 1e-4), 2.0)
         some = np.minimum(own.sum(1), 2.0)[:, None]
-        return np.concatenate((own, some, x[:, -3:], np.ones((len(x), 1))), axis=1)
+        return np.concatenate((own, some, x[:, k:], np.ones((len(x), 1))), axis=1)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.features(x) @ self.weights, -30, 30)))
@@ -193,12 +243,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1e-2, rounds: int =
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Classifier:
-    """From learnable rows of docs (doc_id, text) that labels (doc_id, toxic) marks; the sample has at most rows rows."""
+def _none() -> Classifier:
+    """Where there is nothing to learn from: every score is low."""
+    return Classifier([], np.full(len(PATTERNS), np.inf), np.array([0.0] * (1 + len(PATTERNS)) + [-4]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, unlabelled: int = UNLABELLED_ROWS) -> Classifier:
+    """From learnable rows of docs (doc_id, text), and for the voters from those that labels (doc_id, toxic) marks.
+
+    Both samples are the first rows by hash, rows and unlabelled at most. Of several labels of a doc_id the largest counts.
+    """
     marked = labels.select(F.col("doc_id"), "toxic").where(learnable() & F.col("toxic").isin(0, 1))
     chosen = bounded(marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), rows)
-    # at most rows ids
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null")
+    known = docs.select("doc_id", "text").where("text is not null")
+    order = (F.xxhash64("doc_id", F.lit(12)), "doc_id", F.xxhash64("text"))
+    # at most rows ids, and at most rows of them
+    sample = known.join(F.broadcast(chosen), "doc_id").orderBy(*order).limit(rows).select("text", F.col("toxic").cast("int").alias("toxic"))
+    scratch = Scratch(docs.sparkSession)
+    sample = scratch.table(sample, "labelled")
     entries = mine_lexicon(sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,20 +269,30 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> Classi
             x = [lexicon.densities(t.as_py()).tolist() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    got = sample.select("text", F.col("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).mapInArrow(measure, "x array<double>, toxic int").collect()
-    if not got or not entries:
-        return Classifier([], np.zeros(3), np.array([0.0, 0, 0, 0, -4]))
-    x, toxic = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got])
+    def measured(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        got = texts.mapInArrow(measure, "x array<double>, toxic int").toArrow()
+        x = got["x"].combine_chunks()
+        return np.asarray(x.values).reshape(len(x), -1) if len(x) else np.zeros((0, len(entries) + len(PATTERNS))), got["toxic"].to_numpy()
+
+    x, toxic = measured(sample) if entries else (np.zeros((0, 0)), np.zeros(0))
+    scratch.clear()
+    if not len(x):
+        return _none()
     floors, gains = choose_floors(x, toxic)
-    kept = gains[:-3] >= GAIN
-    if not kept.any():
-        return Classifier([], np.zeros(3), np.array([0.0, 0, 0, 0, -4]))
-    entries = [e for e, k in zip(entries, kept) if k]
-    x, floors = x[:, np.append(kept, [True] * 3)], floors[np.append(kept, [True] * 3)]
-    posterior, _ = label_model(votes(x, floors), toxic)
-    model = Classifier(entries, floors, np.zeros(0))
-    model.weights = _logistic(model.features(x), posterior)
-    return model
+    kept = gains >= GAIN
+    if not kept[: len(entries)].any():
+        return _none()
+    floors[~kept] = np.inf
+    x_free, _ = measured(known.where(learnable()).orderBy(*order).limit(unlabelled).select("text", F.lit(-1).alias("toxic")))
+    model = label_model(votes(x_free, floors)[:, kept])
+    believed = model.posterior(votes(x, floors)[:, kept])
+    if believed[toxic == 1].mean() < believed[toxic == 0].mean():
+        return _none()  # the voters do not tell the classes apart
+    own = kept.copy()
+    own[len(entries) :] = True
+    made = Classifier([e for e, k in zip(entries, kept) if k], floors[own], np.zeros(0))
+    made.weights = _logistic(made.features(x_free[:, own]), model.posterior(votes(x_free, floors)[:, kept]))
+    return made
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -245,6 +317,21 @@ def score(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> D
     return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInArrow(judge, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, model: Classifier, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs (text, more columns) whose score is below threshold, each judged by itself and passed on whole."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        lexicon = Lexicon(own.entries)
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack([lexicon.densities(t.as_py()) for t in batch.column(at)])
+                yield batch.filter(pa.array(own.scores(x) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by labels of the learnable ones."""
     docs = table(spark, sf_dir, "documents")

@@ -69,19 +69,47 @@ def test_toxicity_edge_cases(spark):
     assert sum(by[k].predicted == (k % 5 == 0) for k in range(600)) > 590
     assert by[1000].predicted == by[1001].predicted == 0 and by[1002].predicted == 1 and by[None].predicted == 1
     none = toxicity.score(docs, toxicity.fit(docs, labels.where("false"))).collect()
-    assert not any(r.predicted for r in none) and toxicity.score(docs.where("false"), toxicity.Classifier([], np.zeros(3), np.zeros(5))).count() == 0
+    assert not any(r.predicted for r in none) and toxicity.score(docs.where("false"), toxicity._none()).count() == 0
 
 
-def test_label_model_finds_accuracies():
+def test_label_model_finds_accuracies_and_dependence():
+    """From votes alone: two thirds of the texts are clean, voters are right to known degrees, and one repeats another."""
     rng = np.random.default_rng(3)
-    y = rng.random(4000) < 0.3
-    fire = lambda p, q: np.where(rng.random(4000) < np.where(y, p, q), 1, 0)
-    a, b, c = fire(0.7, 0.02), fire(0.5, 0.05), fire(0.6, 0.02)
-    v = np.stack([a, b, c, c, *[np.zeros(4000, int)] * 3, np.where((a + b + c) > 0, 0, -1)], axis=1).astype(np.int8)
-    posterior, model = toxicity.label_model(v, np.where(rng.random(4000) < 0.5, y.astype(int), -1))
-    assert ((posterior > 0.5) == y).mean() > 0.9
-    assert model["rates"][1][0][0] == pytest.approx(0.7, abs=0.05) and model["rates"][0][0][0] == pytest.approx(0.02, abs=0.02)
-    assert model["correlation"][2, 3] > 0.9 and model["discount"][2] < 0.6
+    y = rng.random(20000) < 0.3
+    fire = lambda p, q: (rng.random(20000) < np.where(y, p, q)).astype(int)
+    right = [(0.7, 0.02), (0.5, 0.05), (0.6, 0.02), (0.4, 0.01)]
+    own = [fire(p, q) for p, q in right]
+    v = np.stack([*own, own[2]], axis=1).astype(np.int8)
+    model = toxicity.label_model(v)
+    posterior = model.posterior(v)
+    assert ((posterior > 0.5) == y).mean() > 0.9 and abs(1 - model.shares[0] - 0.3) < 0.1
+    assert len(set(model.groups)) == 1
+    for k, (p, q) in enumerate(right):
+        assert abs(model.accuracies()[k] - 0.3 * p / (0.3 * p + 0.7 * q)) < 0.1
+
+
+def test_label_model_knows_kinds_of_toxic_texts():
+    """Two languages with voters of their own: the silence of the other language's voters says nothing."""
+    rng = np.random.default_rng(4)
+    n = 20000
+    toxic, second = rng.random(n) < 0.2, rng.random(n) < 0.5
+    rate = lambda own: np.where(toxic & own, 0.6, 0.003)
+    v = np.stack([rng.random(n) < rate(second if k >= 4 else ~second) for k in range(8)], axis=1).astype(np.int8)
+    model = toxicity.label_model(v)
+    assert model.groups.tolist() == [0] * 4 + [1] * 4
+    assert ((model.posterior(v) > 0.7) == toxic).mean() > 0.98
+
+
+def test_rows_are_dropped_in_place(spark):
+    model = toxicity.Classifier(["vile "], np.append([0.01], np.full(len(toxicity.PATTERNS), np.inf)), np.array([9.0, 0.0, *[0] * len(toxicity.PATTERNS), -4]))
+    rows = [(None, "vile vile words"), (None, "good text"), (5, "so vile"), (5, "other words"), (6, None), (6, None)]
+    docs = spark.createDataFrame([(*r, 0.5, [1]) for r in rows], "doc_id long, text string, score double, predicted array<int>")
+    got = toxicity.drop_toxic(docs, model)
+    assert got.schema == docs.schema and [(r.doc_id, r.text) for r in got.collect()] == [rows[1], rows[3], rows[4], rows[5]]
+    fitted = langid.fit(spark.createDataFrame([(k, "plain words of a text", "en") for k in range(9)], "doc_id long, text string, lang string"))
+    kept = langid.keep_known(docs.where("score > 0"), fitted)
+    assert kept.schema == docs.schema and all(r.text for r in kept.collect())
+    assert toxicity.drop_toxic(docs.where("false"), model).count() == langid.keep_known(docs.where("false"), fitted).count() == langid.keep_known(docs, None).count() == 0
 
 
 def test_language_rows_are_bounded_and_none_is_left_out(spark, monkeypatch):

@@ -49,3 +49,18 @@ def test_nulls_and_empty(spark):
             out = stage(spark, table, DATA)
             assert name == "tokens" or out.columns == docs.columns
             assert out.count() <= len(rows)
+
+
+def test_rows_of_one_id_are_judged_by_themselves(spark):
+    """Bad and good rows share a null or a repeated doc_id; the good ones stay through all stages."""
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    good = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").where("lang = 'en' and n_chars > 300").orderBy("doc_id").limit(40).collect()]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(good)], "doc_id long, text string, lang string, source string, n_chars long")
+    more = spark.createDataFrame([(None, "...", None, "bad", 3), (None, f"before {item} after", "en", "bad", 9), (None, good[0] + " end of it", "en", "copy", 9), (1, "?!", None, "bad", 2)], docs.schema)
+    out = docs.union(more)
+    for name, stage in cp.STAGES[1:4]:
+        out = cp.materialize(stage(spark, out, DATA), name)
+    left = out.collect()
+    assert not any(r.source in ("bad", "copy") for r in left)
+    clean = cp.STAGES[3][1](spark, docs, DATA).count()
+    assert len(left) >= 0.9 * clean
