@@ -35,8 +35,8 @@ GAIN, CLEAN_COST = 4, 3
 PRIOR_ACCURACY, PRIOR_SILENT = 0.9, 0.98
 #: Rows that are added to each kind of texts, and how often voters vote in them.
 PRIOR_VOTES, PRIOR_RATE = 5, 0.002
-#: Voters that correlate so much are one group.
-DEPENDENT = 0.25
+#: Voters that correlate so much are one group; those that correlate so much more repeat each other.
+DEPENDENT, SAME = 0.25, 0.9
 #: Patterns of writing, as shares of the text's characters or words.
 PATTERNS = ("capitals", "shouted words", "exclamations", "questions", "stars and signs", "digits", "runs of marks", "repeated words", "long words", "line ends")
 _RUNS = ("!!", "??", "**", "##", "$$", "%%", "&&")
@@ -169,12 +169,13 @@ class LabelModel:
     if they said something anew. rates[0] and shares[0] are those of clean texts.
     """
 
-    def __init__(self, shares: np.ndarray, rates: np.ndarray, groups: np.ndarray):
-        self.shares, self.rates, self.groups = shares, rates, groups
+    def __init__(self, shares: np.ndarray, rates: np.ndarray, groups: np.ndarray, counted: np.ndarray):
+        self.shares, self.rates, self.groups, self.counted = shares, rates, groups, counted
 
     def kinds(self, v: np.ndarray) -> np.ndarray:
         """For each row of votes how likely it is of each kind."""
-        logs = v @ (np.log(self.rates) - np.log(1 - self.rates)).T + (np.log(1 - self.rates).sum(1) + np.log(self.shares))[None, :]
+        spoken, silent = np.log(self.rates) * self.counted, np.log(1 - self.rates) * self.counted
+        logs = v @ (spoken - silent).T + (silent.sum(1) + np.log(self.shares))[None, :]
         likely = np.exp(logs - logs.max(1, keepdims=True))
         return likely / likely.sum(1, keepdims=True)
 
@@ -191,7 +192,9 @@ class LabelModel:
 def label_model(v: np.ndarray, rounds: int = 100) -> LabelModel:
     """Fitted to rows of votes by expectation maximisation, from the belief that a text with a vote is toxic."""
     v = v.astype(float)
-    groups = voter_groups(correlations(v), DEPENDENT)
+    strength = correlations(v)
+    groups = voter_groups(strength, DEPENDENT)
+    counted = ~(np.triu(strength, 1) >= SAME).any(0)  # of voters that repeat each other the first counts
     members = np.eye(groups.max() + 1)[groups]
     named = v @ members
     held = np.zeros((len(v), 1 + members.shape[1]))
@@ -204,7 +207,7 @@ def label_model(v: np.ndarray, rounds: int = 100) -> LabelModel:
         weight = held.sum(0)
         shares = (weight + 0.1) / (weight.sum() + 0.1 * len(weight))
         rates = np.clip((held.T @ v + PRIOR_VOTES * PRIOR_RATE) / (weight[:, None] + PRIOR_VOTES), 1e-5, 1 - 1e-3)
-        model = LabelModel(shares, rates, groups)
+        model = LabelModel(shares, rates, groups, counted)
         new = model.kinds(v)
         moved, held = np.abs(new - held).max(), new
         if moved < 1e-4:
