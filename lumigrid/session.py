@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,10 +50,30 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/lumigrid-{what}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Runtime settings for the actions within; keys are written with double underscores for dots."""
+    names = {key.replace("__", "."): value for key, value in conf.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in names.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def write(df: DataFrame, path: str) -> None:
+    """Write df as Parquet; the driver keeps only the start of the plan's text, as it keeps those of many actions."""
+    with settings(df.sparkSession, spark__sql__maxPlanStringLength="4000"):
+        df.write.parquet(path)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage is cut and nothing is computed twice."""
     path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
+    write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -65,7 +87,7 @@ class Scratch:
         """As materialize does; clear removes it."""
         path = new_folder(self.spark, what)
         self.paths.append(path)
-        df.write.parquet(path)
+        write(df, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:
