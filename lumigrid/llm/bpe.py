@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lumigrid.llm.shared import file_system, qualified
-from lumigrid.session import new_folder, table
+from lumigrid.session import new_folder, settings, table
 
 #: Bytes of text in a block, whose distinct words one task holds; a longer text is a block of its own.
 BLOCK_BYTES = 16 << 20
@@ -61,7 +61,7 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """(starts, cells): the pair of ids a, b has the rank cells[starts[a] + b] less a's bits, if that is a rank.
 
     A cell holds a and the rank. The rows of all a lie over each other where their cells leave room; a free cell, and
-    one of another a, gives a number beyond all ranks.
+    one of another a, gives a number beyond all ranks. An a without pairs starts before all cells, where there is none.
     """
     if max(ranks.values(), default=0) >= _LOW:
         raise ValueError("too many ids")
@@ -71,12 +71,12 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
             a, b = ranks.get(token[:k]), ranks.get(token[k:])
             if a is not None and b is not None:
                 rows[a].append((b, rank))
-    end, size = max(ranks.values(), default=0) + 1, 4 * sum(map(len, rows.values())) + 1
-    cells, starts = np.full(size + 2 * end + 2, 1 << 62, np.int64), np.full(end, size, np.int64)
+    end, size = max(ranks.values(), default=0) + 1, 2 * sum(map(len, rows.values())) + 1
+    cells, starts = np.full(size + end, _LOW, np.int64), np.full(end, -10 * (size + end), np.int64)
     places = np.random.Generator(np.random.PCG64(7))
     for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
         b, rank = np.array(row).T
-        while (cells[(start := int(places.integers(size))) + b] != 1 << 62).any():
+        while (cells[(start := int(places.integers(size))) + b] != _LOW).any():
             pass
         starts[a], cells[start + b] = start, a << _BITS | rank
     return starts, cells
@@ -250,7 +250,9 @@ def fold_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, shared) -
     first = pairs.withColumn("place", F.row_number().over(same)).select("block", "word", F.unhex(F.array_join(ids, "")).alias("ids"))
     every = first.select("block", F.first("ids", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)).alias("ids"))
     placed = every.repartitionById(files, F.pmod("block", F.lit(files)).cast("int")).sortWithinPartitions("block")
-    placed.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(folder)
+    # the literal rank map would stand in the text of each plan that is made anew
+    with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__maxPlanStringLength="4000"):
+        placed.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(folder)
     return folder, files
 
 
