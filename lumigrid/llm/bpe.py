@@ -35,6 +35,8 @@ LONGEST = 256
 _BITS = 20
 _LOW = (1 << _BITS) - 1
 _ROWS = 256
+#: Places that a row of the rank map tries among other rows.
+_TRIES = 1000
 #: Unicode white space, as the tokenizer's \s has it; Python's also has U+001C to U+001F.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Marks that end words often; no letters, numbers, apostrophes or white space.
@@ -71,13 +73,16 @@ def rank_map(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
             a, b = ranks.get(token[:k]), ranks.get(token[k:])
             if a is not None and b is not None:
                 rows[a].append((b, rank))
-    end, size = max(ranks.values(), default=0) + 1, 2 * sum(map(len, rows.values())) + 1
+    end, size = max(ranks.values(), default=0) + 1, 4 * sum(map(len, rows.values())) + 1
     cells, starts = np.full(size + end, _LOW, np.int64), np.full(end, -10 * (size + end), np.int64)
     places = np.random.Generator(np.random.PCG64(7))
     for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
         b, rank = np.array(row).T
-        while (cells[(start := int(places.integers(size))) + b] != _LOW).any():
-            pass
+        for _ in range(_TRIES):
+            if (cells[(start := int(places.integers(size))) + b] == _LOW).all():
+                break
+        else:  # room of its own
+            start, cells = len(cells), np.append(cells, np.full(end + 1, _LOW, np.int64))
         starts[a], cells[start + b] = start, a << _BITS | rank
     return starts, cells
 
