@@ -9,6 +9,7 @@ enough words in all (length filter) and after the first common word (positional
 from __future__ import annotations
 
 import math
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
@@ -44,7 +45,7 @@ def _scan(docs: DataFrame, templates: list[tuple[str, str]], containment: float)
     """One pass over the texts: words, places of phrases, and the template words that each line holds."""
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     least = min(_needed(t, containment) for _, t in templates)
-    lined = docs.select("doc_id", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), _SEPARATOR, " ").alias("lined"))
+    lined = docs.select("doc_id", F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), _SEPARATOR, " ").alias("lined"))
     flat = lined.withColumn("flat", F.regexp_replace(F.concat(F.lit(" "), "lined", F.lit(" ")), r"[ \n]+", " "))
     found = flat.withColumn("n_words", _words(F.col("flat")).cast("long"))
     for k, phrase in enumerate(PHRASES):

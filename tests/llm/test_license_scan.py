@@ -9,6 +9,7 @@ TEXTS = [
     "License Version\nlicensed under the apache 2 0", "this work is licensed under the gnu general public license version 3",
     "this work is licensed under gnu general public license version 3 or any later", "permission is hereby granted free of charge to any person obtaining a copy of this software and documentation files",
     "é under the mit license é" * 2, "word " * 5000 + "cc by nc", "a\x00b cc by nc", "licensed under cc by 4.0",
+    "This wor\u212a is licensed under the GNU general public license version 3", "under the M\u0130T license",
 ]
 
 
