@@ -13,7 +13,6 @@ import base64
 import hashlib
 import heapq
 from array import array
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,7 @@ _BITS = 20
 _LOW = (1 << _BITS) - 1
 _ROWS = 256
 #: Places that a row of the rank map tries among other rows.
-_TRIES = 1000
+_TRIES = 100_000
 #: Unicode white space, as the tokenizer's \s has it; Python's also has U+001C to U+001F.
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Marks that end words often; no letters, numbers, apostrophes or white space.
@@ -62,28 +61,31 @@ def splitter(pattern: str):
 def rank_map(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """(starts, cells): the pair of ids a, b has the rank cells[starts[a] + b] less a's bits, if that is a rank.
 
-    A cell holds a and the rank. The rows of all a lie over each other where their cells leave room; a free cell, and
-    one of another a, gives a number beyond all ranks. An a without pairs starts before all cells, where there is none.
+    A cell holds a and the rank, so one of another a gives a number beyond all ranks. The rows of all a lie over each
+    other where their cells leave room. A free cell, and the start of an a without pairs, is -1.
     """
     if max(ranks.values(), default=0) >= _LOW:
         raise ValueError("too many ids")
-    rows: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    found = array("q")  # a, b and rank of each pair in turn
     for token, rank in ranks.items():
         for k in range(1, len(token)):
             a, b = ranks.get(token[:k]), ranks.get(token[k:])
             if a is not None and b is not None:
-                rows[a].append((b, rank))
-    end, size = max(ranks.values(), default=0) + 1, 4 * sum(map(len, rows.values())) + 1
-    cells, starts = np.full(size + end, _LOW, np.int64), np.full(end, -10 * (size + end), np.int64)
+                found.extend((a, b, rank))
+    pairs = np.array(found, np.int64).reshape(-1, 3)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    rows = np.split(pairs, np.nonzero(np.diff(pairs[:, 0]))[0] + 1) if len(pairs) else []
+    end, size = max(ranks.values(), default=0) + 1, 4 * len(pairs) + 1
+    cells, starts = np.full(size + end, -1, np.int64), np.full(end, -1, np.int64)
     places = np.random.Generator(np.random.PCG64(7))
-    for a, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
-        b, rank = np.array(row).T
+    for row in sorted(rows, key=len, reverse=True):
+        b = row[:, 1]
         for _ in range(_TRIES):
-            if (cells[(start := int(places.integers(size))) + b] == _LOW).all():
+            if (cells[(start := int(places.integers(size))) + b] < 0).all():
                 break
         else:  # room of its own
-            start, cells = len(cells), np.append(cells, np.full(end + 1, _LOW, np.int64))
-        starts[a], cells[start + b] = start, a << _BITS | rank
+            start, cells = len(cells), np.append(cells, np.full(end + 1, -1, np.int64))
+        starts[row[0, 0]], cells[start + b] = start, row[:, 0] << _BITS | row[:, 2]
     return starts, cells
 
 
@@ -93,8 +95,8 @@ def _let(value: Column, use) -> Column:
 
 
 def _literal(numbers: np.ndarray) -> Column:
-    """A literal array; the optimizer folds the split and the cast."""
-    return F.split(F.lit(",".join(map(str, numbers.tolist()))), ",").cast("array<bigint>")
+    """A literal array, null for numbers below 0; the optimizer folds the split and the cast."""
+    return F.split(F.lit(",".join(["" if x < 0 else str(x) for x in numbers.tolist()])), ",").try_cast("array<bigint>")
 
 
 def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
