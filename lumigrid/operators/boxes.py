@@ -9,13 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from lumigrid.functions.geometry import iom, iou, similar
-from lumigrid.plans.components import connected_components
+from lumigrid.functions.geometry import iom, iou
 
-#: box_id must be below two to this power, so that image and box make one number.
-BOX_BITS = 20
+#: Pairs of boxes that a task compares at a time.
+_CELLS = 1 << 18
+#: Width of the grid cells in which boxes meet.
+CELL = 64
 
 
 def _check(threshold: float, min_votes: int = 1) -> None:
@@ -23,15 +24,12 @@ def _check(threshold: float, min_votes: int = 1) -> None:
         raise ValueError("threshold must be in [0, 1] and min_votes at least 1")
 
 
-def _pairs(boxes: DataFrame, cell: int | None) -> DataFrame:
-    """Boxes a and b of an image that may overlap, itself included.
+def _pairs(boxes: DataFrame, cell: int) -> DataFrame:
+    """Boxes a and b of an image that overlap, and some that do not, itself included.
 
-    With cell, boxes are put into all grid cells that they touch, and a pair is kept in the cell of its intersection's
-    corner only: for few, large images. Else all pairs of an image meet by an equi-join on img_id.
+    Boxes are put into all grid cells that they touch, and a pair is kept in the cell of its intersection's corner only.
     """
     own = boxes.select("img_id", F.struct("box_id", "x", "y", "w", "h").alias("a"))
-    if cell is None:
-        return own.join(own.withColumnRenamed("a", "b"), "img_id")
     span = lambda lo, size: F.sequence(F.floor(lo / cell), F.floor((lo + F.greatest(size - 1, F.lit(0))) / cell))
     cells = own.withColumn("gx", F.explode(span(F.col("a.x"), F.col("a.w")))).withColumn("gy", F.explode(span(F.col("a.y"), F.col("a.h"))))
     both = cells.join(cells.withColumnRenamed("a", "b"), ["img_id", "gx", "gy"])
@@ -39,102 +37,196 @@ def _pairs(boxes: DataFrame, cell: int | None) -> DataFrame:
     return both.where(corner)
 
 
-def iou_pairs(boxes: DataFrame, cell: int | None = None) -> DataFrame:
+def iou_pairs(boxes: DataFrame, cell: int = CELL) -> DataFrame:
     """(img_id, a_id, b_id, iou) of the overlapping pairs a_id < b_id."""
     near = _pairs(boxes, cell).where("a.box_id < b.box_id").withColumn("iou", iou(F.col("a"), F.col("b")))
     return near.where("iou > 0").select("img_id", F.col("a.box_id").alias("a_id"), F.col("b.box_id").alias("b_id"), "iou")
 
 
-def votes(boxes: DataFrame, threshold: float = 0.3, cell: int | None = None) -> DataFrame:
+def votes(boxes: DataFrame, threshold: float = 0.3, cell: int = CELL) -> DataFrame:
     """(img_id, box_id, votes): how many boxes, itself included, overlap it by more than threshold of the smaller area."""
     counted = _pairs(boxes, cell).where(iom(F.col("a"), F.col("b")) > threshold).groupBy("img_id", F.col("a.box_id").alias("box_id")).agg(F.count("*").alias("votes"))
     return boxes.select("img_id", "box_id").join(counted, ["img_id", "box_id"], "left").select("img_id", "box_id", F.coalesce("votes", F.lit(0)).cast("long").alias("votes"))
 
 
-def _leaders(ordered: Column, overlap) -> Column:
-    """Boxes of an ordered array that no earlier leader overlaps."""
-    return F.aggregate(ordered, F.slice(ordered, 1, 0), lambda led, b: F.when(F.exists(led, lambda x: overlap(x, b)), led).otherwise(F.concat(led, F.array(b))))
+def _overlap(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    wide = np.minimum(one[..., 0] + one[..., 2], other[..., 0] + other[..., 2]) - np.maximum(one[..., 0], other[..., 0])
+    high = np.minimum(one[..., 1] + one[..., 3], other[..., 1] + other[..., 3]) - np.maximum(one[..., 1], other[..., 1])
+    return (np.maximum(wide, 0) * np.maximum(high, 0)).astype(float)
 
 
-def _merge_image(b: np.ndarray, threshold: float, min_votes: int) -> list[tuple]:
-    """vote_merge of one image; b has rows x, y, w, h in the order of box_id."""
+def _of_smaller(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return _overlap(one, other) / np.minimum(one[..., 2] * one[..., 3], other[..., 2] * other[..., 3])
 
-    def over(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-        wide = np.minimum(one[0] + one[2], many[:, 0] + many[:, 2]) - np.maximum(one[0], many[:, 0])
-        high = np.minimum(one[1] + one[3], many[:, 1] + many[:, 3]) - np.maximum(one[1], many[:, 1])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return np.maximum(wide, 0) * np.maximum(high, 0) / np.minimum(one[2] * one[3], many[:, 2] * many[:, 3]) > threshold
 
-    found = np.array([over(one, b).sum() for one in b])
-    left = np.lexsort((-np.arange(len(b)), -found))
-    left, out = left[found[left] >= min_votes], []
-    while len(left):
-        taken = over(b[left[0]], b[left])
-        if not taken.any():
-            break
-        group = b[left[taken]]
-        out.append((*(int(v) for v in group.sum(0) / len(group)), len(group)))
-        left = left[~taken]
-    return out
+def _of_union(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    both = _overlap(one, other)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(both == 0, 0.0, both / (one[..., 2] * one[..., 3] + other[..., 2] * other[..., 3] - both))
+
+
+def _rows(b: np.ndarray, measure, threshold: float) -> Iterator[np.ndarray]:
+    """For each box which boxes it overlaps by more than threshold, some rows at a time."""
+    step = max(1, _CELLS // max(1, len(b)))
+    for at in range(0, len(b), step):
+        yield from measure(b[at : at + step, None], b[None]) > threshold
+
+
+def _leading(b: np.ndarray, measure, threshold: float) -> tuple[list[int], np.ndarray]:
+    """Boxes that no earlier leader overlaps, and for each box the number of the first leader that overlaps it, its own for a leader."""
+    leaders, owner = [], np.empty(len(b), np.int64)
+    for k, row in enumerate(_rows(b, measure, threshold)):
+        met = row[leaders]
+        owner[k] = at = int(met.argmax()) if met.any() else len(leaders)
+        if at == len(leaders):
+            leaders.append(k)
+    return leaders, owner
+
+
+def _whole_images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows, ordered by image in the first column, cut between images only."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            ids = batch.column(0).to_numpy()
+            cut = int(np.searchsorted(ids, ids[-1]))
+            if held and (cut or ids[0] != last):
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield pa.Table.from_batches([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+            last = ids[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _each_image(rows: pa.Table) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, image, its x, y, w, h) of the images of rows, whose first columns are img_id, x, y, w, h."""
+    ids, b = rows.column(0).to_numpy(), np.stack([rows.column(k).to_numpy() for k in range(1, 5)], axis=1)
+    starts = np.concatenate(([0], np.nonzero(np.diff(ids))[0] + 1))
+    for at, own in zip(starts, np.split(b, starts[1:])):
+        yield int(at), int(ids[at]), own
+
+
+def _per_image(boxes: DataFrame, order: list, columns: list, solve, schema: str) -> DataFrame:
+    """solve over whole images (img_id, x, y, w, h and columns) in order; one exchange by image, and a task streams its images."""
+    names = ("img_id", "x", "y", "w", "h")
+    width = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    long = boxes.select(*(F.col(c).cast("long").alias(c) for c in names), *columns)
+    placed = long.repartition(width, "img_id").sortWithinPartitions("img_id", *order)
+    return placed.mapInArrow(lambda batches: (out for rows in _whole_images(batches) for out in solve(rows)), schema)
+
+
+_MEANS = ("img_id", "group_id", "x", "y", "w", "h", "n")
+
+
+def _means(columns: list, group_type: pa.DataType) -> pa.RecordBatch:
+    types = {"img_id": pa.int64(), "group_id": group_type, "n": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.int32())) for n, c in zip(_MEANS, columns)], names=_MEANS)
 
 
 def vote_merge(boxes: DataFrame, threshold: float = 0.3, min_votes: int = 3) -> DataFrame:
     """Means, truncated, of groups of boxes: (img_id, group_id, x, y, w, h, n).
 
-    Boxes with fewer than min_votes votes go. By votes, then box_id, both descending, each box that is left takes all
-    later ones whose overlap by the smaller area exceeds threshold. One exchange by image; the images of a partition
-    are streamed, one at a time. group_id follows the order.
+    Boxes with fewer than min_votes votes go. By votes, then box_id, both descending, a box leads a group if no leader
+    before it overlaps it by more than threshold of the smaller area; else it joins the first that does. One exchange by
+    image; the images of a partition are streamed. group_id follows the order of leaders.
     """
     _check(threshold, min_votes)
-    names = ("img_id", "group_id", "x", "y", "w", "h", "n")
-    schema = pa.schema([(n, pa.int64() if n in ("img_id", "n") else pa.int32()) for n in names])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, rows = np.empty(0, np.int64), np.empty((0, 4), np.int64)  # the image that may go on in the next batch
-
-        def done(ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
-            starts = np.concatenate(([0], np.nonzero(np.diff(ids))[0] + 1))
-            out = [(int(ids[a]), k, *m) for a, own in zip(starts, np.split(rows, starts[1:])) for k, m in enumerate(_merge_image(own, threshold, min_votes))]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)] if out else [pa.array([], f.type) for f in schema], schema=schema)
-
-        for batch in batches:
-            ids = np.concatenate((ids, batch.column(0).to_numpy()))
-            rows = np.concatenate((rows, np.stack([batch.column(k).to_numpy() for k in range(1, 5)], axis=1)))
-            cut = int(np.searchsorted(ids, ids[-1])) if len(ids) else 0
-            if cut:
-                yield done(ids[:cut], rows[:cut])
-                ids, rows = ids[cut:], rows[cut:]
-        if len(ids):
-            yield done(ids, rows)
-
-    long = boxes.select(*(F.col(c).cast("long").alias(c) for c in ("img_id", "x", "y", "w", "h", "box_id")))
-    width = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = long.repartition(width, "img_id").sortWithinPartitions("img_id", "box_id")
-    return placed.select("img_id", "x", "y", "w", "h").mapInArrow(merge, "img_id long, group_id int, x int, y int, w int, h int, n long")
+
+    def merge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        out = []
+        for _, image, b in _each_image(rows):
+            found = np.fromiter((row.sum() for row in _rows(b, _of_smaller, threshold)), np.int64, len(b))
+            order = np.lexsort((-np.arange(len(b)), -found))
+            kept = b[order[found[order] >= min_votes]]
+            leaders, owner = _leading(kept, _of_smaller, threshold)
+            n = np.bincount(owner, minlength=len(leaders))
+            sums = np.zeros((len(leaders), 4), np.int64)
+            np.add.at(sums, owner, kept)
+            out += [(image, k, *(int(v / n[k]) for v in sums[k].tolist()), int(n[k])) for k in range(len(leaders))]
+        yield _means(list(zip(*out)) or [[]] * 7, pa.int32())
+
+    return _per_image(boxes, ["box_id"], ["box_id"], merge, "img_id long, group_id int, x int, y int, w int, h int, n long")
 
 
 def suppress_by_score(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The boxes that no kept box of a higher score overlaps by an IoU above threshold; ties go to the lower box_id.
 
-    boxes also has score; the kept rows come as (img_id, box_id, x, y, w, h, score).
+    boxes also has score, null being the lowest; the kept rows come as (img_id, box_id, x, y, w, h, score).
     """
     _check(threshold)
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("against"), "box_id", "x", "y", "w", "h")))
-    kept = boxes.groupBy("img_id").agg(listed.alias("bs")).select("img_id", F.explode(_leaders(F.col("bs"), lambda a, b: iou(a, b) > threshold)).alias("b"))
-    return kept.select("img_id", "b.box_id", "b.x", "b.y", "b.w", "b.h", (-F.col("b.against")).alias("score"))
+
+    def keep(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        kept = [at + k for at, _, b in _each_image(rows) for k in _leading(b, _of_union, threshold)[0]]
+        yield from rows.take(pa.array(kept, pa.int64())).to_batches()
+
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
+    schema = f"img_id long, x long, y long, w long, h long, box_id {kinds['box_id']}, score {kinds['score']}"
+    kept = _per_image(boxes, [F.desc_nulls_last("score"), "box_id"], ["box_id", "score"], keep, schema)
+    return kept.select(*(F.col(c).cast(kinds[c]).alias(c) for c in ("img_id", "box_id", "x", "y", "w", "h", "score")))
+
+
+def _components(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node that each of size nodes reaches by the edges a, b."""
+    least = np.arange(size)
+    while len(a):
+        low = np.minimum(least[a], least[b])
+        np.minimum.at(least, least[a], low)
+        np.minimum.at(least, least[b], low)
+        while not np.array_equal(jumped := least[least], least):
+            least = jumped
+        differ = least[a] != least[b]
+        a, b = a[differ], b[differ]
+    return least
+
+
+def _similar_edges(place: np.ndarray, b: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """Similar boxes of an image; place (an image's number) and x ascend. Only boxes within eps of a width in x are tried."""
+    low = b[:, 0].min()
+    at = place * (np.ptp(b[:, 0]) + eps * b[:, 2].max() + 2.0) + (b[:, 0] - low)
+    counts = np.maximum(np.searchsorted(at, at + eps * b[:, 2] + 0.5, "right") - np.arange(1, len(b) + 1), 0)
+    ends, found, start = np.cumsum(counts), [], 0
+    while start < len(b):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + _CELLS, "right")))
+        own = counts[start:stop]
+        i = np.repeat(np.arange(start, stop), own)
+        j = i + 1 + np.arange(len(i)) - np.repeat(ends[start:stop] - own - base, own)
+        near = eps * np.minimum(b[i, 2:], b[j, 2:])
+        first, last = np.abs(b[i, :2] - b[j, :2]), np.abs(b[i, :2] + b[i, 2:] - b[j, :2] - b[j, 2:])
+        same = ((first <= near) & (last <= near)).all(1)
+        found.append((i[same], j[same]))
+        start = stop
+    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
 def group_similar(boxes: DataFrame, least: int = 3, eps: float = 0.2) -> DataFrame:
     """Means, rounded half to even, of connected components of similar boxes with at least least boxes.
 
-    (img_id, group_id, x, y, w, h, n), group_id being the smallest box_id.
+    (img_id, group_id, x, y, w, h, n), group_id being the smallest box_id. Components never leave an image, so there is
+    one exchange by image; equal boxes of an image count as one with a weight while links are sought.
     """
-    node = lambda img, box: F.shiftleft(img, BOX_BITS) + box
-    pairs = _pairs(boxes, None).where("a.box_id <= b.box_id").where(similar(F.col("a"), F.col("b"), eps))
-    edges = pairs.select(node(F.col("img_id"), F.col("a.box_id")).alias("a"), node(F.col("img_id"), F.col("b.box_id")).alias("b"))
-    member = boxes.withColumn("node", node(F.col("img_id"), F.col("box_id"))).join(connected_components(edges), "node")
-    grouped = member.groupBy("img_id", "component").agg(*(F.rint(F.avg(c)).cast("int").alias(c) for c in ("x", "y", "w", "h")), F.count("*").alias("n"))
-    return grouped.where(F.col("n") >= least).select("img_id", (F.col("component") - F.shiftleft("img_id", BOX_BITS)).alias("group_id"), "x", "y", "w", "h", "n")
+
+    def group(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, box_id = rows.column(0).to_numpy(), rows.column(5).to_numpy()
+        b = np.stack([rows.column(k).to_numpy() for k in range(1, 5)], axis=1)
+        place = np.concatenate(([0], np.cumsum(np.diff(ids) != 0)))
+        fresh = np.concatenate(([True], (np.diff(place) != 0) | (np.diff(b, axis=0) != 0).any(1)))  # equal boxes stand together
+        text, own = np.nonzero(fresh)[0], np.cumsum(fresh) - 1
+        group = _components(len(text), *_similar_edges(place[text], b[text], eps))[own]
+        n = np.bincount(group, minlength=len(text))
+        means = [np.rint(np.bincount(group, b[:, k], len(text))[n >= least] / n[n >= least]) for k in range(4)]
+        first = np.full(len(text), np.iinfo(np.int64).max)
+        np.minimum.at(first, group, box_id)
+        wide = n >= least
+        yield _means([ids[text][wide], first[wide], *(m.astype(np.int32) for m in means), n[wide]], pa.int64())
+
+    least = max(least, 1)
+    return _per_image(boxes, ["x", "y", "w", "h"], [F.col("box_id").cast("long").alias("box_id")], group, "img_id long, group_id long, x int, y int, w int, h int, n long")
 
 
 def merge_overlapping(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:

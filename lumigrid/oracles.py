@@ -17,6 +17,8 @@ _BOXES = """boxes AS (SELECT l_orderkey // 10 AS img_id, row_number() OVER (PART
 _ANNOTATIONS = """annotations AS (SELECT (l_orderkey % 7) || '/img_' || (l_orderkey // 10) || '.jpg' AS img_rel_path, l_partkey * 37 % 160 AS x, l_suppkey * 53 % 160 AS y,
     20 + l_partkey % 60 AS w, 20 + l_suppkey % 70 AS h, (l_returnflag = 'R')::INT AS blur, (l_linenumber = 7)::INT AS occlusion, (l_linenumber = 6)::INT AS pose, (l_discount > 0.09)::INT AS invalid FROM lineitem)"""
 
+_BOXES_ONCE = _BOXES.replace("boxes AS (", "boxes AS MATERIALIZED (", 1)
+
 
 def _inter(a: str, b: str) -> str:
     return f"(greatest(0, least({a}.x + {a}.w, {b}.x + {b}.w) - greatest({a}.x, {b}.x)) * greatest(0, least({a}.y + {a}.h, {b}.y + {b}.h) - greatest({a}.y, {b}.y)))::DOUBLE"
@@ -204,7 +206,7 @@ def _oracles() -> dict[str, str]:
         "cascade_growth_schedule": "WITH RECURSIVE g(attempt, n) AS (SELECT 0, 2 UNION ALL SELECT attempt + 1, nxt FROM (SELECT attempt, least(CASE WHEN n < 10 THEN n * 2 WHEN n < 30 THEN trunc(n * 1.5)::INT WHEN n < 100 THEN n + 25 ELSE n + 50 END, 400) AS nxt FROM g) WHERE nxt < 400) SELECT * FROM g",
         "hard_negatives": f"WITH {passed} SELECT sample_id FROM passed WHERE y = 0 AND passed = 2",
         "hnm_fallback": f"WITH {refill} SELECT sample_id, 'hard' AS origin FROM hard UNION ALL SELECT sample_id, 'refill' FROM drawn WHERE (SELECT count(*) FROM hard) < 400 AND k <= 450 - (SELECT count(*) FROM hard)",
-        "box_iou": f"WITH {_BOXES} SELECT a.img_id, a.box_id AS a_id, b.box_id AS b_id, round({_iou('a', 'b')}, 9) AS iou FROM boxes a JOIN boxes b ON a.img_id = b.img_id AND a.box_id < b.box_id WHERE {_inter('a', 'b')} > 0",
+        "box_iou": f"WITH {_BOXES_ONCE}, pairs AS MATERIALIZED (SELECT a.img_id, a, b FROM boxes a JOIN boxes b ON a.img_id = b.img_id) SELECT img_id, a.box_id AS a_id, b.box_id AS b_id, round({_iou('a', 'b')}, 9) AS iou FROM pairs WHERE a.box_id < b.box_id AND {_inter('a', 'b')} > 0",
         "box_iom_votes": f"WITH {_BOXES} SELECT a.img_id, a.box_id, count(*) FILTER ({_iom('a', 'b')} > 0.3) AS votes FROM boxes a JOIN boxes b ON a.img_id = b.img_id GROUP BY a.img_id, a.box_id",
         "nms_vote_merge": f"WITH RECURSIVE {_BOXES}, {_merge('boxes', 0.3, 3)} SELECT * FROM merged",
         "nms_scored": f"""WITH RECURSIVE {_BOXES}, ordered AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY score DESC, box_id) AS k FROM boxes),
@@ -216,20 +218,20 @@ def _oracles() -> dict[str, str]:
             reach(img_id, a, b) AS (SELECT * FROM e UNION SELECT r.img_id, r.a, e.b FROM reach r JOIN e ON e.img_id = r.img_id AND e.a = r.b),
             c AS (SELECT img_id, a AS box_id, min(b) AS group_id FROM reach GROUP BY img_id, a)
             SELECT img_id, group_id, round_even(avg(x), 0)::INT AS x, round_even(avg(y), 0)::INT AS y, round_even(avg(w), 0)::INT AS w, round_even(avg(h), 0)::INT AS h, count(*) AS n FROM c JOIN boxes USING (img_id, box_id) GROUP BY img_id, group_id HAVING count(*) >= 2""",
-        "merge_overlapping": f"""WITH RECURSIVE {_BOXES}, part_of AS (SELECT *, count(*) OVER (PARTITION BY img_id) AS c FROM boxes WHERE img_id % 3 = 0 OR box_id = 1), many AS (SELECT * FROM part_of WHERE c > 1), {_merge('many', 0.5, 3)}
+        "merge_overlapping": f"""WITH RECURSIVE {_BOXES}, part_of AS (SELECT *, count(*) OVER (PARTITION BY img_id) AS c FROM boxes), many AS (SELECT * FROM part_of WHERE c > 1), {_merge('many', 0.5, 3)}
             SELECT * FROM merged UNION ALL SELECT img_id, 0, x::INT, y::INT, w::INT, h::INT, 1 FROM part_of WHERE c = 1""",
         "box_expand_clip": f"""WITH {_BOXES}, g AS (SELECT img_id, box_id, greatest(0, {edge('x', 'w', '-')}) AS x1, greatest(0, {edge('y', 'h', '-')}) AS y1, least(190, {edge('x', 'w', '+')}) AS x2, least(180, {edge('y', 'h', '+')}) AS y2 FROM boxes)
             SELECT * FROM g WHERE x2 - x1 >= 4 AND y2 - y1 >= 4""",
         "box_restore_coords": f"WITH {_BOXES} SELECT img_id, box_id, trunc(x * (640.0::DOUBLE / 480))::INT AS x, trunc(y * 1.7::DOUBLE)::INT AS y, trunc(w * (640.0::DOUBLE / 480))::INT AS w, trunc(h * 1.7::DOUBLE)::INT AS h FROM boxes",
-        "eye_midpoint_match": f"WITH {_BOXES}, p AS (SELECT img_id, box_id AS point_id, (x * 7 + 20) % 180 AS px, (y * 5 + 10) % 180 AS py FROM boxes WHERE box_id <= 5) SELECT p.img_id, point_id, box_id FROM p JOIN boxes b ON p.img_id = b.img_id AND px BETWEEN x AND x + w AND py BETWEEN y AND y + h",
+        "eye_midpoint_match": f"WITH {_BOXES_ONCE}, pairs AS MATERIALIZED (SELECT p.img_id, p.box_id AS point_id, (p.x * 7 + 20) % 180 AS px, (p.y * 5 + 10) % 180 AS py, b FROM boxes p JOIN boxes b ON p.img_id = b.img_id) SELECT img_id, point_id, b.box_id AS box_id FROM pairs WHERE px BETWEEN b.x AND b.x + b.w AND py BETWEEN b.y AND b.y + b.h",
         "annotation_waterfall": f"WITH {_ANNOTATIONS} SELECT CASE WHEN pose <> 0 THEN 'pose' WHEN occlusion <> 0 THEN 'occlusion' WHEN blur <> 0 THEN 'blur' WHEN invalid <> 0 THEN 'invalid' WHEN w < 40 OR h < 40 THEN 'size' ELSE 'kept' END AS reason, count(*) AS n FROM annotations GROUP BY 1",
         "anti_join_category": "SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
         "keypoint_parse": f"WITH {_KEYPOINTS} SELECT *, (lx + rx) / 2 AS cx, (ly + ry) / 2 AS cy FROM points",
-        "annotation_reconcile": f"WITH {_KEYPOINTS} SELECT 'img_' || o_orderkey || '.jpg' AS image, count(filename)::INT AS n_faces FROM orders LEFT JOIN points ON filename = 'img_' || o_orderkey || '.gif' WHERE o_orderkey % 3 = 0 GROUP BY o_orderkey",
+        "annotation_reconcile": f"WITH {_KEYPOINTS} SELECT 'img_' || o_orderkey || '.jpg' AS image, count(filename)::INT AS n_faces FROM orders LEFT JOIN points ON filename = 'img_' || o_orderkey || '.gif' GROUP BY o_orderkey",
         "annotation_json_summary": f"WITH {_KEYPOINTS} SELECT count(DISTINCT filename) AS total_images, count(*) AS total_faces FROM points",
         "grouped_text_parse": f"WITH {_ANNOTATIONS} SELECT split_part(img_rel_path, '/', 1) AS file, img_rel_path, x::INT AS x, y::INT AS y, w::INT AS w, h::INT AS h, blur, 0 AS expression, 1 AS illumination, occlusion, pose, invalid FROM annotations",
         "seeded_split": f"SELECT p_partkey, CASE WHEN position < 900 THEN 'train' ELSE 'val' END AS split, 'face_' || lpad((CASE WHEN position < 900 THEN position ELSE position - 900 END)::VARCHAR, 5, '0') AS name FROM ({numbered.format(key='p_partkey', rows='part')}) WHERE position < 1300",
-        "index_continuation": f"SELECT c_custkey, 'neg_' || lpad((position + 1 + (SELECT max(s_suppkey) FROM supplier))::VARCHAR, 5, '0') || '.jpg' AS name FROM ({numbered.format(key='c_custkey', rows='customer WHERE c_custkey % 10 = 0')})",
+        "index_continuation": f"SELECT c_custkey, 'neg_' || lpad((position + 1 + (SELECT max(s_suppkey) FROM supplier))::VARCHAR, 5, '0') || '.jpg' AS name FROM ({numbered.format(key='c_custkey', rows='customer')})",
         "category_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag, l_linestatus)::BIGINT AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
         "union_training_set": f"WITH {_SAMPLES} SELECT sample_id, y FROM s",
         "topk_paths": "SELECT 'page_' || page_id || '.png' AS path FROM pages ORDER BY path LIMIT 20",

@@ -52,11 +52,13 @@ def parse_face_lists(files: DataFrame) -> DataFrame:
 
 
 def parse_keypoints(lines: DataFrame, column: str = "line") -> DataFrame:
-    """(filename, lx, ly, rx, ry, cx, cy) of each line with a digit and at least 13 tokens whose first four numbers parse."""
-    trimmed = F.regexp_replace(column, r"^\s+|\s+$", "")
-    tokens = F.split(trimmed, r"\s+")
+    """(filename, lx, ly, rx, ry, cx, cy) of each line with a digit and at least 13 tokens whose first four numbers parse.
+
+    The generator keeps filters on tokens above the split, so a line is split once.
+    """
+    tokens = F.split(F.btrim(column, F.lit(" \t\n\x0b\f\r")), r"\s+")
     number = lambda k: F.get("t", F.lit(k)).try_cast("double")
-    rows = lines.where(F.col(column).rlike("[0-9]")).select(tokens.alias("t")).where(F.size("t") >= KEYPOINT_TOKENS)
+    rows = lines.where(F.col(column).rlike("[0-9]")).select(F.explode(F.array(tokens)).alias("t")).where(F.size("t") >= KEYPOINT_TOKENS)
     out = rows.select(F.get("t", F.lit(0)).alias("filename"), *(number(k).alias(n) for k, n in enumerate(("lx", "ly", "rx", "ry"), 1)))
     return out.dropna(subset=["lx", "ly", "rx", "ry"]).withColumn("cx", (F.col("lx") + F.col("rx")) / 2).withColumn("cy", (F.col("ly") + F.col("ry")) / 2)
 

@@ -93,8 +93,8 @@ def test_vote_merge_and_grid(spark):
     for r in boxes.vote_merge(df, 0.3, 3).orderBy("img_id", "group_id").collect():
         got.setdefault(r.img_id, []).append((r.x, r.y, r.w, r.h))
     assert got == {i: m for i, bs in enumerate(sets) if (m := slow_merge(bs, 0.3, 3))}
-    a, b = (sorted(map(tuple, boxes.iou_pairs(df, cell).collect())) for cell in (None, 17))
-    assert a == b and len(a) > 50
+    a, b = (sorted(map(tuple, boxes.iou_pairs(df, cell).collect())) for cell in (64, 17))
+    assert a == b and [x[:3] for x in a] == [(i, j, k) for i, bs in enumerate(sets) for j in range(len(bs)) for k in range(j + 1, len(bs)) if overlap(bs[j], bs[k])]
     assert sorted(map(tuple, boxes.votes(df, 0.3, 25).collect())) == sorted(map(tuple, boxes.votes(df, 0.3).collect()))
     merged = {r.img_id: r for r in boxes.merge_overlapping(df.where("img_id < 2")).collect()}
     assert (merged[0].x, merged[0].n) == (sets[0][0][0], 1) and 1 not in merged
@@ -108,6 +108,58 @@ def test_scored_suppression_keeps_disjoint_and_drops_identical(spark):
     assert sorted(r.box_id for r in boxes.suppress_by_score(df).collect()) == [1, 2]
 
 
+def slow_suppression(bs, thr):
+    """Numbers of the kept boxes (x, y, w, h, score)."""
+    kept = []
+    for k in sorted(range(len(bs)), key=lambda k: (-bs[k][4], k)):
+        if all(overlap(bs[j], bs[k]) / (bs[j][2] * bs[j][3] + bs[k][2] * bs[k][3] - overlap(bs[j], bs[k])) <= thr for j in kept):
+            kept.append(k)
+    return sorted(kept)
+
+
+def slow_groups(bs, eps):
+    """For each box the least one that similar boxes lead to."""
+    def like(a, b):
+        near = [eps * min(a[2], b[2]), eps * min(a[3], b[3])]
+        return all(abs(a[k] - b[k]) <= near[k] and abs(a[k] + a[k + 2] - b[k] - b[k + 2]) <= near[k] for k in (0, 1))
+
+    group = list(range(len(bs)))
+    for _ in bs:
+        group = [min(group[j] for j in range(len(bs)) if like(bs[k], bs[j])) for k in range(len(bs))]
+    return group
+
+
+@pytest.mark.parametrize("cells", [1 << 18, 50])
+def test_suppression_and_groups_against_brute_force(spark, monkeypatch, cells):
+    monkeypatch.setattr(boxes, "_CELLS", cells)
+    rng = random.Random(cells)
+    sets = {2**44: [(5, 5, 20, 20, 0.5)] * 7, **{i: [(rng.randrange(40), rng.randrange(20), rng.randrange(18, 24), rng.randrange(18, 24), rng.randrange(9) / 10) for _ in range(rng.randrange(1, 60))] for i in range(12)}}
+    big = 2**20 - 1
+    rows = [(i, big + k, *b) for i, bs in sets.items() for k, b in enumerate(bs)]
+    df = spark.createDataFrame(rows, "img_id long, box_id long, x long, y long, w long, h long, score double").repartition(5)
+    kept = sorted((r.img_id, r.box_id) for r in boxes.suppress_by_score(df, 0.3).collect())
+    assert kept == sorted((i, big + k) for i, bs in sets.items() for k in slow_suppression(bs, 0.3))
+    want = []
+    for i, bs in sets.items():
+        group = slow_groups(bs, 0.2)
+        for g in set(group):
+            own = [b for k, b in enumerate(bs) if group[k] == g]
+            if len(own) >= 2:
+                want.append((i, big + g, *(round(sum(b[k] for b in own) / len(own)) for k in range(4)), len(own)))
+    assert sorted(map(tuple, boxes.group_similar(df, 2, 0.2).collect())) == sorted(want)
+    assert sorted(map(tuple, boxes.post_process(df, 1, min_votes=2).collect())) == sorted(want)
+    none = df.where("false")
+    assert boxes.group_similar(none).isEmpty() and boxes.suppress_by_score(none).isEmpty() and boxes.vote_merge(none).isEmpty()
+
+
+def test_files_without_annotation(spark):
+    line = "img_{}.gif 10.0 20.5 30 40.25" + " 1 2" * 4
+    points = parsers.parse_keypoints(spark.createDataFrame([(f" \t{line.format(1)}\r",), (line.format(1),), (line.format(3),), ("img_2.gif 1 2",), (None,)], "line string"))
+    files = spark.createDataFrame([("img_1.jpg",), ("img_2.jpg",)], "image string")
+    got = dataset.reconcile(parsers.group_keypoints(points), files).collect()
+    assert sorted((r.image, len(r.faces)) for r in got) == [("img_1.jpg", 2), ("img_2.jpg", 0)]
+
+
 def test_similar_boxes_chain(spark):
     df = spark.createDataFrame([(1, k, 3 * k, 0, 20, 20) for k in range(6)] + [(2, 0, 0, 0, 9, 9)], "img_id long, box_id long, x long, y long, w long, h long")
     got = boxes.group_similar(df, 3, 0.2).collect()
