@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lumigrid.llm.shared import file_system, qualified
 from lumigrid.session import materialize, new_folder, table
 
 #: Bytes after which a writer begins the next archive.
@@ -28,7 +29,10 @@ READ_BYTES = 1 << 20
 #: A header longer than this is damage.
 HEADER_BYTES = 1 << 16
 VERSION = b"WARC/1.1\r\n"
-_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+#: The largest record that is read; a payload is a string of Spark, which has less than 2 GB.
+MOST_BYTES = (1 << 31) + (1 << 17)
+_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+_START = re.compile(rb"\x1f\x8b\x08|" + _LINE.pattern)
 _DATE = "2020-01-01T00:00:00Z"
 
 
@@ -60,36 +64,32 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return VERSION + lines.encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri)
-
-
 def _write(folder: str, archive_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = _open(folder)
+        fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
-        out, path, size, records, done = None, "", 0, 0, []
+        out, name, size, records, done = None, "", 0, 0, []
         for batch in batches:
             for row in batch.to_pylist():
                 if out is None:
-                    path = f"{root}/{uuid.uuid4().hex}.warc.gz"  # unique for each attempt
-                    out, size, records = fs.open_output_stream(path, compression=None), 0, 0
+                    name = f"{uuid.uuid4().hex}.warc.gz"  # unique for each attempt
+                    out, size, records = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                 packer = zlib.compressobj(1, zlib.DEFLATED, 31)
                 size += out.write(packer.compress(record(row["page_id"], row["url"], row["html"], row["refers_to"], row["revisit"])) + packer.flush())
                 records += 1
                 if size >= archive_bytes:
                     out.close()
-                    out = done.append((path, size, records))
+                    out = done.append((f"{folder}/{name}", size, records))
         if out is not None:
             out.close()
-            done.append((path, size, records))
+            done.append((f"{folder}/{name}", size, records))
         yield pa.RecordBatch.from_pylist([dict(zip(("path", "bytes", "records"), x)) for x in done], schema=pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())]))
 
     return write
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write a record for each row of pages (page_id, url, html) and return the archives: path, bytes, records.
+    """Write a record for each row of pages (page_id, url, html) and return the archives: path (a URI), bytes, records.
 
     Of the records with one payload of at least min_bytes bytes that with the smallest page_id is a response and the
     others revisit it; smaller ones are responses. A null html is an empty payload. A row with a null page_id revisits
@@ -101,7 +101,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     owners = rows.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("owner"))
     revisit = F.coalesce((F.octet_length("html") >= min_bytes) & ~F.col("owner").eqNullSafe(F.col("page_id")), F.lit(False))
     marked = rows.join(owners, "digest").withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("owner")))
-    written = marked.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(_write(folder, archive_bytes), "path string, bytes long, records long")
+    written = marked.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(_write(qualified(pages.sparkSession, folder).rstrip("/"), archive_bytes), "path string, bytes long, records long")
     return materialize(written, "archives")
 
 
@@ -202,26 +202,42 @@ def _plain(window: _Bytes, most: int) -> bytes:
     return raw
 
 
-def salvage(stream, most: int = 1 << 30) -> Iterator[tuple]:
+def _within(raw: bytes, start: int, end: int, most: int) -> list[tuple]:
+    """Records and gaps of a sound member from start to end: one record, or several with their gaps; places are the member's."""
+    try:
+        return [("record", start, end, *parse_record(raw))]
+    except Damage as e:
+        found = list(salvage(io.BytesIO(raw), most, _LINE))
+        if not any(x[0] == "record" for x in found):
+            raise e
+        return [(kind, start, end, f"{what} in bytes {a} to {b} of the member" if kind == "gap" else what, payload) for kind, a, b, what, payload in found]
+
+
+def salvage(stream, most: int = MOST_BYTES, starts: re.Pattern[bytes] = _START) -> Iterator[tuple]:
     """("record", offset, end, header, payload) and ("gap", offset, end, reason, None), in the order of the file.
 
     After damage the search for the next start goes on one byte behind the start that failed, so no valid record is
-    passed over. most: bytes of the largest record. An empty stream yields nothing.
+    passed over. Where a sound gzip member holds several records, or damaged ones among sound ones, each comes with the
+    member's offsets. most: bytes of the largest record or member. An empty stream yields nothing.
     """
     window, bad, reason = _Bytes(stream), None, ""
     while True:
         if not window.need(3) and window.at >= len(window.data):
             break
         start = window.offset
-        found = _START.match(window.data, window.at) if window.need(10) or window.data else None
+        found = starts.match(window.data, window.at) if window.need(10) or window.data else None
         if found:
             try:
-                raw = (_member if found[0][:1] == b"\x1f" else _plain)(window, most)
-                head, payload = parse_record(raw)
+                if found[0][:1] == b"\x1f":
+                    raw = _member(window, most)
+                    got = _within(raw, start, window.offset, most)
+                else:
+                    head, payload = parse_record(_plain(window, most))
+                    got = [("record", start, window.offset, head, payload)]
                 if bad is not None:
                     yield ("gap", bad, start, reason, None)
                     bad = None
-                yield ("record", start, window.offset, head, payload)
+                yield from got
                 continue
             except Damage as e:
                 why = str(e)
@@ -231,7 +247,7 @@ def salvage(stream, most: int = 1 << 30) -> Iterator[tuple]:
         if bad is None:
             bad, reason = start, why
         window.at += 1
-        while not (ahead := _START.search(window.data, window.at)):
+        while not (ahead := starts.search(window.data, window.at)):
             window.at = max(window.at, len(window.data) - 9)
             if not window.more():
                 window.at = len(window.data)
@@ -252,7 +268,7 @@ def _read(with_payload: bool):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                fs, path = _open(uri)
+                fs, path = file_system(uri)
                 out, size = [], 0
                 with fs.open_input_stream(path, compression=None) as stream:
                     for kind, start, end, head, payload in salvage(stream):
@@ -281,9 +297,13 @@ def _read(with_payload: bool):
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Records and gaps (kind) of the files in column path: offsets in the file, header fields, payload of responses."""
+    """Records and gaps (kind) of the files in column path: offsets in the file, header fields, payload of responses.
+
+    path: URIs with a scheme. Rows with a null path name no file and give none; a repeated path is read as often. No
+    rows give no rows. Further columns are not read.
+    """
     schema = "path string, offset long, end long, kind string, reason string, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
-    spread = archives.select("path").repartition(max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    spread = archives.select("path").where("path is not null").repartition(max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return spread.mapInArrow(_read(with_payload), schema)
 
 

@@ -1,6 +1,9 @@
+import base64
+import hashlib
 import io
 import zlib
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 
@@ -58,6 +61,52 @@ def test_small_reads(monkeypatch):
     assert [x[0] for x in got] == ["record", "record", "gap", "record", "record"]
 
 
+def test_member_of_several_records():
+    some, more = records(5), records(8)[5:]
+    broken = some[2][:-30] + b"#" * 4 + some[2][-26:]
+    data = member(b"".join([*some[:2], broken, *some[3:]])) + b"noise" + member(b"".join(more))
+    got = read(data)
+    assert [x[3]["x-page-id"] for x in got if x[0] == "record"] == ["0", "1", "3", "4", "5", "6", "7"]
+    inner, outer = (x for x in got if x[0] == "gap")
+    assert "digest" in inner[3] and outer[2] - outer[1] == len(b"noise") and inner[2] == outer[1]
+    assert read(member(b"no record here"))[0][0] == "gap"
+
+
+def test_archives_lie_where_the_uri_says(monkeypatch, tmp_path):
+    """A store that only its URI reaches: a bare path is an error."""
+    def store(uri):
+        assert uri.startswith("store://bucket/")
+        return pafs.SubTreeFileSystem(str(tmp_path), pafs.LocalFileSystem()), uri.removeprefix("store://bucket/")
+
+    monkeypatch.setattr(warc, "file_system", store)
+    rows = pa.RecordBatch.from_pylist([{"page_id": k, "url": "u", "html": b"page %d" % k, "refers_to": None, "revisit": False} for k in range(9)])
+    (written,) = warc._write("store://bucket/a/b", 200)(iter([rows]))
+    assert all(p.startswith("store://bucket/a/b/") for p in written["path"].to_pylist()) and written.num_rows > 1
+    back = [r for batch in warc._read(True)(iter([written])) for r in batch.to_pylist()]
+    assert sorted(r["payload"] for r in back) == [b"page %d" % k for k in range(9)]
+
+
+def test_contract_by_brute_force(spark):
+    """Digests, owners and kinds by plain Python over the smallest pages."""
+    d = "/root/testdata/sf0.001"
+    pages = [(r.page_id, r.html) for r in spark.read.parquet(f"{d}/pages.parquet").select("page_id", "html").collect()]
+    own = {}
+    for k, html in pages:
+        data = (html or "").encode()
+        own[data] = min(k, own.get(data, k))
+    want = []
+    for k, html in pages:
+        data = (html or "").encode()
+        first = own[data] == k
+        want.append((k, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if first else "revisit", None if first else own[data]))
+    got = warc.op3_warc(spark, d).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got), key=lambda x: x[0]) == sorted(want)
+
+
+def test_null_paths_name_no_file(spark):
+    assert warc.read_archives(spark.createDataFrame([(None, 1)], "path string, bytes long")).count() == 0
+
+
 def test_empty_stream():
     assert read(b"") == []
 
@@ -81,7 +130,7 @@ def test_damaged_archive_in_spark(spark):
     pages = spark.range(20).selectExpr("id page_id", "'u' url", "concat('page ', id) html").coalesce(1)
     archives = warc.write_archives(pages, folder)
     path = archives.first().path
-    fs, _ = pafs.FileSystem.from_uri(path)
+    fs, path = pafs.FileSystem.from_uri(path)
     data = bytearray(fs.open_input_stream(path, compression=None).read())
     data[len(data) // 2] ^= 0xFF
     with fs.open_output_stream(path, compression=None) as out:
