@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, functions as F
 
 from lumigrid.operators.boost import Strong, score, train
-from lumigrid.operators.cascade import growth_schedule, refill_negatives, survivors
+from lumigrid.operators.cascade import Stage, Weak, growth_schedule, refill_negatives, survivors
 
 
 @dataclass(frozen=True)
@@ -98,3 +98,17 @@ def _lower(model: Strong, stages: list[Strong], validation: DataFrame, goal_dr:
         if dr >= goal_dr or k >= most:
             return Trial(replace(model, threshold=model.threshold - k * cfg.step), dr, fpr)
         k += 1
+
+
+def detection_stages(stages: list[Strong], features: DataFrame) -> list[Stage]:
+    """Trained stages as detect and write_model take them: each stump with the descriptor of its feature.
+
+    features: feature_id, ftype, r, c, h, w, feature_id being a feature's place in x. Only the rows that stumps name
+    reach the driver. A stump of an unknown feature is an error.
+    """
+    named = sorted({s.feature_id for stage in stages for s in stage.stumps})
+    rows = features.where(F.col("feature_id").isin(named)).select("feature_id", "ftype", "r", "c", "h", "w").collect()
+    described = {r["feature_id"]: tuple(r)[1:] for r in rows}
+    if missing := [k for k in named if k not in described]:
+        raise ValueError(f"unknown features {missing}")
+    return [Stage(tuple(Weak(*described[s.feature_id], s.threshold, s.polarity, s.alpha) for s in stage.stumps), stage.threshold) for stage in stages]

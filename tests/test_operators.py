@@ -10,7 +10,7 @@ from lumigrid import queries
 from lumigrid.functions import geometry
 from lumigrid.operators import boost, boxes, cascade, dataset, images, windows
 from lumigrid.plans.components import connected_components
-from lumigrid.plans.training import CascadeTrainConfig, train_cascade
+from lumigrid.plans.training import CascadeTrainConfig, detection_stages, train_cascade
 from lumigrid.session import new_folder
 from lumigrid.sources import models, parsers
 
@@ -245,6 +245,31 @@ def test_cascade_training(spark):
         CascadeTrainConfig(on_stall="ask")
 
 
+def test_trained_cascade_detects(spark):
+    """Images are trained on, the model is written and read, and a scan accepts the images that the samples' scores accept."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    patches = rng.integers(0, 90, (40, 24, 24)).astype(float)
+    patches[:20, :, 12:] += 60  # the right half is brighter
+    normal = [(p - p.mean()) / p.std() for p in patches]
+    features = windows.enumerate_features(spark, 24, 8).where("ftype < 2")  # features that sum to nothing, so the mean does not matter
+    rows = spark.createDataFrame([(k, 24, 24, p.ravel().tolist()) for k, p in enumerate(normal)], "img_id long, h int, w int, px array<double>")
+    values = windows.feature_values(images.integral_arrays(rows), features)
+    x = values.groupBy("img_id").agg(F.array_sort(F.collect_list(F.struct("feature_id", "val"))).alias("v"))
+    samples = x.select(F.col("img_id").alias("sample_id"), (F.col("img_id") < 20).cast("int").alias("y"), F.transform("v", lambda v: v["val"].cast("double")).alias("x")).cache()
+    trained = train_cascade(samples.where("y = 1"), samples.where("y = 0"), samples, CascadeTrainConfig(target_fpr=0.05, stage_fpr=0.9, stage_dr=0.9, most_stumps=9, most_stages=2))
+    folder = new_folder(spark, "model")
+    models.write_model(spark, detection_stages(trained, features), folder)
+    stages = models.read_model(spark, folder)
+    assert stages == detection_stages(trained, features)
+    padded = spark.createDataFrame([(k, 28, 28, np.pad(p, ((0, 4), (0, 4))).ravel().tolist()) for k, p in enumerate(patches)], "img_id long, h int, w int, px array<double>")
+    found = {r.img_id for r in cascade.accepted_windows(padded, stages, cascade.DetectorConfig(max_face=24)).collect()}
+    assert found == {r.sample_id for r in cascade.survivors(samples, trained).where(F.col("passed") == len(trained)).collect()}
+    assert len(found & set(range(20))) >= 18 and len(found - set(range(20))) <= 2
+    samples.unpersist()
+    with pytest.raises(ValueError):
+        detection_stages(trained, features.where("false"))
+
+
 def test_growth_schedule():
     assert cascade.growth_schedule(400) == [2, 4, 8, 16, 24, 36, 61, 86, 111, 161, 211, 261, 311, 361]
 
