@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from lumigrid.operators.boost import Strong, score, train
-from lumigrid.operators.cascade import Stage, Weak, growth_schedule, refill_negatives, survivors
+from lumigrid.operators.cascade import Stage, Weak, evaluate, growth_schedule, refill_negatives, survivors
 
 
 @dataclass(frozen=True)
@@ -37,16 +37,29 @@ class Trial:
     fpr: float
 
 
-def train_cascade(positives: DataFrame, negatives: DataFrame, validation: DataFrame, cfg: CascadeTrainConfig = CascadeTrainConfig(), mine: Callable[[list[Strong]], DataFrame] | None = None) -> list[Strong]:
+def train_cascade(positives: DataFrame, negatives: DataFrame, validation: DataFrame, cfg: CascadeTrainConfig = CascadeTrainConfig(), mine: Callable[[list[Strong]], DataFrame] | None = None, done: Sequence[Strong] = (), keep: Callable[[list[Strong]], None] | None = None) -> list[Strong]:
     """Stages over samples (sample_id, y, x).
 
     A stage starts with the size of the one before, at least 2, and grows until the cascade on the validation samples
     keeps stage_dr of its detection rate and at most stage_fpr of its false positive rate; its threshold is lowered
     first. A second try that is worse, or a third that is no better, brings back the first. A stage that would reach
     most_stumps is given up and training ends. After a stage, negatives are mined, or refilled where mine finds none.
+
+    keep gets the stages after each stage, to store them; done are stages of an earlier training on the same samples,
+    which goes on after them as if it had not ended, if mine finds the same for the same stages.
     """
-    stages: list[Strong] = []
-    dr, fpr, pool = 1.0, 1.0, negatives
+
+    def harder(pool: DataFrame, stages: list[Strong]) -> DataFrame:
+        mined = mine(stages) if mine else None
+        if mined is not None and not mined.isEmpty():
+            return mined
+        ids = refill_negatives(pool, stages).select(F.col("sample_id").alias("_id"))
+        return pool.join(ids, pool["sample_id"] == ids["_id"]).drop("_id")
+
+    stages, pool = list(done), negatives
+    for k in range(len(stages)):
+        pool = harder(pool, stages[: k + 1])
+    dr, fpr = evaluate(validation, stages) if stages else (1.0, 1.0)
     while fpr > cfg.target_fpr and len(stages) < cfg.most_stages:
         goal_dr, goal_fpr = cfg.stage_dr * dr, cfg.stage_fpr * fpr
         history: list[Trial] = []
@@ -70,13 +83,11 @@ def train_cascade(positives: DataFrame, negatives: DataFrame, validation: DataFr
                     chosen = min(history, key=lambda t: t.fpr)
         stages.append(chosen.model)
         dr, fpr = chosen.dr, chosen.fpr
+        if keep:
+            keep(stages)
         if cfg.on_stall == "stop" and fpr > goal_fpr:
             return stages
-        mined = mine(stages) if mine else None
-        if mined is None or mined.isEmpty():
-            ids = refill_negatives(pool, stages).select(F.col("sample_id").alias("_id"))
-            mined = pool.join(ids, pool["sample_id"] == ids["_id"]).drop("_id")
-        pool = mined
+        pool = harder(pool, stages)
     return stages
 
 

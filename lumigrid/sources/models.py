@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lumigrid.operators.boost import Strong, Stump
 from lumigrid.operators.cascade import Stage, Weak
 
 _MODEL = "stage int, seq int, ftype int, r int, c int, h int, w int, threshold double, polarity int, alpha double, stage_threshold double"
@@ -24,6 +26,31 @@ def read_model(spark: SparkSession, path: str) -> list[Stage]:
     return [Stage(tuple(Weak(*(r[n] for n in names)) for r in rows if r["stage"] == k), next(r["stage_threshold"] for r in rows if r["stage"] == k)) for k in sorted({r["stage"] for r in rows})]
 
 
+_STAGE = "seq int, feature_id int, threshold double, polarity int, alpha double, error double, stage_threshold double"
+
+
+def write_stages(spark: SparkSession, stages: list[Strong], path: str) -> None:
+    """Stages of a training that goes on: the last one as a folder of its own; those before are there already."""
+    last = stages[-1]
+    rows = [(n, s.feature_id, s.threshold, s.polarity, s.alpha, s.error, last.threshold) for n, s in enumerate(last.stumps)]
+    spark.createDataFrame(rows, _STAGE).coalesce(1).write.mode("overwrite").parquet(f"{path}/stage={len(stages) - 1}")
+
+
+def read_stages(spark: SparkSession, path: str) -> list[Strong]:
+    """The stages that write_stages stored; none where path does not exist."""
+    try:
+        rows = spark.read.schema(f"{_STAGE}, stage int").parquet(path).orderBy("stage", "seq").collect()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+    by_stage: dict[int, list] = {}
+    for r in rows:
+        by_stage.setdefault(r["stage"], []).append(r)
+    stump = lambda r: Stump(*(r[n] for n in ("feature_id", "threshold", "polarity", "alpha", "error")))
+    return [Strong(tuple(map(stump, own)), own[0]["stage_threshold"]) for own in by_stage.values()]
+
+
 def cache_path(root: str, config: dict) -> str:
     """A folder that depends on the configuration, so a cache of another one is never read."""
     return f"{root}/features-{hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()[:16]}"

@@ -245,6 +245,19 @@ def test_cascade_training(spark):
         CascadeTrainConfig(on_stall="ask")
 
 
+def test_training_goes_on(spark):
+    x, y = gaussian(7, 40, 80, 4)
+    rows = sample_rows(spark, x, y).cache()
+    folder, cfg = new_folder(spark, "stages"), CascadeTrainConfig(target_fpr=0.0, stage_fpr=0.9, stage_dr=0.9, most_stumps=9, most_stages=2)
+    assert models.read_stages(spark, folder) == []
+    stages = train_cascade(rows.where("y = 1"), rows.where("y = 0"), rows, cfg, keep=lambda done: models.write_stages(spark, done, folder))
+    assert len(stages) == 2 and models.read_stages(spark, folder) == stages
+    again = train_cascade(rows.where("y = 1"), rows.where("y = 0"), rows, cfg, done=models.read_stages(spark, folder)[:1])
+    assert again == stages
+    assert train_cascade(rows.where("y = 1"), rows.where("y = 0"), rows, cfg, done=stages) == stages
+    rows.unpersist()
+
+
 def test_trained_cascade_detects(spark):
     """Images are trained on, the model is written and read, and a scan accepts the images that the samples' scores accept."""
     rng = np.random.Generator(np.random.PCG64(4))
