@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumigrid.llm import bpe, decontaminate, fingerprints, langid, license_scan, sharding, simhash, toxicity, url_filter, warc
+from lumigrid.llm import bpe, chat, decontaminate, fingerprints, langid, license_scan, sharding, simhash, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_licenses": license_scan.op8_licenses,
     "op9_url_filter": url_filter.op9_url_filter,
     "op10_language": langid.op10_language,
+    "op11_chat": chat.op11_chat,
 }
 ORACLES = {
     "op8_licenses": license_scan.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
+    "op11_chat": chat.ORACLE_SQL,
 }
