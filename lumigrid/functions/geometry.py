@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 H2, V2, H3, V3, D4 = range(5)
+#: (sign, rows, columns) of the rectangles of each feature type, places in extents of one; fixed values.
+RECTANGLES = {
+    H2: ((1, 0, 1), (-1, 0, 0)),
+    V2: ((1, 1, 0), (-1, 0, 0)),
+    H3: ((1, 0, 1), (-1, 0, 0), (-1, 0, 2)),
+    V3: ((1, 1, 0), (-1, 0, 0), (-1, 2, 0)),
+    D4: ((1, 0, 0), (1, 1, 1), (-1, 0, 1), (-1, 1, 0)),
+}
 
 
 def intersection(a: Column, b: Column) -> Column:
@@ -42,15 +50,11 @@ def rect_sum(ii: Column, width: Column | int, r: Column, c: Column, h: Column, w
 
 def contrast(ii: Column, width: Column | int, ftype: Column, r: Column, c: Column, h: Column, w: Column) -> Column:
     """Rectangle-contrast feature of a type; an unknown type is an error."""
-    s = lambda y, x: rect_sum(ii, width, y, x, h, w)
-    return (
-        F.when(ftype == H2, s(r, c + w) - s(r, c))
-        .when(ftype == V2, s(r + h, c) - s(r, c))
-        .when(ftype == H3, s(r, c + w) - s(r, c) - s(r, c + 2 * w))
-        .when(ftype == V3, s(r + h, c) - s(r, c) - s(r + 2 * h, c))
-        .when(ftype == D4, s(r, c) + s(r + h, c + w) - s(r, c + w) - s(r + h, c))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown feature type "), ftype.cast("string"))).cast("double"))
-    )
+    out = F.raise_error(F.concat(F.lit("unknown feature type "), ftype.cast("string"))).cast("double")
+    for kind, rectangles in RECTANGLES.items():
+        value = sum((sign * rect_sum(ii, width, r + down * h, c + across * w, h, w) for sign, down, across in rectangles), F.lit(0.0))
+        out = F.when(ftype == kind, value).otherwise(out)
+    return out
 
 
 def scaled(d: Column, scale: Column) -> Column:

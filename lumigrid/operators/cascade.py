@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lumigrid.functions.geometry import D4, H2, H3, V2, V3
+from lumigrid.functions.geometry import RECTANGLES
 from lumigrid.operators import boxes as box_ops
 from lumigrid.operators.boost import Strong, classify, confusion
+from lumigrid.operators.images import fit
 from lumigrid.operators.windows import scale_ladder
 
 
@@ -47,10 +48,26 @@ class DetectorConfig:
     threshold: float = 0.3
     min_votes: int = 3
     mode: int = 0
+    step_delta: float = 1.5
+    max_dim: int = 640
 
     def __post_init__(self):
-        if not (1.01 <= self.scale_factor <= 3 and 0.5 <= self.step_factor <= 5 and 0 <= self.threshold <= 1 and 1 <= self.min_votes <= 3000 and 10 <= self.min_face):
-            raise ValueError("detector parameter out of bounds")
+        """step_delta is checked and not used, as step_factor took its place; max_dim 0 leaves all images as they are."""
+        bounds = {"scale_factor": (1.01, 3), "step_factor": (0.5, 5), "step_delta": (1, 2), "threshold": (0, 1), "min_votes": (1, 3000), "min_face": (10, 500), "max_face": (10, 2000), "mode": (0, 1), "max_dim": (0, 1 << 20)}
+        for name, (low, high) in bounds.items():
+            value = getattr(self, name)
+            if not (name == "max_face" and value is None) and not low <= value <= high:
+                raise ValueError(f"{name} must be within {low} and {high}")
+
+
+#: Bounds within which settings may be changed while a stream runs; fixed values.
+LIVE = {"threshold": (0.0, 1.0), "min_face": (10, 500), "max_face": (50, 2000), "min_votes": (1, 300), "scale_factor": (1.01, 3.0), "step_delta": (1.0, 2.0), "step_factor": (0.5, 5.0)}
+
+
+def adjusted(cfg: DetectorConfig, **changes) -> DetectorConfig:
+    """cfg with changes, each held within its bounds of LIVE; a max_face of None lifts that limit."""
+    held = {n: v if v is None or n not in LIVE else min(max(v, LIVE[n][0]), LIVE[n][1]) for n, v in changes.items()}
+    return replace(cfg, **held)
 
 
 def survivors(samples: DataFrame, stages: list[Strong]) -> DataFrame:
@@ -75,46 +92,60 @@ def _contrasts(ii: np.ndarray, weak: Weak, scale: float, r: np.ndarray, c: np.nd
     """The value of one feature in many windows of a scale."""
     r, c = r + round(weak.r * scale), c + round(weak.c * scale)
     h, w = max(1, round(weak.h * scale)), max(1, round(weak.w * scale))
-    s = lambda down, across: _corners(ii, r + down * h, c + across * w, h, w)
-    if weak.ftype == H2:
-        return s(0, 1) - s(0, 0)
-    if weak.ftype == V2:
-        return s(1, 0) - s(0, 0)
-    if weak.ftype == H3:
-        return s(0, 1) - s(0, 0) - s(0, 2)
-    if weak.ftype == V3:
-        return s(1, 0) - s(0, 0) - s(2, 0)
-    if weak.ftype == D4:
-        return s(0, 0) + s(1, 1) - s(0, 1) - s(1, 0)
-    raise ValueError(f"unknown feature type {weak.ftype}")
+    return sum(sign * _corners(ii, r + down * h, c + across * w, h, w) for sign, down, across in rectangles(weak.ftype))
 
 
-def scan_image(px: np.ndarray, stages: list[Stage], cfg: DetectorConfig) -> list[tuple[int, int, int]]:
-    """(r, c, win) of the windows that are not flat and that all stages accept, by scale, row, column.
+def rectangles(ftype: int) -> tuple:
+    if ftype not in RECTANGLES:
+        raise ValueError(f"unknown feature type {ftype}")
+    return RECTANGLES[ftype]
 
-    Each stage sees only the windows that the stages before it accepted.
-    """
-    height, width = px.shape
-    tables = np.zeros((2, height + 1, width + 1))
+
+def tables_of(px: np.ndarray) -> np.ndarray:
+    """Padded summed-area tables of the values and of their squares."""
+    tables = np.zeros((2, px.shape[0] + 1, px.shape[1] + 1))
     tables[0, 1:, 1:], tables[1, 1:, 1:] = px.cumsum(0).cumsum(1), (px * px).cumsum(0).cumsum(1)
-    out = []
+    return tables
+
+
+def moments(tables: np.ndarray, r: np.ndarray, c: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances of square windows."""
+    mean = _corners(tables[0], r, c, size, size) / (size * size)
+    return mean, np.maximum(0.0, _corners(tables[1], r, c, size, size) / (size * size) - mean * mean)
+
+
+def judge(stages: list[Stage], n: int, values) -> np.ndarray:
+    """Which of n windows all stages accept; values(weak, own) gives a feature for the windows own, those still accepted."""
+    own = np.arange(n)
+    for stage in stages:
+        total = np.zeros(len(own))
+        for weak in stage.weak:
+            total += np.where(weak.polarity * values(weak, own) < weak.polarity * weak.threshold, weak.alpha, 0.0)
+        own = own[total >= stage.threshold]
+    return own
+
+
+def scan_scales(px: np.ndarray, stages: list[Stage], cfg: DetectorConfig) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(win, r, c) for each scale: the windows that are not flat and that all stages accept, by row and column."""
+    height, width = px.shape
+    tables = tables_of(px)
     for _, scale, win in scale_ladder(height, width, cfg.scale_factor, cfg.min_face, cfg.max_face):
         step = max(1, round(scale * cfg.step_factor))
         r, c = np.meshgrid(np.arange(0, height - win - 3, step), np.arange(0, width - win - 3, step), indexing="ij")
         r, c = r.ravel(), c.ravel()
-        mean = _corners(tables[0], r, c, win, win) / (win * win)
-        var = np.maximum(0.0, _corners(tables[1], r, c, win, win) / (win * win) - mean * mean)
+        _, var = moments(tables, r, c, win)
         alive = (var >= cfg.flat_variance) & (var >= 1e-4)
         r, c, norm = r[alive], c[alive], 1.0 / (scale * scale * np.sqrt(var[alive]))
-        for stage in stages:
-            total = np.zeros(len(r))
-            for weak in stage.weak:
-                value = _contrasts(tables[0], weak, scale, r, c) * norm
-                total += np.where(weak.polarity * value < weak.polarity * weak.threshold, weak.alpha, 0.0)
-            passed = total >= stage.threshold
-            r, c, norm = r[passed], c[passed], norm[passed]
-        out += [(int(y), int(x), win) for y, x in zip(r, c)]
-    return out
+        kept = judge(stages, len(r), lambda weak, own: _contrasts(tables[0], weak, scale, r[own], c[own]) * norm[own])  # noqa: B023
+        yield win, r[kept], c[kept]
+
+
+def scan_image(px: np.ndarray, stages: list[Stage], cfg: DetectorConfig) -> list[tuple[int, int, int]]:
+    """(r, c, win) of the windows that are not flat and that all stages accept, by scale, row, column.
+
+    Each stage sees only the windows that the stages before it accepted.
+    """
+    return [(int(y), int(x), win) for win, r, c in scan_scales(px, stages, cfg) for y, x in zip(r, c)]
 
 
 def accepted_windows(images: DataFrame, stages: list[Stage], cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
@@ -137,8 +168,26 @@ def accepted_windows(images: DataFrame, stages: list[Stage], cfg: DetectorConfig
 
 
 def detect(images: DataFrame, stages: list[Stage], cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Merged boxes of the accepted windows of each image."""
-    return box_ops.post_process(accepted_windows(images, stages, cfg), cfg.mode, cfg.threshold, cfg.min_votes)
+    """(img_id, group_id, x, y, w, h, n): merged boxes of the windows that the cascade accepts.
+
+    An image is scanned, and its boxes are merged, where it is: there is no join and no exchange. Images with a side
+    above cfg.max_dim are made smaller first, and their boxes are given in the original's coordinates, truncated.
+    """
+    schema = pa.schema([("img_id", pa.int64()), ("group_id", pa.int64() if cfg.mode else pa.int32()), *((n, pa.int32()) for n in "xywh"), ("n", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for img_id, h, w, px in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                small, factor = fit(np.asarray(px.values, np.float64).reshape(h, w), cfg.max_dim)
+                b = np.array([(c, r, win, win) for r, c, win in scan_image(small, stages, cfg)], np.int64).reshape(-1, 4)
+                for group_id, *box, n in box_ops.merge_in_image(b, cfg.mode, cfg.threshold, cfg.min_votes):
+                    rows.append((img_id, group_id, *(int(v / factor) for v in box), n))
+            columns = zip(*rows) if rows else [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    group = "long" if cfg.mode else "int"
+    return images.select(F.col("img_id").cast("long"), "h", "w", "px").mapInArrow(run, f"img_id long, group_id {group}, x int, y int, w int, h int, n long")
 
 
 def growth_schedule(most: int, start: int = 2) -> list[int]:

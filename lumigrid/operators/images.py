@@ -47,6 +47,81 @@ def downscale(pixels: DataFrame, factor: int) -> DataFrame:
     return pixels.groupBy("img_id", block("r"), block("c")).agg(F.avg("v").alias("v"))
 
 
+def _edges(size: int, into: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the into parts of size pixels begin and end: whole pixels and the fraction beyond."""
+    at = np.arange(into + 1) * (size / into)
+    whole = np.minimum(at.astype(np.int64), size)
+    return whole, at - whole
+
+
+def area_resized(px: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Means over the source pixels that each target pixel covers, parts of pixels counting by their share.
+
+    The covered sums come from a summed-area table, read between its entries where a part of a pixel is covered.
+    """
+    table = np.zeros((px.shape[0] + 1, px.shape[1] + 1))
+    table[1:, 1:] = px.cumsum(0).cumsum(1)
+    down, y = _edges(px.shape[0], height)
+    across, x = _edges(px.shape[1], width)
+    rows = table[down] + (table[np.minimum(down + 1, px.shape[0])] - table[down]) * y[:, None]
+    both = rows[:, across] + (rows[:, np.minimum(across + 1, px.shape[1])] - rows[:, across]) * x
+    return np.diff(np.diff(both, axis=0), axis=1) / ((px.shape[0] / height) * (px.shape[1] / width))
+
+
+def _taps(size: int, into: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two source pixels around each target pixel's centre, held at the edges, and the weight of the second."""
+    at = np.clip((np.arange(into) + 0.5) * (size / into) - 0.5, 0, size - 1)
+    low = at.astype(np.int64)
+    return low, np.minimum(low + 1, size - 1), at - low
+
+
+def bilinear_resized(px: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Weighted means of the four pixels around the centre of each target pixel."""
+    a, b, down = _taps(px.shape[0], height)
+    c, d, across = _taps(px.shape[1], width)
+    rows = px[a] * (1 - down)[:, None] + px[b] * down[:, None]
+    return rows[:, c] * (1 - across) + rows[:, d] * across
+
+
+RESIZES = {"area": area_resized, "bilinear": bilinear_resized}
+
+
+def resize(images: DataFrame, height: int, width: int, method: str = "area", rounded: bool = True) -> DataFrame:
+    """Images (img_id, h, w, px, more columns) in another size; px is array<int>, half to even, or not rounded array<double>.
+
+    Method area weighs the pixels that a target pixel covers and suits smaller targets; bilinear interpolates. Images
+    are resized where they are, whatever their sizes. A null px stays null; an image without pixels is an error.
+    """
+    if method not in RESIZES or min(height, width) < 1:
+        raise ValueError("method must be area or bilinear, height and width at least 1")
+    solve = RESIZES[method]
+    rest = [c for c in images.columns if c not in ("h", "w", "px")]
+    kinds = "".join(f"`{c}` {images.schema[c].dataType.simpleString()}, " for c in rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, out = batch.schema.names, []
+            for h, w, px in zip(batch.column(names.index("h")).to_pylist(), batch.column(names.index("w")).to_pylist(), batch.column(names.index("px"))):
+                if px.values is None:
+                    out.append(None)
+                    continue
+                made = solve(np.asarray(px.values, np.float64).reshape(h, w), height, width).ravel()
+                out.append(np.rint(made).astype(np.int32) if rounded else made)
+            size = [pa.array([n] * len(out), pa.int32()) for n in (height, width)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *size, pa.array(out, pa.list_(pa.int32() if rounded else pa.float64()))], names=[*rest, "h", "w", "px"])
+
+    return images.select(*rest, "h", "w", "px").mapInArrow(run, f"{kinds}h int, w int, px array<{'int' if rounded else 'double'}>")
+
+
+def fit(px: np.ndarray, most: int) -> tuple[np.ndarray, float]:
+    """An image with its longer side at most `most`, by area, and the factor; a smaller image stays as it is."""
+    height, width = px.shape
+    if not most or max(height, width) <= most:
+        return px, 1.0
+    factor = most / max(height, width)
+    return np.rint(area_resized(px, max(1, int(height * factor)), max(1, int(width * factor)))), factor
+
+
 def equalise(pixels: DataFrame) -> DataFrame:
     """Histogram equalisation to 0..255, rounded half to even; an image of one value keeps it."""
     counts = pixels.groupBy("img_id", "v").agg(F.count("*").alias("n"))
