@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -247,7 +248,7 @@ def fold_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, shared) -
     """Write the folded ids of the words of each block of docs (doc_id, text); gives the folder and its number of files.
 
     Words of a block meet the same words of other blocks in one exchange, the first of them is folded, and a second
-    exchange brings the ids to the file that the block's number names, ordered by block.
+    exchange brings the ids to the file that a hash of the block's number names, ordered by block.
     """
     spark = docs.sparkSession
     folder, files = qualified(spark, new_folder(spark, "words")), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -256,13 +257,18 @@ def fold_words(docs: DataFrame, ranks: dict[bytes, int], pattern: str, shared) -
     ids = F.when(F.col("place") == 1, F.transform(fold_merges(F.col("word"), ranks), lambda x: F.lpad(F.hex(x), 8, "0")))
     first = pairs.withColumn("place", F.row_number().over(same)).select("block", "word", F.unhex(F.array_join(ids, "")).alias("ids"))
     every = first.select("block", F.first("ids", ignorenulls=True).over(same.rowsBetween(Window.unboundedPreceding, 0)).alias("ids"))
-    placed = every.repartitionById(files, F.pmod("block", F.lit(files)).cast("int")).sortWithinPartitions("block")
+    placed = every.repartitionById(files, F.pmod(F.xxhash64("block"), F.lit(files)).cast("int")).sortWithinPartitions("block")
     # the literal rank map would stand in the text of each plan that is made anew
     with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__maxPlanStringLength="4000"):
         placed.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(folder)
     return folder, files
 
 
+def file_of(block: int, files: int) -> int:
+    """The file of a block: its XXH64 as Spark's xxhash64 gives it, so that blocks of all tasks spread over all files."""
+    return int.from_bytes(xxhash.xxh64_digest(block.to_bytes(8, "little"), 42), "big", signed=True) % files
+
+
 class _Folded:
     """Reads the folded words of a block."""
 
@@ -274,7 +280,7 @@ class _Folded:
 
     def of(self, block: int) -> dict[str, bytes]:
         """Ids by word, as bytes of 32-bit numbers. The ids spell the word."""
-        if (path := self.paths.get(block % self.files)) is None:
+        if (path := self.paths.get(file_of(block, self.files))) is None:
             return {}
         out, pieces = {}, self.pieces
         for chunk in pq.read_table(path, columns=["ids"], filters=[("block", "=", block)], filesystem=self.fs)["ids"].chunks:

@@ -85,3 +85,30 @@ def test_fold_is_the_merge(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.round_trip(docs, PATH, P.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("files", [8, 16, 200])
+def test_blocks_spread_over_files(spark, files):
+    """Block numbers of 64 tasks of 50 blocks each: tasks look where the words were put, and no file gets many."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    blocks = [p << 20 | k for p in range(64) for k in range(50)]
+    rows = spark.createDataFrame([(b,) for b in blocks], "block long").select("block", F.pmod(F.xxhash64("block"), F.lit(files)).alias("file")).collect()
+    assert all(bpe.file_of(r.block, files) == r.file for r in rows)
+    counts = Counter(r.file for r in rows)
+    assert len(counts) == files and max(counts.values()) <= 2.5 * len(blocks) / files
+
+
+def test_folded_words_reach_many_files(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_BYTES", 64)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(" etaoinshrdlu") for _ in range(80)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+    shared = spark.sparkContext.broadcast(RANKS)
+    with bpe.settings(spark, spark__sql__shuffle__partitions="16"):
+        folder, files = bpe.fold_words(docs, RANKS, P.PATTERN, shared)
+    assert files == 16
+    by_file = [r["count"] for r in spark.read.parquet(folder).selectExpr("input_file_name() f").groupBy("f").count().collect()]
+    assert len(by_file) == 16 and max(by_file) < 3 * sum(by_file) / 16
