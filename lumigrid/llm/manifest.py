@@ -69,11 +69,11 @@ def placed(rows: DataFrame, tree: str, order: list[str], scratch: Scratch) -> Da
 
 
 def parents(nodes: DataFrame, fan: int = FAN) -> DataFrame:
-    """(tree, place, hash, preimage) of the nodes over nodes (tree, place, hash); fan consecutive ones have one parent."""
+    """(tree, place, hash, preimage as binary) of the nodes over nodes (tree, place, hash); fan consecutive ones have one parent."""
     up = F.floor(F.col("place") / fan).cast("long")
     grouped = nodes.groupBy("tree", up.alias("place")).agg(F.array_sort(F.collect_list(F.struct((F.col("place") % fan).alias("slot"), "hash"))).alias("own"))
-    joined = grouped.select("tree", "place", F.array_join(F.transform("own", lambda c: c["hash"]), "").alias("preimage"))
-    return joined.select("tree", "place", sha(F.col("preimage")).alias("hash"), "preimage")
+    joined = grouped.select("tree", "place", F.encode(F.array_join(F.transform("own", lambda c: c["hash"]), ""), "utf-8").alias("preimage"))
+    return joined.select("tree", "place", F.sha2("preimage", 256).alias("hash"), "preimage")
 
 
 def levels(nodes: DataFrame, scratch: Scratch, fan: int = FAN) -> list[DataFrame]:
@@ -98,56 +98,65 @@ def roots(nodes: DataFrame, above: list[DataFrame]) -> DataFrame:
     return best.groupBy("tree").agg(F.max_by("hash", "level").alias("hash"))
 
 
-def _path(above: list[DataFrame], fan: int) -> DataFrame:
-    """(tree, place, path): for each node of the lowest of these levels its own and its ancestors' preimages.
+def _above(nodes: DataFrame, upper: DataFrame, name: str, fan: int) -> DataFrame:
+    """nodes with the path of the parent that upper (tree, place, path) has of each, as name."""
+    parent = upper.select(F.col("tree").alias("_t"), F.col("place").alias("_p"), F.col("path").alias(name))
+    up = F.floor(nodes["place"] / fan).cast("long")
+    return nodes.join(parent, nodes["tree"].eqNullSafe(F.col("_t")) & (up == F.col("_p")), "left").drop("_t", "_p")
 
-    path is an array of structs (slot, preimage): slot is where the node below stands in its parent's preimage, null for
-    the lowest, as that depends on the leaf. From the root down each level joins the one above.
+
+def with_paths(nodes: DataFrame, above: list[DataFrame], fan: int = FAN) -> DataFrame:
+    """nodes (tree, place, more columns) with path, the preimages of all ancestors from the parent up; none for a lone node.
+
+    From the root down each level joins the one above, so a leaf meets one row.
     """
+    none = F.array().cast("array<binary>")
     down = None
     for level in reversed(above):
-        own = F.array(F.struct(F.lit(None).cast("int").alias("slot"), "preimage"))
+        own = F.array("preimage")
         if down is None:
             down = level.select("tree", "place", own.alias("path"))
-            continue
-        upper = down.select(F.col("tree").alias("_t"), F.col("place").alias("_p"), F.col("path").alias("_path"))
-        joined = level.join(upper, level["tree"].eqNullSafe(F.col("_t")) & (F.floor(level["place"] / fan) == F.col("_p")), "left")
-        slot = (F.col("place") % fan).cast("int")
-        rest = F.coalesce(F.transform("_path", lambda x, k: F.struct(F.when(k == 0, slot).otherwise(x["slot"]).alias("slot"), x["preimage"].alias("preimage"))), F.array().cast("array<struct<slot:int,preimage:string>>"))
-        down = joined.select("tree", "place", F.concat(own, rest).alias("path"))
-    return down
+        else:
+            down = _above(level, down, "_path", fan).select("tree", "place", F.concat(own, F.coalesce("_path", none)).alias("path"))
+    if down is None:
+        return nodes.withColumn("path", none)
+    return _above(nodes, down, "path", fan).withColumn("path", F.coalesce("path", none))
 
 
-def with_paths(nodes: DataFrame, above: list[DataFrame], fan: int = FAN) -> DataFrame:
-    """nodes (tree, place, more columns) with path, as _path has it but with every slot given; empty for a tree of one node."""
-    empty = F.array().cast("array<struct<slot:int,preimage:string>>")
-    if not above:
-        return nodes.withColumn("path", empty)
-    upper = _path(above, fan).select(F.col("tree").alias("_t"), F.col("place").alias("_p"), F.col("path").alias("_path"))
-    joined = nodes.join(upper, nodes["tree"].eqNullSafe(F.col("_t")) & (F.floor(nodes["place"] / fan) == F.col("_p")), "left")
-    slot = (F.col("place") % fan).cast("int")
-    path = F.transform("_path", lambda x, k: F.struct(F.when(k == 0, slot).otherwise(x["slot"]).alias("slot"), x["preimage"].alias("preimage")))
-    return joined.withColumn("path", F.coalesce(path, empty)).drop("_t", "_p", "_path")
+def _around(preimage: Column, place: Column, fan: int) -> tuple[Column, Column]:
+    """What stands before and after the 64 characters of the node at place among its parent's children."""
+    slot = (place % fan).cast("int")
+    return F.substring(preimage, 1, slot * _HASH), F.substring(preimage, (slot + 1) * _HASH + 1, fan * _HASH)
+
+
+def _climb(first: Column, path: Column, place: Column, step, fan: int) -> Column:
+    """step(value so far, preimage, place) at each ancestor, from the parent up."""
+    start = F.struct(first.alias("value"), place.cast("long").alias("place"))
+    up = lambda acc, preimage: F.struct(step(acc["value"], preimage, acc["place"]).alias("value"), F.floor(acc["place"] / fan).cast("long").alias("place"))
+    return F.aggregate(path, start, up, lambda acc: acc["value"])
+
+
+def siblings(path: Column, place: Column, fan: int = FAN) -> Column:
+    """The hashes beside a node and its ancestors as binary text, from the node up: each preimage with its own part excised."""
+    return _climb(F.encode(F.lit(""), "utf-8"), path, place, lambda out, preimage, at: F.concat(out, *_around(preimage, at, fan)), fan)
 
 
-def siblings(path: Column) -> Column:
-    """The hashes beside a leaf and its ancestors, from the leaf up, each preimage without the 64 characters at its slot."""
-    cut = lambda x: F.concat(x["preimage"].substr(F.lit(1), x["slot"] * _HASH), x["preimage"].substr((x["slot"] + 1) * _HASH + 1, F.length(x["preimage"])))
-    return F.array_join(F.transform(path, cut), "")
+def fold(leaf: Column, path: Column, place: Column, fan: int = FAN) -> Column:
+    """The root that a hash leads to: at each ancestor it is spliced into the preimage, and that is hashed."""
 
+    def splice(value: Column, preimage: Column, at: Column) -> Column:
+        before, after = _around(preimage, at, fan)
+        return F.sha2(F.concat(before, F.encode(value, "utf-8"), after), 256)
 
-def fold(leaf: Column, path: Column) -> Column:
-    """The root that a leaf leads to: at each level the hash so far is put at its slot of the preimage."""
-    splice = lambda h, x: sha(F.concat(x["preimage"].substr(F.lit(1), x["slot"] * _HASH), h, x["preimage"].substr((x["slot"] + 1) * _HASH + 1, F.length(x["preimage"]))))
-    return F.aggregate(path, leaf, splice)
+    return _climb(leaf, path, place, splice, fan)
 
 
 def manifest(docs: DataFrame, scratch: Scratch, fan: int = FAN) -> DataFrame:
-    """doc_id, source, leaf, subroot, root, path and changed of each row of docs (the columns of FIELDS).
+    """doc_id, source, leaf, subroot, root, place, path, top_place, top_path and changed of each row of docs (FIELDS).
 
     Leaves ascend by doc_id within their source; rows of one doc_id are ordered by leaf, a null doc_id comes first, rows
     without source are a source of their own, before the others. Repeated rows are leaves of their own. No rows give no
-    rows. Further columns are not read. changed is the leaf after tampering; path holds what proves a leaf, through the
+    rows. Further columns are not read. changed is the leaf after tampering; path and top_path prove a leaf, through the
     source's tree and the tree over sources. The levels of both are tables of scratch, to be cleared once the result is
     no longer used.
     """
@@ -160,17 +169,19 @@ def manifest(docs: DataFrame, scratch: Scratch, fan: int = FAN) -> DataFrame:
     top_nodes = ranked.select("tree", "place", F.col("subroot").alias("hash"))
     top = levels(top_nodes, scratch, fan)
     root = roots(top_nodes, top).first()
-    sources = with_paths(ranked, top, fan).select(F.col("source").alias("_s"), "subroot", F.col("path").alias("_top"))
+    sources = with_paths(ranked, top, fan).select(F.col("source").alias("_s"), "subroot", F.col("place").alias("top_place"), F.col("path").alias("top_path"))
     proved = with_paths(own.withColumnRenamed("source", "tree"), above, fan)
     met = proved.join(_small(scratch.table(sources, "sources")), F.col("tree").eqNullSafe(F.col("_s")))
-    return met.select("doc_id", F.col("tree").alias("source"), "leaf", "subroot", F.lit(root["hash"] if root else None).cast("string").alias("root"), F.concat("path", "_top").alias("path"), "changed")
+    return met.select("doc_id", F.col("tree").alias("source"), "leaf", "subroot", F.lit(root["hash"] if root else None).cast("string").alias("root"), "place", "path", "top_place", "top_path", "changed")
 
 
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: leaves, roots, the digest of each proof, and what tampering with some texts leads to."""
     scratch = Scratch(spark)
     proved = manifest(table(spark, sf_dir, "documents"), scratch)
-    folded = proved.select("doc_id", "leaf", "subroot", "root", sha(siblings(F.col("path"))).alias("proof_sha256"), fold(F.col("changed"), F.col("path")).alias("folded_root"))
+    beside = F.concat(siblings(F.col("path"), F.col("place")), siblings(F.col("top_path"), F.col("top_place")))
+    folded_root = fold(fold(F.col("changed"), F.col("path"), F.col("place")), F.col("top_path"), F.col("top_place"))
+    folded = proved.select("doc_id", "leaf", "subroot", "root", F.sha2(beside, 256).alias("proof_sha256"), folded_root.alias("folded_root"))
     out = materialize(folded.withColumn("verified", F.col("folded_root") == F.col("root")), "manifest")
     scratch.clear()
     return out

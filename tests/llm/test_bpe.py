@@ -101,14 +101,14 @@ def test_blocks_spread_over_files(spark, files):
     assert len(counts) == files and max(counts.values()) <= 2.5 * len(blocks) / files
 
 
-def test_folded_words_reach_many_files(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "BLOCK_BYTES", 64)
+def test_folded_words_reach_all_files(spark):
+    """Forty tasks of one block each."""
     rng = random.Random(4)
-    texts = ["".join(rng.choice(" etaoinshrdlu") for _ in range(80)) for _ in range(120)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+    texts = ["".join(rng.choice(" etaoinshrdlu") for _ in range(80)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
     shared = spark.sparkContext.broadcast(RANKS)
-    with bpe.settings(spark, spark__sql__shuffle__partitions="16"):
+    with bpe.settings(spark, spark__sql__shuffle__partitions="8"):
         folder, files = bpe.fold_words(docs, RANKS, P.PATTERN, shared)
-    assert files == 16
+    assert files == 8
     by_file = [r["count"] for r in spark.read.parquet(folder).selectExpr("input_file_name() f").groupBy("f").count().collect()]
-    assert len(by_file) == 16 and max(by_file) < 3 * sum(by_file) / 16
+    assert len(by_file) == 8 and max(by_file) < 3 * sum(by_file) / 8

@@ -3,6 +3,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lumigrid.llm import manifest
 from lumigrid.session import Scratch
@@ -59,7 +60,10 @@ def brute(rows, fan=16):
 def found(spark, docs, fan=16):
     scratch = Scratch(spark)
     p = manifest.manifest(docs, scratch, fan)
-    cols = p.select("doc_id", "leaf", "subroot", "root", manifest.sha(manifest.siblings(p["path"])), manifest.fold(p["changed"], p["path"]).alias("f")).collect()
+    at = [F.col(c) for c in ("path", "place", "top_path", "top_place")]
+    proof = F.sha2(F.concat(manifest.siblings(*at[:2], fan), manifest.siblings(*at[2:], fan)), 256)
+    folded = manifest.fold(manifest.fold(F.col("changed"), *at[:2], fan), *at[2:], fan)
+    cols = p.select("doc_id", "leaf", "subroot", "root", proof, folded.alias("f")).collect()
     scratch.clear()
     return sorted([(*tuple(r), r.f == r.root) for r in cols], key=repr)
 
