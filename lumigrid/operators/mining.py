@@ -131,7 +131,8 @@ def collect_patches(images: DataFrame, most: int, mode: str = "scan", accept: Pr
     per_image = 1 if one_per_image else max(1, most // max(1, n // 2)) if mode == "random" else most
     hook = accept if callable(accept) and not isinstance(accept, Column) else None
     condition = accept if isinstance(accept, Column) else None
-    names = ["place", "img_id", "at", "r", "c", *(["mean", "var", "z"] if condition is not None else [])]
+    whole = condition is not None  # tasks hand on the pixels of all windows, as the condition may ask for them
+    names = ["place", "img_id", "at", "r", "c", *["mean", "var", "z"][: 3 * whole]]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,12 +150,12 @@ def collect_patches(images: DataFrame, most: int, mode: str = "scan", accept: Pr
             kept = np.arange(at, min(at + _BLOCK, len(all_windows)))
             if hook is not None:
                 kept = kept[np.asarray(hook(all_windows.at(kept)), bool)]
-            if condition is None:
+            if not whole:
                 kept = kept[:left]
                 left -= len(kept)
             found = all_windows.at(kept)
             columns = [pa.array([place] * len(kept), pa.string()), pa.array([img_id] * len(kept), pa.int64()), *(pa.array(x.astype(np.int32)) for x in (kept, found.r, found.c))]
-            if condition is not None:
+            if whole:
                 z = found.patches().reshape(-1)
                 ends = pa.array(np.arange(0, len(z) + 1, size * size, dtype=np.int32))
                 columns += [pa.array(found.mean), pa.array(found.std**2), pa.ListArray.from_arrays(ends, pa.array(z))]
@@ -162,12 +163,12 @@ def collect_patches(images: DataFrame, most: int, mode: str = "scan", accept: Pr
             if left <= 0:
                 return
 
-    schema = "place string, img_id long, at int, r int, c int" + ", mean double, var double, z array<double>" * (condition is not None)
+    schema = "place string, img_id long, at int, r int, c int" + ", mean double, var double, z array<double>" * whole
     spark, scratch, rounds, count = images.sparkSession, Scratch(images.sparkSession), [], 0
     for low, high in _rounds(n, first):
         part = own.where((F.col("bucket") >= low) & (F.col("bucket") < high)).select("place", "img_id", "h", "w", "px")
         found = part.mapInArrow(search, schema)
-        if condition is not None:
+        if whole:
             found = found.where(condition)
         rounds.append(scratch.table(found.select("place", "img_id", "at", "r", "c"), "mined"))
         count += rounds[-1].count()
@@ -178,21 +179,36 @@ def collect_patches(images: DataFrame, most: int, mode: str = "scan", accept: Pr
         found = found.unionByName(more)
     chosen = [(k, x["img_id"], x["r"], x["c"]) for k, x in enumerate(found.orderBy("place", "img_id", "at").limit(most).collect())]
     scratch.clear()
-    by_image: dict[int, list[tuple[int, int, int]]] = {}
-    for k, img_id, r, c in chosen:
-        by_image.setdefault(img_id, []).append((k, r, c))
-    wanted = spark.createDataFrame(list(by_image.items()), "_id long, cuts array<struct<k:int,r:int,c:int>>")
-    # at most `most` places
-    cut = own.join(F.broadcast(wanted), own["img_id"] == wanted["_id"]).select("img_id", "h", "w", "px", "cuts")
-    return materialize(cut.mapInArrow(_crop(size), "k int, img_id long, r int, c int, z array<double>"), "patches")
+    wanted = spark.createDataFrame(chosen, "k int, img_id long, r int, c int")
+    return materialize(patches_at(own, F.broadcast(wanted), size), "patches")  # at most `most` places
 
 
-def _crop(size: int):
+def patches_at(images: DataFrame, wanted: DataFrame, size: int = 24, least_var: float = 1e-4) -> DataFrame:
+    """(k, img_id, r, c, z) of the windows of images (img_id, h, w, px) that wanted (img_id, r, c, perhaps k) names.
+
+    Places of an image are brought to it together. Windows of a variance below least_var have no patch, nor have images
+    without pixels; a place outside of its image is an error. Without k, patches are numbered by row and column.
+    """
+    hinted = wanted
+    if "k" not in wanted.columns:
+        hinted = wanted.withColumn("k", F.lit(0))
+    cuts = hinted.groupBy(F.col("img_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("k", "r", "c"))).alias("cuts"))
+    own = images.where("px is not null")
+    met = own.join(cuts, own["img_id"] == cuts["_id"]).select(F.col("img_id").cast("long").alias("img_id"), "h", "w", "px", "cuts")
+    return met.mapInArrow(_crop(size, least_var), "k int, img_id long, r int, c int, z array<double>")
+
+
+def _crop(size: int, least_var: float):
     def crop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for img_id, h, w, px, cuts in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), batch.column(4).to_pylist()):
-                k, r, c = (np.array([x[n] for x in cuts]) for n in ("k", "r", "c"))
-                z = _windows(np.asarray(px.values, np.float64).reshape(h, w), r, c, size, 0.0).patches().reshape(-1)
+                k, r, c = (np.array([x[n] for x in cuts], np.int64) for n in ("k", "r", "c"))
+                if (r < 0).any() or (c < 0).any() or (r > h - size).any() or (c > w - size).any():
+                    raise ValueError(f"a place outside of image {img_id}")
+                image = np.asarray(px.values, np.float64).reshape(h, w)
+                _, var = moments(tables_of(image), r, c, size)
+                k, r, c = (x[var >= least_var] for x in (k, r, c))
+                z = _windows(image, r, c, size, least_var).patches().reshape(-1)
                 ends = pa.array(np.arange(0, len(z) + 1, size * size, dtype=np.int32))
                 columns = [pa.array(k.astype(np.int32)), pa.array([img_id] * len(k), pa.int64()), pa.array(r.astype(np.int32)), pa.array(c.astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(z))]
                 yield pa.RecordBatch.from_arrays(columns, names=["k", "img_id", "r", "c", "z"])

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumigrid.functions.geometry import contrast, contrast_at_scale
+from lumigrid.functions.geometry import RECTANGLES, contrast_at_scale
 
 BASE = 24
 #: Rectangles across and down of each feature type.
@@ -57,13 +61,94 @@ def detector_windows(ladder: DataFrame, height: int, width: int, step_factor: fl
     return window_grid(ladder, height, width, step_factor).where(inside)
 
 
-def feature_values(tables: DataFrame, features: DataFrame) -> DataFrame:
+#: Features of a window; at a side of 24 there are 162,336.
+_MOST_FEATURES = 1 << 20
+#: Values that a task computes at a time.
+_CELLS = 1 << 21
+
+
+def corner_weights(features: DataFrame, width: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(ids, places, weights) of features in the order of their ids: where in a table of images width wide, and how often.
+
+    A feature is a weighted sum of up to 16 entries of the padded table. The features are bounded by their window.
+    """
+    rows = features.select("feature_id", "ftype", "r", "c", "h", "w").orderBy("feature_id").limit(_MOST_FEATURES + 1).collect()
+    if len(rows) > _MOST_FEATURES:
+        raise ValueError(f"more than {_MOST_FEATURES} features")
+    at, weight = np.zeros((len(rows), 16), np.int32), np.zeros((len(rows), 16))
+    for k, (_, ftype, r, c, h, w) in enumerate(rows):
+        if ftype not in RECTANGLES:
+            raise ValueError(f"unknown feature type {ftype}")
+        n = 0
+        for sign, down, across in RECTANGLES[ftype]:
+            top, left = r + down * h, c + across * w
+            for y, x, corner in ((top + h, left + w, 1), (top, left, 1), (top, left + w, -1), (top + h, left, -1)):
+                at[k, n], weight[k, n], n = y * (width + 1) + x, sign * corner, n + 1
+    return [r["feature_id"] for r in rows], at, weight
+
+
+def _gathered(tables: np.ndarray, at: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """(n, features) of n flat tables."""
+    out = np.zeros((len(tables), len(at)))
+    for k in range(at.shape[1]):
+        if weight[:, k].any():
+            out += tables[:, at[:, k]] * weight[:, k]
+    return out
+
+
+def feature_values(tables: DataFrame, features: DataFrame, width: int | None = None) -> DataFrame:
     """(img_id, feature_id, val) of each image (img_id, w, ii) and each feature, val as float.
 
-    Every sample meets every feature; the features, bounded by the window's size, are broadcast.
+    width: that of all images, the first row's if it is not given; another one is an error. A task gathers all features
+    of an image at once from its table; nothing is joined or moved.
     """
-    own = tables.select("img_id", F.col("w").alias("_w"), "ii").crossJoin(F.broadcast(features))
-    return own.select("img_id", "feature_id", contrast(F.col("ii"), F.col("_w"), F.col("ftype"), F.col("r"), F.col("c"), F.col("h"), F.col("w")).cast("float").alias("val"))
+    if width is None:
+        first = tables.select("w").first()
+        width = first["w"] if first else BASE
+    ids, at, weight = corner_weights(features, width)
+    shared = tables.sparkSession.sparkContext.broadcast((at, weight))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, weight = shared.value
+        for batch in batches:
+            if any(w != width for w in batch.column(1).to_pylist()):
+                raise ValueError(f"an image is not {width} wide")
+            step = max(1, _CELLS // max(1, len(at)))
+            for k in range(0, batch.num_rows, step):
+                some = batch.slice(k, step)
+                values = _gathered(np.stack([x.values.to_numpy(zero_copy_only=False) for x in some.column(2)]), at, weight).astype(np.float32)
+                ends = pa.array(np.arange(0, values.size + 1, max(1, len(at)), dtype=np.int32)) if len(at) else pa.array([0] * (len(values) + 1), pa.int32())
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(ends, pa.array(values.ravel()))], names=["img_id", "vals"])
+
+    kind = tables.schema["img_id"].dataType.simpleString()
+    wide = tables.select("img_id", "w", "ii").mapInArrow(run, f"img_id {kind}, vals array<float>")
+    long = wide.select("img_id", F.posexplode("vals").alias("feature_id", "val"))
+    if ids == list(range(len(ids))):
+        return long
+    return long.withColumn("feature_id", F.get(F.array(*map(F.lit, ids)), F.col("feature_id")))
+
+
+def patch_features(patches: DataFrame, features: DataFrame, size: int = BASE) -> DataFrame:
+    """patches with z (size x size pixels) replaced by x (array<double>): all features, in the order of their ids."""
+    _, at, weight = corner_weights(features, size)
+    shared = patches.sparkSession.sparkContext.broadcast((at, weight))
+    rest = [c for c in patches.columns if c != "z"]
+    kinds = "".join(f"`{c}` {patches.schema[c].dataType.simpleString()}, " for c in rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, weight = shared.value
+        for batch in batches:
+            step = max(1, _CELLS // max(1, len(at)))
+            for k in range(0, batch.num_rows, step):
+                some = batch.slice(k, step)
+                z = some.column(some.schema.names.index("z")).flatten().to_numpy(zero_copy_only=False).reshape(-1, size, size)
+                tables = np.zeros((len(z), size + 1, size + 1))
+                tables[:, 1:, 1:] = z.cumsum(1).cumsum(2)
+                values = _gathered(tables.reshape(len(z), -1), at, weight)
+                x = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * len(at)), pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in rest), x], names=[*rest, "x"])
+
+    return patches.select(*rest, "z").mapInArrow(run, f"{kinds}x array<double>")
 
 
 def feature_values_at_scale(tables: DataFrame, features: DataFrame, scale: float, win_r: int, win_c: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 _PX = """px AS (SELECT vec_id AS img_id, ((i - 1) // 8)::INT AS r, ((i - 1) % 8)::INT AS c,
     greatest(0, least(255, floor((embedding[i]::DOUBLE + 1) * 127.5)))::BIGINT AS v FROM embeddings, range(1, 65) t(i))"""
 _II = """ii AS (SELECT g.img_id, g.r, g.c, coalesce((SELECT sum(v) FROM px WHERE px.img_id = g.img_id AND px.r < g.r AND px.c < g.c), 0)::BIGINT AS ii,
@@ -70,21 +72,23 @@ def _contrast(ftype: str, r: str, c: str, h: str, w: str, side: int) -> str:
 
 
 _TABLES = f"{_PX}, {_IIW}, t AS (SELECT img_id, list(ii ORDER BY r, c) AS ii, list(ii_sq ORDER BY r, c) AS ii_sq FROM ii GROUP BY img_id)"
-_FRAMES = """fp AS (SELECT vec_id // 64 AS img_id, ((vec_id % 64) // 8 * 8 + (i - 1) // 8)::INT AS r, ((vec_id % 64) % 8 * 8 + (i - 1) % 8)::INT AS c,
+_PIXELS = """fp AS MATERIALIZED (SELECT vec_id // 64 AS img_id, ((vec_id % 64) // 8 * 8 + (i - 1) // 8)::INT AS r, ((vec_id % 64) % 8 * 8 + (i - 1) % 8)::INT AS c,
     greatest(0, least(255, floor((embedding[i]::DOUBLE + 1) * 127.5)))::BIGINT AS v FROM embeddings, range(1, 65) q(i)
-    WHERE vec_id // 64 IN (SELECT vec_id // 64 FROM embeddings GROUP BY 1 HAVING count(*) = 64)),
-fi AS (SELECT img_id, r, c, sum(a) OVER (PARTITION BY img_id, c ORDER BY r)::BIGINT AS ii, sum(b) OVER (PARTITION BY img_id, c ORDER BY r)::BIGINT AS ii_sq FROM (
+    UNION ALL SELECT f.img_id, (k.tile // 8 * 8 + i // 8)::INT, (k.tile % 8 * 8 + i % 8)::INT, 0 FROM (SELECT DISTINCT vec_id // 64 AS img_id FROM embeddings) f, range(0, 64) k(tile), range(0, 64) q(i)
+    WHERE f.img_id * 64 + k.tile NOT IN (SELECT vec_id FROM embeddings))"""
+_FRAME_TABLES = """fi AS (SELECT img_id, r, c, sum(a) OVER (PARTITION BY img_id, c ORDER BY r)::BIGINT AS ii, sum(b) OVER (PARTITION BY img_id, c ORDER BY r)::BIGINT AS ii_sq FROM (
     SELECT img_id, r, c, sum(v) OVER (PARTITION BY img_id, r ORDER BY c) AS a, sum(v * v) OVER (PARTITION BY img_id, r ORDER BY c) AS b FROM (
         SELECT img_id, r + 1 AS r, c + 1 AS c, v FROM fp UNION ALL SELECT img_id, e.r::INT, e.c::INT, 0 FROM (SELECT DISTINCT img_id FROM fp),
             (SELECT 0 AS r, i AS c FROM range(0, 65) q(i) UNION ALL SELECT i, 0 FROM range(1, 65) q(i)) e))),
 t AS (SELECT img_id, list(ii ORDER BY r, c) AS ii, list(ii_sq ORDER BY r, c) AS ii_sq FROM fi GROUP BY img_id)"""
+_FRAMES = f"{_PIXELS}, {_FRAME_TABLES}"
 
 
-def _ladder(height: int, width: int, least: int = 24, most: int | None = None) -> str:
+def _ladder(height: int, width: int, least: int = 24, most: int | None = None, factor: float = 1.25) -> str:
     top = min(x for x in (height, width, most) if x)
     return f"""ladder(scale_idx, scale, win) AS (
     SELECT 0, {least} / 24.0::DOUBLE, round_even(24 * ({least} / 24.0::DOUBLE), 0)::INT
-    UNION ALL SELECT scale_idx + 1, scale * 1.25, round_even(24 * (scale * 1.25), 0)::INT FROM ladder WHERE round_even(24 * (scale * 1.25), 0) <= {top})"""
+    UNION ALL SELECT scale_idx + 1, scale * {factor}::DOUBLE, round_even(24 * (scale * {factor}::DOUBLE), 0)::INT FROM ladder WHERE round_even(24 * (scale * {factor}::DOUBLE), 0) <= {top})"""
 
 
 def _grid(height: int, width: int, delta: float) -> str:
@@ -121,22 +125,86 @@ def _boosted(rounds: int) -> str:
     return f"WITH {', '.join(parts)} {rows}"
 
 
-def _accepted(model, cfg) -> str:
+def _accepted(model, cfg, frames: str = _FRAMES) -> str:
     """CTEs that end in accepted(img_id, box_id, x, y, w, h)."""
     n = lambda d, s="scale": f"round_even({d} * {s}, 0)::INT"
+    place = lambda k: (f"(g.r + {n(k.r)})", f"(g.c + {n(k.c)})", f"greatest(1, {n(k.h)})", f"greatest(1, {n(k.w)})")
+    accepted = _judged(model, place, lambda k, value: f"({value}) * norm")
+    mean, sq = _window_means("win")
+    return f"""{frames}, {_ladder(64, 64, cfg.min_face, factor=cfg.scale_factor)}, {_grid(64, 64, cfg.step_factor)},
+rated AS (SELECT t.img_id, t.ii, scale, win, g.r, g.c, greatest(0, {sq} - {mean} * {mean}) AS var FROM t, grid g WHERE g.r + win + 3 < 64 AND g.c + win + 3 < 64),
+g AS (SELECT *, 1.0::DOUBLE / (scale * scale * sqrt(var)) AS norm FROM rated WHERE var >= {cfg.flat_variance}),
+accepted AS (SELECT img_id, row_number() OVER (PARTITION BY img_id ORDER BY scale, r, c) AS box_id, c AS x, r AS y, win AS w, win AS h FROM g WHERE {accepted})"""
+
+
+def _window_means(win: str) -> tuple[str, str]:
+    """Means of values and of squares of the window at g.r, g.c of table t."""
+    s = _rect("g.r", "g.c", win, win, 64)
+    area = f"({win} * {win})::DOUBLE"
+    return f"({s}::DOUBLE / {area})", f"({s.replace('t.ii[', 't.ii_sq[')}::DOUBLE / {area})"
+
+
+def _judged(model, place, measure) -> str:
+    """Whether all stages of model accept; place gives r, c, h, w of a feature's rectangle, measure its value as compared."""
     conditions = []
     for stage in model:
-        terms = []
-        for k in stage.weak:
-            value = _contrast(str(k.ftype), f"(g.r + {n(k.r)})", f"(g.c + {n(k.c)})", f"greatest(1, {n(k.h)})", f"greatest(1, {n(k.w)})", 64)
-            terms.append(f"CASE WHEN {k.polarity} * (({value}) * norm) < {k.polarity} * {k.threshold}::DOUBLE THEN {k.alpha}::DOUBLE ELSE 0 END")
+        terms = [f"CASE WHEN {k.polarity} * ({measure(k, _contrast(str(k.ftype), *place(k), 64))}) < {k.polarity} * {k.threshold}::DOUBLE THEN {k.alpha}::DOUBLE ELSE 0 END" for k in stage.weak]
         conditions.append("(" + " + ".join(terms) + f") >= {stage.threshold}::DOUBLE")
-    s = _rect("g.r", "g.c", "win", "win", 64)
-    mean, sq = f"({s}::DOUBLE / (win * win)::DOUBLE)", f"({s.replace('t.ii[', 't.ii_sq[')}::DOUBLE / (win * win)::DOUBLE)"
-    return f"""{_FRAMES}, {_ladder(64, 64)}, {_grid(64, 64, cfg.step_factor)},
-rated AS (SELECT t.img_id, t.ii, scale, win, g.r, g.c, greatest(0, {sq} - {mean} * {mean}) AS var FROM t, grid g WHERE g.r + win + 3 < 64 AND g.c + win + 3 < 64),
-g AS (SELECT *, 1.0::DOUBLE / (scale * scale * sqrt(var)) AS norm FROM rated WHERE var >= {cfg.flat_variance}),
-accepted AS (SELECT img_id, row_number() OVER (PARTITION BY img_id ORDER BY scale, r, c) AS box_id, c AS x, r AS y, win AS w, win AS h FROM g WHERE {" AND ".join(conditions).replace("t.ii[", "g.ii[")})"""
+    return " AND ".join(conditions).replace("t.ii[", "g.ii[")
+
+
+def _mined(model, most: int) -> str:
+    """Patches of the frames that model accepts, by hash of the frame, row and column."""
+    net = {2: -1, 3: -1}
+    place = lambda k: (f"(g.r + {k.r})", f"(g.c + {k.c})", str(k.h), str(k.w))
+    accepted = _judged(model, place, lambda k, value: f"(({value}) - {net.get(k.ftype, 0) * k.h * k.w} * mean) / std")
+    mean, sq = _window_means("24")
+    return f"""WITH {_FRAMES}, places AS (SELECT a.r::INT AS r, b.c::INT AS c FROM range(0, 41, 4) a(r), range(0, 41, 4) b(c)),
+rated AS (SELECT t.img_id, t.ii, g.r, g.c, {mean} AS mean, greatest(0, {sq} - {mean} * {mean}) AS var FROM t, places g),
+g AS (SELECT *, sqrt(var) AS std FROM rated WHERE var >= 1e-4),
+found AS (SELECT img_id, r, c, mean, std, (row_number() OVER (ORDER BY md5('42:' || img_id), img_id, r, c) - 1)::INT AS k FROM g WHERE {accepted}){_PATCH_ENDS.format(most=most)}"""
+
+
+_PATCH_ENDS = """ SELECT k, img_id, r, c, round((a.v - mean) / std, 6) AS z_first, round((b.v - mean) / std, 6) AS z_last
+FROM (SELECT * FROM found WHERE k < {most}) f JOIN fp a USING (img_id, r, c) JOIN fp b ON b.img_id = f.img_id AND b.r = f.r + 23 AND b.c = f.c + 23"""
+
+
+def _drawn(most: int) -> str:
+    """Patches of the frames in mode random."""
+    mean, sq = _window_means("24")
+    return f"""WITH {_FRAMES}, places AS (SELECT a.r::INT AS r, b.c::INT AS c, a.r * 41 + b.c AS pos FROM range(0, 41) a(r), range(0, 41) b(c)),
+rated AS (SELECT t.img_id, g.r, g.c, pos, {mean} AS mean, greatest(0, {sq} - {mean} * {mean}) AS var FROM t, places g),
+keyed AS (SELECT *, sqrt(var) AS std, (pos + 1 + t0.img_id % 2147483647 * 7919 % 2147483647 + 42) % 2147483647 * 48271 % 2147483647 AS x FROM rated t0 WHERE var >= 1e-4),
+each AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY x * x % 2147483647, pos) AS nth FROM keyed),
+found AS (SELECT *, (row_number() OVER (ORDER BY md5('42:' || img_id), img_id, nth) - 1)::INT AS k FROM each
+    WHERE nth <= greatest(1, {most} // greatest(1, (SELECT count(*) FROM t) // 2))){_PATCH_ENDS.format(most=most)}"""
+
+
+def _resized(height: int, width: int, method: str) -> str:
+    """The frames in another size, by the weight of each source pixel in each target pixel."""
+    if method == "area":
+        weight = lambda at, into: f"greatest(0, least((i + 1) * 64 / {into}::DOUBLE, {at} + 1) - greatest(i * 64 / {into}::DOUBLE, {at}))"
+    else:
+        centre = lambda into: f"greatest(0, least(63, (i + 0.5::DOUBLE) * 64 / {into}::DOUBLE - 0.5::DOUBLE))"
+        weight = lambda at, into: f"greatest(0, 1 - abs({centre(into)} - {at}))"
+    side = lambda name, into: f"{name} AS (SELECT i::INT AS i, pos::INT AS pos, {weight('pos', into)} AS share FROM range(0, {into}) x(i), range(0, 64) y(pos) WHERE {weight('pos', into)} > 0)"
+    return f"""WITH {_PIXELS}, {side("down", height)}, {side("across", width)}
+SELECT img_id, d.i AS r, a.i AS c, round(sum(v * d.share * a.share) / sum(d.share * a.share), 6) AS v FROM fp JOIN down d ON fp.r = d.pos JOIN across a ON fp.c = a.pos GROUP BY img_id, d.i, a.i"""
+
+
+_EQUALISED = f"""{_PIXELS.replace("fp AS MATERIALIZED (", "raw AS MATERIALIZED (", 1)}, counted AS (SELECT img_id, v, count(*) AS n FROM raw GROUP BY ALL),
+below AS (SELECT img_id, v, sum(n) OVER (PARTITION BY img_id ORDER BY v) AS below, sum(n) OVER (PARTITION BY img_id) AS total FROM counted),
+lut AS (SELECT *, min(below) OVER (PARTITION BY img_id) AS first FROM below),
+fp AS MATERIALIZED (SELECT img_id, r, c, CASE WHEN total = first THEN v ELSE round_even((below - first) * 255.0::DOUBLE / (total - first)::DOUBLE, 0)::BIGINT END AS v FROM raw JOIN lut USING (img_id, v)), {_FRAME_TABLES}"""
+
+
+def _faceless(model, cfg, neighbours: int) -> str:
+    """Frames without a group of more than neighbours similar accepted windows."""
+    return f"""WITH RECURSIVE {_accepted(model, cfg, _EQUALISED)},
+hits AS MATERIALIZED (SELECT * FROM accepted), e AS MATERIALIZED (SELECT a.img_id, a.box_id AS a, b.box_id AS b FROM hits a JOIN hits b ON a.img_id = b.img_id AND {_similar("a", "b", 0.2)}),
+reach(img_id, a, b) AS (SELECT * FROM e UNION SELECT r.img_id, r.a, e.b FROM reach r JOIN e ON e.img_id = r.img_id AND e.a = r.b),
+found AS (SELECT img_id FROM reach GROUP BY img_id, a HAVING count(*) > {neighbours})
+SELECT DISTINCT img_id FROM fp WHERE img_id NOT IN (SELECT img_id FROM found)"""
 
 
 _KEYPOINTS = """points AS (SELECT 'img_' || (l_orderkey // 4) || '.gif' AS filename, (l_partkey % 97)::DOUBLE AS lx, (l_suppkey % 89)::DOUBLE + 0.5 AS ly, (l_suppkey % 83)::DOUBLE AS rx, (l_partkey % 79)::DOUBLE + 0.25 AS ry
@@ -240,6 +308,12 @@ def _oracles() -> dict[str, str]:
             SELECT user_id, event_id, frame::INT AS frame, frame % 2 = 0 AS taken, last_value(CASE WHEN frame % 2 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS shown FROM f""",
         "rate_window": "SELECT date_trunc('second', ts) AS start, count(*) AS frames, count(*) / 1.0::DOUBLE AS fps FROM events GROUP BY 1",
         "accepted_windows": f"WITH RECURSIVE {_accepted(model, cfg)} SELECT * FROM accepted",
+        "resize_area": _resized(24, 24, "area"),
+        "resize_bilinear": _resized(36, 48, "bilinear"),
+        "mined_patches": _mined(model, 60),
+        "mined_by_column": f"SELECT k, img_id, r, c, z_first, z_last FROM ({_mined([Stage((Weak(0, 0, 0, 24, 12, 60.0, 1, 1.0),), 1.0)], 50)})",
+        "random_patches": _drawn(30),
+        "faceless_frames": _faceless([Stage((Weak(0, 0, 0, 24, 12, -60.0, 1, 1.0),), 1.0)], replace(cfg, scale_factor=1.05, min_face=20), 2),
         "detect_frames": f"WITH RECURSIVE {_accepted(model, cfg)}, {_merge('accepted', cfg.threshold, cfg.min_votes)} SELECT * FROM merged",
     }
 

@@ -8,8 +8,11 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from lumigrid.operators.boost import Strong, score, train
+from lumigrid.operators.boost import Strong, booster, score
 from lumigrid.operators.cascade import Stage, Weak, evaluate, growth_schedule, refill_negatives, survivors
+from lumigrid.operators.mining import mine_negatives
+from lumigrid.operators.windows import patch_features
+from lumigrid.session import materialize
 
 
 @dataclass(frozen=True)
@@ -66,21 +69,22 @@ def train_cascade(positives: DataFrame, negatives: DataFrame, validation: DataFr
         chosen: Trial | None = None
         n = max(2, len(stages[-1].stumps)) if stages else 2
         rows = positives.select("sample_id", "y", "x").unionByName(pool.select("sample_id", "y", "x"))
-        while chosen is None:
-            model = train(rows, n, model.stumps if history else ())
-            trial = _lower(model, stages, validation, goal_dr, cfg)
-            history.append(trial)
-            if trial.fpr <= goal_fpr and trial.dr >= goal_dr:
-                chosen = trial
-            elif len(history) == 2 and trial.fpr > history[0].fpr or len(history) == 3 and trial.fpr >= history[1].fpr:
-                chosen = history[0]
-            else:
-                after = growth_schedule(cfg.most_stumps, n)[1:2]
-                if not after:
-                    return stages
-                n = after[0]
-                if cfg.on_stall != "continue":
-                    chosen = min(history, key=lambda t: t.fpr)
+        with booster(rows) as train:
+            while chosen is None:
+                model = train(n, model.stumps if history else ())
+                trial = _lower(model, stages, validation, goal_dr, cfg)
+                history.append(trial)
+                if trial.fpr <= goal_fpr and trial.dr >= goal_dr:
+                    chosen = trial
+                elif len(history) == 2 and trial.fpr > history[0].fpr or len(history) == 3 and trial.fpr >= history[1].fpr:
+                    chosen = history[0]
+                else:
+                    after = growth_schedule(cfg.most_stumps, n)[1:2]
+                    if not after:
+                        return stages
+                    n = after[0]
+                    if cfg.on_stall != "continue":
+                        chosen = min(history, key=lambda t: t.fpr)
         stages.append(chosen.model)
         dr, fpr = chosen.dr, chosen.fpr
         if keep:
@@ -123,3 +127,22 @@ def detection_stages(stages: list[Strong], features: DataFrame) -> list[Stage]:
     if missing := [k for k in named if k not in described]:
         raise ValueError(f"unknown features {missing}")
     return [Stage(tuple(Weak(*described[s.feature_id], s.threshold, s.polarity, s.alpha) for s in stage.stumps), stage.threshold) for stage in stages]
+
+
+def patch_samples(patches: DataFrame, features: DataFrame, y: int, size: int = 24) -> DataFrame:
+    """Samples (sample_id, y, x) of patches (img_id, r, c, z): x has all features; ids depend on class and place only.
+
+    Positive samples have even ids, negative ones odd ids; places must be unique and below 32,768.
+    """
+    place = (F.col("img_id") * (1 << 30) + F.col("r") * (1 << 15) + F.col("c")) * 2 + (1 - y)
+    return patch_features(patches.select(place.alias("sample_id"), F.lit(y).alias("y"), "z"), features, size)
+
+
+def patch_miner(images: DataFrame, features: DataFrame, most: int = 2400, size: int = 24, step: int = 4, seed: int = 42) -> Callable[[list[Strong]], DataFrame]:
+    """For train_cascade: after each stage, negatives are the first most patches of images without faces that all stages accept."""
+
+    def mine(stages: list[Strong]) -> DataFrame:
+        found = mine_negatives(images, detection_stages(stages, features), most, size=size, step=step, seed=seed)
+        return materialize(patch_samples(found, features, 0, size), "mined-samples")
+
+    return mine

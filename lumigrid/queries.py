@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lumigrid.functions import geometry
-from lumigrid.operators import boost, boxes, cascade, dataset, images, windows
+from lumigrid.operators import boost, boxes, cascade, dataset, images, mining, windows
 from lumigrid.operators.cascade import DetectorConfig, Stage, Weak
 from lumigrid.oracles import ORACLES as ORACLES
-from lumigrid.session import table
+from lumigrid.session import new_folder, table
 from lumigrid.sources import models, parsers, views
 from lumigrid.streaming import video
 
@@ -401,6 +401,88 @@ def detect_frames(spark, d):
     return cascade.detect(views.frames(spark, d), MODEL, DETECTOR)
 
 
+def _long(images_: DataFrame) -> DataFrame:
+    """(img_id, r, c, v) of images with their own widths."""
+    each = images_.select("img_id", "w", F.posexplode("px").alias("at", "v"))
+    return each.select("img_id", F.floor(F.col("at") / F.col("w")).cast("int").alias("r"), (F.col("at") % F.col("w")).alias("c"), F.round("v", 6).alias("v"))
+
+
+@query
+def resize_area(spark, d):
+    return _long(images.resize(views.frames(spark, d), 24, 24, "area", rounded=False))
+
+
+@query
+def resize_bilinear(spark, d):
+    return _long(images.resize(views.frames(spark, d), 36, 48, "bilinear", rounded=False))
+
+
+def _ends(patches: DataFrame) -> DataFrame:
+    return patches.select("k", "img_id", "r", "c", F.round(F.col("z")[0], 6).alias("z_first"), F.round(F.element_at("z", -1), 6).alias("z_last"))
+
+
+@query
+def mined_patches(spark, d):
+    """Patches of the frames that the cascade takes for faces, up to a quota over all frames."""
+    return _ends(mining.mine_negatives(views.frames(spark, d), MODEL, 60))
+
+
+#: One stump on the difference of the two halves of a patch, and one that few windows pass.
+HALVES = Weak(0, 0, 0, 24, 12, 60.0, 1, 1.0)
+STRICT = [Stage((Weak(0, 0, 0, 24, 12, -60.0, 1, 1.0),), 1.0)]
+
+
+def halves_differ() -> Column:
+    """The same as a condition on the patch."""
+    right = lambda v, k: F.when(k % 24 >= 12, v).otherwise(-v)
+    return F.aggregate(F.transform("z", right), F.lit(0.0), lambda s, v: s + v) < HALVES.threshold
+
+
+@query
+def mined_by_column(spark, d):
+    """Patches that a condition on their pixels accepts."""
+    return _ends(mining.collect_patches(views.frames(spark, d), 50, "scan", halves_differ()))
+
+
+@query
+def random_patches(spark, d):
+    """Patches of the frames at random places."""
+    return _ends(mining.collect_patches(views.frames(spark, d), 30, "random"))
+
+
+@query
+def faceless_frames(spark, d):
+    """Frames in which the detector, at fine scales, meets no group of windows."""
+    return mining.without_faces(views.frames(spark, d), STRICT, cascade.adjusted(DETECTOR, scale_factor=1.05, min_face=20)).select("img_id")
+
+
+@query
+def cascade_from_images(spark, d):
+    """Faces that a cascade finds which was trained on the frames, with negatives mined from them, stored and read again.
+
+    Positive are the patches around tiles of one label, and the frames without such a tile are mined. The whole training
+    runs while this query is built.
+    """
+    from lumigrid.plans.training import CascadeTrainConfig, detection_stages, patch_samples, patch_miner, train_cascade
+    from lumigrid.session import Scratch
+
+    scratch = Scratch(spark)
+    features = windows.enumerate_features(spark, 24, 4)
+    framed = views.frames(spark, d)
+    tiles = table(spark, d, "embeddings").select((F.col("vec_id") / 64).cast("long").alias("img_id"), (F.col("vec_id") % 64).cast("int").alias("tile"), "label")
+    inner = tiles.withColumn("r", ((F.col("tile") / 8).cast("int") - 1) * 8).withColumn("c", (F.col("tile") % 8 - 1) * 8).where("r between 0 and 40 and c between 0 and 40")
+    around = mining.patches_at(framed, inner.where("label = 3").select("img_id", "r", "c"))
+    positives = scratch.table(patch_samples(around, features, 1), "positives")
+    free = framed.where(F.col("img_id") % 2 == 0)
+    negatives = scratch.table(patch_samples(mining.collect_patches(free, 200, "random", seed=7), features, 0), "negatives")
+    validation = positives.unionByName(negatives)
+    cfg = CascadeTrainConfig(target_fpr=0.02, stage_fpr=0.6, stage_dr=0.95, most_stumps=9, most_stages=2)
+    stages = train_cascade(positives, negatives, validation, cfg, mine=patch_miner(free, features, 200))
+    folder = new_folder(spark, "cascade")
+    models.write_model(spark, detection_stages(stages, features), folder)
+    return cascade.detect(framed, models.read_model(spark, folder), DETECTOR)
+
+
 @query
 def cascade_training(spark, d):
     """A cascade trained on the samples, validated on those of another residue of the id: its stages."""

@@ -23,13 +23,16 @@ def pixels(images: DataFrame, width: int = SIDE) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64 x 64 mosaics (img_id, h, w, px) of 64 consecutive patches each; incomplete mosaics are left out."""
-    tile = F.col("img_id") % (FRAME_TILES * FRAME_TILES)
-    side = SIDE * FRAME_TILES
-    grouped = patches(spark, sf_dir).groupBy((F.col("img_id") / (FRAME_TILES * FRAME_TILES)).cast("long").alias("frame_id")).agg(F.array_sort(F.collect_list(F.struct(tile.alias("tile"), "px"))).alias("tiles"))
-    pick = lambda at: F.get(F.get(F.transform("tiles", lambda t: t["px"]), ((at / side).cast("int") / SIDE).cast("int") * FRAME_TILES + ((at % side) / SIDE).cast("int")), ((at / side).cast("int") % SIDE) * SIDE + at % SIDE)
-    px = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), pick)
-    return grouped.where(F.size("tiles") == FRAME_TILES * FRAME_TILES).select(F.col("frame_id").alias("img_id"), F.lit(side).alias("h"), F.lit(side).alias("w"), px.alias("px"))
+    """64 x 64 mosaics (img_id, h, w, px) of 64 consecutive patches each; patches that are not there are black."""
+    n, side = FRAME_TILES * FRAME_TILES, SIDE * FRAME_TILES
+    tile = (F.col("img_id") % n).cast("int")
+    grouped = patches(spark, sf_dir).groupBy((F.col("img_id") / n).cast("long").alias("frame_id")).agg(F.collect_list(F.struct(tile.alias("tile"), "px")).alias("own"))
+    missing = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: ~F.exists("own", lambda t: t["tile"] == k))
+    black = F.transform(missing, lambda k: F.struct(k.alias("tile"), F.array_repeat(F.lit(0), SIDE * SIDE).alias("px")))
+    tiles = grouped.select("frame_id", F.array_sort(F.concat("own", black)).alias("tiles"))
+    row = lambda r: F.flatten(F.transform(F.slice("tiles", (r / SIDE).cast("int") * FRAME_TILES + 1, FRAME_TILES), lambda t: F.slice(t["px"], r % SIDE * SIDE + 1, SIDE)))
+    px = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), row))
+    return tiles.select(F.col("frame_id").alias("img_id"), F.lit(side).alias("h"), F.lit(side).alias("w"), px.alias("px"))
 
 
 def samples(spark: SparkSession, sf_dir: str, positive: int = 3) -> DataFrame:
