@@ -160,6 +160,8 @@ def accepted_windows(images: DataFrame, stages: list[Stage], cfg: DetectorConfig
         for batch in batches:
             rows = []
             for img_id, h, w, px in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                if px.values is None:
+                    continue
                 found = scan_image(np.asarray(px.values, np.float64).reshape(h, w), stages, cfg)
                 rows += [(img_id, k, c, r, win, win) for k, (r, c, win) in enumerate(found, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(names), schema=schema)
@@ -171,7 +173,8 @@ def detect(images: DataFrame, stages: list[Stage], cfg: DetectorConfig = Detecto
     """(img_id, group_id, x, y, w, h, n): merged boxes of the windows that the cascade accepts.
 
     An image is scanned, and its boxes are merged, where it is: there is no join and no exchange. Images with a side
-    above cfg.max_dim are made smaller first, and their boxes are given in the original's coordinates, truncated.
+    above cfg.max_dim are made smaller first, and their boxes are given in the original's coordinates, truncated. Images
+    without pixels have no boxes.
     """
     schema = pa.schema([("img_id", pa.int64()), ("group_id", pa.int64() if cfg.mode else pa.int32()), *((n, pa.int32()) for n in "xywh"), ("n", pa.int64())])
 
@@ -179,6 +182,8 @@ def detect(images: DataFrame, stages: list[Stage], cfg: DetectorConfig = Detecto
         for batch in batches:
             rows = []
             for img_id, h, w, px in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
+                if px.values is None:
+                    continue
                 small, factor = fit(np.asarray(px.values, np.float64).reshape(h, w), cfg.max_dim)
                 b = np.array([(c, r, win, win) for r, c, win in scan_image(small, stages, cfg)], np.int64).reshape(-1, 4)
                 for group_id, *box, n in box_ops.merge_in_image(b, cfg.mode, cfg.threshold, cfg.min_votes):

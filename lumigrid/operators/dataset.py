@@ -80,6 +80,18 @@ def category_counts(rows: DataFrame, category: str, split: str) -> DataFrame:
     return rows.rollup(category, split).agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
 
 
+def categorised(files: DataFrame, suffixes: tuple[str, ...] = ("jpg", "jpeg", "png", "bmp"), seed: int = 42) -> DataFrame:
+    """files (path, more columns) as split/category/name with such a suffix: with split, category and position.
+
+    split and category are the last two folders of the path; position numbers all of them in seeded order of the path,
+    which must be unique. Files elsewhere or with another suffix, and null paths, are left out.
+    """
+    pattern = r"([^/]+)/([^/]+)/[^/]+\.(?i:" + "|".join(suffixes) + ")$"
+    part = lambda k: F.regexp_extract("path", pattern, k)
+    own = files.withColumn("split", part(1)).withColumn("category", part(2)).where("split <> ''")
+    return numbered(own, "path", seed)
+
+
 def training_set(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     """Both with y, 1 and 0."""
     return positives.withColumn("y", F.lit(1)).unionByName(negatives.withColumn("y", F.lit(0)))

@@ -298,6 +298,21 @@ def _oracles() -> dict[str, str]:
         "annotation_reconcile": f"WITH {_KEYPOINTS} SELECT 'img_' || o_orderkey || '.jpg' AS image, count(filename)::INT AS n_faces FROM orders LEFT JOIN points ON filename = 'img_' || o_orderkey || '.gif' GROUP BY o_orderkey",
         "annotation_json_summary": f"WITH {_KEYPOINTS} SELECT count(DISTINCT filename) AS total_images, count(*) AS total_faces FROM points",
         "grouped_text_parse": f"WITH {_ANNOTATIONS} SELECT split_part(img_rel_path, '/', 1) AS file, img_rel_path, x::INT AS x, y::INT AS y, w::INT AS w, h::INT AS h, blur, 0 AS expression, 1 AS illumination, occlusion, pose, invalid FROM annotations",
+        "annotation_envelopes": f"""WITH {_KEYPOINTS} SELECT filename, 'test/' || filename AS image_path, count(*) AS n_faces, round(sum((lx + rx) / 2), 6) AS sum_x,
+            (SELECT count(DISTINCT filename) FROM points) AS total_images, (SELECT count(*) FROM points) AS total_faces FROM points GROUP BY filename""",
+        "category_scan": """SELECT path, split, category, row_number() OVER (ORDER BY md5('42:' || path), path) - 1 AS position FROM (
+            SELECT DISTINCT 'data/' || l_linestatus || '/' || l_returnflag || '/' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || CASE l_linenumber WHEN 5 THEN '.JPEG' ELSE '.jpg' END AS path,
+            l_linestatus AS split, l_returnflag AS category FROM lineitem WHERE l_linenumber <> 6)""",
+        "face_list_pieces": f"WITH {_ANNOTATIONS} SELECT split_part(img_rel_path, '/', 1) AS file, img_rel_path, x::INT AS x, y::INT AS y, w::INT AS w, h::INT AS h, blur, 0 AS expression, 1 AS illumination, occlusion, pose, invalid FROM annotations",
+        "appended_names": " UNION ALL ".join(
+            f"SELECT '{rows}' AS origin, {key} AS id, 'neg_' || lpad((position + {before})::VARCHAR, 5, '0') AS name FROM ({numbered.format(key=key, rows=rows)})"
+            for rows, key, before in (("supplier", "s_suppkey", "0"), ("customer", "c_custkey", "(SELECT count(*) FROM supplier)"))
+        ),
+        "integral_mosaic": f"""WITH {_PX}, p AS (SELECT img_id // 64 AS tr, img_id % 64 AS tc, img_id // 64 * 8 + r AS y, img_id % 64 * 8 + c AS x, r, c, v FROM px),
+            a AS (SELECT *, sum(v) OVER (PARTITION BY y ORDER BY x) AS s, sum(v * v) OVER (PARTITION BY y ORDER BY x) AS q FROM p),
+            l AS (SELECT DISTINCT y, last_value(s) OVER w AS s, last_value(q) OVER w AS q, max(x) OVER w AS x FROM a WINDOW w AS (PARTITION BY y ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+            i AS (SELECT tr, tc, r, c, sum(s) OVER w AS ii, sum(q) OVER w AS ii_sq FROM a WINDOW w AS (PARTITION BY x ORDER BY y))
+            SELECT tr::INT AS tr, tc::INT AS tc, max(CASE WHEN r = 0 AND c = 0 THEN ii END)::BIGINT AS ii_first, max(CASE WHEN r = 7 AND c = 7 THEN ii END)::BIGINT AS ii_last, max(CASE WHEN r = 1 AND c = 4 THEN ii_sq END)::BIGINT AS ii_sq_13 FROM i GROUP BY tr, tc""",
         "seeded_split": f"SELECT p_partkey, CASE WHEN position < 900 THEN 'train' ELSE 'val' END AS split, 'face_' || lpad((CASE WHEN position < 900 THEN position ELSE position - 900 END)::VARCHAR, 5, '0') AS name FROM ({numbered.format(key='p_partkey', rows='part')}) WHERE position < 1300",
         "index_continuation": f"SELECT c_custkey, 'neg_' || lpad((position + 1 + (SELECT max(s_suppkey) FROM supplier))::VARCHAR, 5, '0') || '.jpg' AS name FROM ({numbered.format(key='c_custkey', rows='customer')})",
         "category_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, grouping(l_returnflag, l_linestatus)::BIGINT AS level FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",

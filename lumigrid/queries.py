@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lumigrid.functions import geometry
-from lumigrid.operators import boost, boxes, cascade, dataset, images, mining, windows
+from lumigrid.operators import boost, boxes, cascade, dataset, images, mining, tiled, windows
 from lumigrid.operators.cascade import DetectorConfig, Stage, Weak
 from lumigrid.oracles import ORACLES as ORACLES
-from lumigrid.session import new_folder, table
-from lumigrid.sources import models, parsers, views
+from lumigrid.session import materialize, new_folder, table
+from lumigrid.sources import appends, face_lists, models, parsers, views
 from lumigrid.streaming import video
 
 QUERIES: dict = {}
@@ -322,6 +322,26 @@ def annotation_json_summary(spark, d):
     return back.agg(F.count("*").alias("total_images"), F.sum(F.size("s.annotation.faces")).alias("total_faces"))
 
 
+@query
+def annotation_envelopes(spark, d):
+    """Envelopes with totals, written as JSON lines and read back."""
+    folder = new_folder(spark, "envelopes")
+    grouped = parsers.group_keypoints(parsers.parse_keypoints(_keypoint_lines(spark, d)))
+    models.envelopes(grouped, "test", "midpoint in box", per=500).write.text(folder)
+    read = parsers.read_summary(spark, spark.read.text(folder))
+    faces = parsers.flatten_summary(read).groupBy("filename", "image_path").agg(F.count("*").alias("n_faces"), F.round(F.sum(F.col("face.eye_midpoint")[0]), 6).alias("sum_x"))
+    return faces.crossJoin(F.broadcast(read.select("total_images", "total_faces").limit(1)))  # one row of totals
+
+
+@query
+def category_scan(spark, d):
+    """Lines as files in folders of split and category, some with another suffix, in seeded order."""
+    suffix = F.when(F.col("l_linenumber") == 6, "txt").when(F.col("l_linenumber") == 5, "JPEG").otherwise("jpg")
+    name = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
+    files = table(spark, d, "lineitem").select(F.concat_ws("/", F.lit("data"), "l_linestatus", "l_returnflag", F.concat(name, F.lit("."), suffix)).alias("path")).distinct()
+    return dataset.categorised(files).select("path", "split", "category", "position")
+
+
 def _face_files(spark, d) -> DataFrame:
     """Annotation files (file, text), one for each of seven folders, in pieces of at most 100 images cut at entries."""
     rows = views.annotations(spark, d).withColumn("file", F.substring_index("img_rel_path", "/", 1))
@@ -329,13 +349,23 @@ def _face_files(spark, d) -> DataFrame:
     entry = rows.groupBy("file", "img_rel_path").agg(F.concat_ws("\n", F.array_sort(F.collect_list(numbers))).alias("faces"), F.count("*").alias("n"))
     block = F.concat("img_rel_path", F.lit("\n"), (F.col("n") + 1).cast("string"), F.lit("\n"), "faces", F.lit("\n1 2 3\nempty.jpg\n0\n0 0 0 0 0 0 0 0 0 0\nodd.jpg\nmany"))
     piece = F.floor(F.regexp_extract("img_rel_path", r"img_(\d+)", 1).cast("long") / 100)
-    return entry.groupBy("file", piece.alias("piece")).agg(F.concat_ws("\n", F.array_sort(F.collect_list(block))).alias("text")).select("file", "text")
+    return entry.groupBy("file", piece.alias("piece")).agg(F.concat_ws("\n", F.array_sort(F.collect_list(block))).alias("text"))
 
 
 @query
 def grouped_text_parse(spark, d):
     """Annotation files of seven folders, with empty, damaged and short entries among the faces."""
-    return parsers.parse_face_lists(_face_files(spark, d))
+    return face_lists.parse_face_lists(_face_files(spark, d))
+
+
+@query
+def face_list_pieces(spark, d):
+    """The same texts in pieces that are cut anywhere, so that most begin within an entry."""
+    lines = _face_files(spark, d).select("file", F.col("piece").cast("long").alias("start"), F.split("text", "\n").alias("all"))
+    half = F.floor(F.size("all") / 2).cast("int")
+    parts = F.array(F.struct(F.lit(0).alias("part"), F.slice("all", 1, half).alias("lines")), F.struct(F.lit(1).alias("part"), F.slice("all", half + 1, F.size("all")).alias("lines")))
+    pieces = lines.select("file", "start", F.explode(parts).alias("p")).select("file", "start", "p.part", "p.lines")
+    return face_lists.parse_pieces(materialize(pieces, "face-pieces"))
 
 
 @query
@@ -350,6 +380,25 @@ def index_continuation(spark, d):
     return dataset.append_numbered(existing, rows, "c_custkey").select("c_custkey", "name")
 
 
+@query
+def appended_names(spark, d):
+    """Suppliers, then customers, added to one numbered folder and read back."""
+    folder = new_folder(spark, "numbered")
+    rows = lambda name, key: table(spark, d, name).select(F.lit(name).alias("origin"), F.col(key).alias("id"))
+    appends.append_rows(rows("supplier", "s_suppkey"), folder, "id")
+    appends.append_rows(rows("customer", "c_custkey"), folder, "id")
+    return appends.read_rows(spark, folder, "neg").select("origin", "id", "name")
+
+
+@query
+def integral_mosaic(spark, d):
+    """All patches as the tiles of one image 64 tiles wide, and its summed-area table at each tile's last pixel."""
+    n = 64
+    tiles = views.patches(spark, d).select(F.lit(0).cast("long").alias("img_id"), F.floor(F.col("img_id") / n).cast("int").alias("tr"), (F.col("img_id") % n).cast("int").alias("tc"), F.lit(8).alias("h"), F.lit(8).alias("w"), "px")
+    made = tiled.integral_tiles(tiles)
+    return made.select("tr", "tc", F.element_at("ii", 1).cast("long").alias("ii_first"), F.element_at("ii", -1).cast("long").alias("ii_last"), F.element_at("ii_sq", 13).cast("long").alias("ii_sq_13"))
+
+
 @query
 def category_rollup(spark, d):
     return dataset.category_counts(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus")

@@ -91,6 +91,28 @@ def read_split(spark: SparkSession, path: str, split: str, most: int | None = No
     return rows if most is None else rows.orderBy("name").limit(most)
 
 
+def load_pair(spark: SparkSession, positives: str, negatives: str, split: str, most_positive: int | None = None, most_negative: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The positive and the negative rows of a split, from two folders that write_split wrote."""
+    return read_split(spark, positives, split, most_positive), read_split(spark, negatives, split, most_negative)
+
+
+def envelopes(grouped: DataFrame, folder: str, criterion: str, per: int = 10_000) -> DataFrame:
+    """Annotation envelopes as JSON text (value), about per files of grouped (filename, faces) in each.
+
+    Each has the totals over all of them, so a reader of any knows what is there; read_summary reads them all. filename
+    must be unique. No files give one envelope without annotations.
+    """
+    spark = grouped.sparkSession
+    images, faces = grouped.agg(F.count("*"), F.coalesce(F.sum(F.size("faces")), F.lit(0))).first()
+    head = (F.lit(images).cast("long").alias("total_images"), F.lit(faces).cast("long").alias("total_faces"), F.lit(criterion).alias("eval_criterion"))
+    if not images:
+        return spark.range(1).select(F.to_json(F.struct(*head, F.create_map().cast("map<string,string>").alias("annotations"))).alias("value"))
+    entry = F.struct("filename", F.struct(F.concat(F.lit(folder + "/"), "filename").alias("image_path"), "faces"))
+    part = F.pmod(F.xxhash64("filename"), F.lit(-(-images // per)))
+    each = grouped.groupBy(part.alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("annotations"))
+    return each.select(F.to_json(F.struct(*head, "annotations")).alias("value"))
+
+
 def summary(grouped: DataFrame, folder: str, criterion: str) -> DataFrame:
     """Counts of (filename, faces) rows and the envelope as JSON text, a row for each file."""
     entry = F.struct(F.concat(F.lit(folder + "/"), "filename").alias("image_path"), "faces")

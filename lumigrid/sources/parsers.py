@@ -7,50 +7,12 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-#: Numbers of a face line, in order.
-FACE_FIELDS = ("x", "y", "w", "h", "blur", "expression", "illumination", "occlusion", "pose", "invalid")
-_FACE = pa.schema([("file", pa.string()), ("img_rel_path", pa.string()), *((f, pa.int32()) for f in FACE_FIELDS)])
+from lumigrid.operators.dataset import first_paths
+
 KEYPOINT_TOKENS = 13
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "bmp")
 
 
-def _faces(text: str) -> Iterator[tuple]:
-    """Path line, count line, count face lines; a count of 0 has one placeholder line; a bad count is passed over."""
-    lines = iter([line.rstrip() for line in text.splitlines()])
-    for path in lines:
-        count = next(lines, None)
-        if count is None:
-            return
-        try:
-            n = int(count)
-        except ValueError:
-            continue
-        if n == 0:
-            next(lines, None)
-        for _ in range(n):
-            line = next(lines, None)
-            if line is None:
-                return
-            try:
-                numbers = [int(x) for x in line.split()[:10]]
-            except ValueError:
-                continue
-            if len(numbers) == 10:
-                yield (path.strip(), *numbers)
-
-
-def parse_face_lists(files: DataFrame) -> DataFrame:
-    """One row for each face line of files (file, text); the order of lines matters, so a text is read by one task. A large file may come in several texts cut at entries."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = [(file, *row) for row in _faces(text.as_py() or "")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FACE)] if rows else [pa.array([], f.type) for f in _FACE], schema=_FACE)
-
-    return files.select("file", "text").mapInArrow(parse, "file string, img_rel_path string, " + ", ".join(f"{f} int" for f in FACE_FIELDS))
-
-
 def parse_keypoints(lines: DataFrame, column: str = "line") -> DataFrame:
     """(filename, lx, ly, rx, ry, cx, cy) of each line with a digit and at least 13 tokens whose first four numbers parse.
 
@@ -95,12 +57,22 @@ def coco_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: whole.select(F.explode(name).alias("e")).select("e.*") for name in whole.columns}
 
 
-def read_images(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[int, int, list[int]] | None], least: int = 1, recursive: bool = False) -> DataFrame:
+def image_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """Files below path with the suffix of an image, as Spark's binaryFile source has them."""
+    suffixes = ",".join([*IMAGE_SUFFIXES, *map(str.upper, IMAGE_SUFFIXES)])
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", f"*.{{{suffixes}}}").load(path)
+
+
+def read_images(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[int, int, list[int]] | None], least: int = 1, recursive: bool = False, first: int | None = None) -> DataFrame:
     """Gray images (path, h, w, px) below path; decode gives height, width and pixels, or None for what it can't read.
 
-    Files of other suffixes, unreadable ones and those smaller than least are left out.
+    Files of other suffixes, unreadable ones and those smaller than least are left out. first: only so many files by
+    path are read; their paths are found without the contents.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.{" + ",".join([*IMAGE_SUFFIXES, *map(str.upper, IMAGE_SUFFIXES)]) + "}").load(path)
+    files = image_files(spark, path, recursive)
+    if first is not None:
+        # at most `first` paths
+        files = files.join(F.broadcast(first_paths(files.select("path"), first)), "path", "left_semi")
     schema = pa.schema([("path", pa.string()), ("h", pa.int32()), ("w", pa.int32()), ("px", pa.list_(pa.int32()))])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -66,4 +70,64 @@ def detect_stream(frames: DataFrame, detector: Callable[[DataFrame], DataFrame],
 def stats(frames: DataFrame, boxes: DataFrame) -> DataFrame:
     """(img_id, faces, h, w) of each frame, for the interface's statistics."""
     counted = boxes.groupBy("img_id").agg(F.count("*").alias("n"))
-    return frames.select("img_id", "h", "w").join(counted, "img_id", "left").select("img_id", F.coalesce("n", F.lit(0)).alias("faces"), "h", "w")
+    sizes = (F.coalesce(c, F.lit(0)).alias(c) for c in ("h", "w"))  # a frame that could not be read has none
+    return frames.select("img_id", "h", "w").join(counted, "img_id", "left").select("img_id", F.coalesce("n", F.lit(0)).alias("faces"), *sizes)
+
+
+FRAME = "img_id long, h int, w int, px array<int>"
+
+
+@dataclass
+class _Range(InputPartition):
+    first: int
+    end: int
+
+
+def frame_source(name: str, count: Callable[[], int], grab: Callable[[int], tuple[int, int, list[int]] | None], frames_per_task: int = 16, tries: int = 20, wait: float = 0.1) -> type[DataSource]:
+    """A streaming source of numbered frames (img_id, h, w, px), to be registered and then read by its name.
+
+    count tells how many frames there are by now; grab reads one, and is called in a task. A read that fails, by an
+    OSError or None, is tried again after a wait; a frame that cannot be read at all comes without pixels, so the stream
+    goes on. Offsets are frame numbers: a query that is restarted reads the frames of an unfinished batch again and
+    goes on after its last one.
+    """
+
+    class Reader(DataSourceStreamReader):
+        def initialOffset(self) -> dict:
+            return {"frame": 0}
+
+        def latestOffset(self) -> dict:
+            return {"frame": count()}
+
+        def partitions(self, start: dict, end: dict) -> list[_Range]:
+            return [_Range(k, min(k + frames_per_task, end["frame"])) for k in range(start["frame"], end["frame"], frames_per_task)]
+
+        def read(self, partition: _Range) -> Iterator[tuple]:
+            for k in range(partition.first, partition.end):
+                yield (k, *(_grabbed(grab, k, tries, wait) or (None, None, None)))
+
+        def commit(self, end: dict) -> None:
+            """Frames are numbered and kept by the camera, so nothing is let go."""
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return FRAME
+
+        def streamReader(self, schema) -> Reader:
+            return Reader()
+
+    return Source
+
+
+def _grabbed(grab: Callable[[int], tuple | None], k: int, tries: int, wait: float) -> tuple | None:
+    for again in range(tries):
+        with contextlib.suppress(OSError):
+            if (got := grab(k)) is not None:
+                return got
+        if again + 1 < tries:
+            time.sleep(wait)
+    return None

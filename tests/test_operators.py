@@ -12,7 +12,7 @@ from lumigrid.operators import boost, boxes, cascade, dataset, images, windows
 from lumigrid.plans.components import connected_components
 from lumigrid.plans.training import CascadeTrainConfig, detection_stages, train_cascade
 from lumigrid.session import new_folder
-from lumigrid.sources import models, parsers
+from lumigrid.sources import face_lists, models, parsers
 
 
 def image_rows(spark, *arrays):
@@ -302,7 +302,7 @@ def test_scan_finds_bright_square(spark):
 
 def test_face_lists(spark):
     text = "a/1.jpg\n2\n1 2 3 4 0 0 0 0 0 0\n5 6 7 8 1 1 1 1 1 1 9\nb.jpg\n0\n0 0 0 0 0 0 0 0 0 0\nc.jpg\nmany\nd.jpg\n3\n1 2 3\nx 2 3 4 0 0 0 0 0 0\n9 9 9 9 0 0 0 0 0 0\ne.jpg\n5\n1 1 1 1 0 0 0 0 0 0"
-    got = parsers.parse_face_lists(spark.createDataFrame([("f", text), ("g", None), ("h", "only")], "file string, text string")).collect()
+    got = face_lists.parse_face_lists(spark.createDataFrame([("f", text), ("g", None), ("h", "only")], "file string, text string")).collect()
     assert [(r.img_rel_path, r.x) for r in got] == [("a/1.jpg", 1), ("a/1.jpg", 5), ("d.jpg", 9), ("e.jpg", 1)]
 
 
