@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import re
 import uuid
 import zlib
@@ -20,12 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumigrid.llm.shared import file_system, qualified
-from lumigrid.session import materialize, new_folder, table
+from lumigrid.session import Scratch, materialize, new_folder, table
 
 #: Bytes after which a writer begins the next archive.
 ARCHIVE_BYTES = 64 << 20
 #: Bytes that the reader takes from a file at once.
 READ_BYTES = 1 << 20
+#: Bytes of a gzip member that are unpacked at once, so that damage is found near its place.
+PIECE_BYTES = 1 << 14
+#: Digests of repeated payloads up to which they are broadcast; more are joined, each payload in so many parts.
+REPEATED, SALTS = 1_000_000, 64
 #: A header longer than this is damage.
 HEADER_BYTES = 1 << 16
 VERSION = b"WARC/1.1\r\n"
@@ -41,16 +44,19 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One record; a revisit keeps the HTTP header and leaves out the payload."""
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, refers_url: str | None = None) -> bytes:
+    """One record; a revisit keeps the HTTP header, leaves out the payload and names the address that has it."""
+    line = lambda text: re.sub(r"[\r\n]+", " ", text) if text else None
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if not revisit:
         block += payload
     head = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}/{url}')}>",
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>",
         "WARC-Date": _DATE,
-        "WARC-Target-URI": re.sub(r"[\r\n]+", " ", url) if url else None,
+        "WARC-Target-URI": line(url),
+        "WARC-Refers-To-Target-URI": line(refers_url) if revisit else None,
+        "WARC-Refers-To-Date": _DATE if revisit else None,
         "Content-Type": "application/http; msgtype=response",
         "WARC-Payload-Digest": "sha1:" + sha1_base32(payload),
         "WARC-Block-Digest": "sha1:" + sha1_base32(block),
@@ -75,7 +81,7 @@ def _write(folder: str, archive_bytes: int):
                     name = f"{uuid.uuid4().hex}.warc.gz"  # unique for each attempt
                     out, size, records = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0
                 packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-                size += out.write(packer.compress(record(row["page_id"], row["url"], row["html"], row["refers_to"], row["revisit"])) + packer.flush())
+                size += out.write(packer.compress(record(row["page_id"], row["url"], row["html"], row["refers_to"], row["revisit"], row.get("refers_url"))) + packer.flush())
                 records += 1
                 if size >= archive_bytes:
                     out.close()
@@ -96,32 +102,48 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     the smallest page_id, and is a response where there is none. Repeated rows of the smallest page_id are responses.
     No pages give no archives. Further columns are not read.
     """
+    scratch = Scratch(pages.sparkSession)
     payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     rows = pages.select("page_id", "url", payload.alias("html")).withColumn("digest", F.sha1("html"))
-    owners = rows.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("owner"))
-    revisit = F.coalesce((F.octet_length("html") >= min_bytes) & ~F.col("owner").eqNullSafe(F.col("page_id")), F.lit(False))
-    marked = rows.join(owners, "digest").withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("owner")))
-    written = marked.select("page_id", "url", "html", "refers_to", "revisit").mapInArrow(_write(qualified(pages.sparkSession, folder).rstrip("/"), archive_bytes), "path string, bytes long, records long")
-    return materialize(written, "archives")
+    keys = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "url", "digest")
+    several = keys.groupBy("digest").agg(F.min("page_id").alias("owner"), F.min_by("url", "page_id").alias("refers_url"), F.count("*").alias("n"))
+    owners = scratch.table(several.where("n > 1 and owner is not null").drop("n"), "owners")
+    if owners.limit(REPEATED + 1).count() <= REPEATED:
+        marked = rows.join(F.broadcast(owners), "digest", "left")  # no payload moves
+    else:
+        salted = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        marked = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, ["digest", "salt"], "left")
+    revisit = F.col("owner").isNotNull() & ~F.col("owner").eqNullSafe(F.col("page_id")) & (F.octet_length("html") >= min_bytes)
+    marked = marked.withColumn("revisit", revisit).withColumn("refers_to", F.when(F.col("revisit"), F.col("owner")))
+    written = marked.select("page_id", "url", "html", "refers_to", "revisit", "refers_url").mapInArrow(_write(qualified(pages.sparkSession, folder).rstrip("/"), archive_bytes), "path string, bytes long, records long")
+    out = materialize(written, "archives")
+    scratch.clear()
+    return out
 
 
 class _Bytes:
-    """A window over a stream of bytes that remembers offsets."""
+    """A window over a stream of bytes that remembers offsets. What lies before keep, an offset, may be given up."""
 
     def __init__(self, stream):
-        self.stream, self.data, self.at, self.base, self.ended = stream, b"", 0, 0, False
+        self.stream, self.data, self.at, self.base, self.keep, self.ended = stream, bytearray(), 0, 0, 0, False
 
     @property
     def offset(self) -> int:
         return self.base + self.at
 
+    def go(self, offset: int) -> None:
+        self.at, self.keep = offset - self.base, offset
+
     def more(self) -> bool:
-        """Read on; what lies before the place is given up."""
+        """Read on. Bytes are given up when they are most of the window, so each is moved a bounded number of times."""
         if self.ended:
             return False
         got = self.stream.read(READ_BYTES)
         self.ended = not got
-        self.data, self.base, self.at = self.data[self.at :] + got, self.base + self.at, 0
+        if 2 * (cut := self.keep - self.base) > len(self.data):
+            del self.data[:cut]
+            self.base, self.at = self.base + cut, self.at - cut
+        self.data += got
         return bool(got)
 
     def need(self, n: int) -> bool:
@@ -132,7 +154,45 @@ class _Bytes:
 
 
 class Damage(Exception):
-    """A record that fails a check."""
+    """A record that fails a check. lost: the offset from which on nothing was read; resume: where to look for the next start."""
+
+    def __init__(self, reason: str, lost: int | None = None, resume: int | None = None):
+        super().__init__(reason)
+        self.lost, self.resume = lost, resume
+
+
+class Broken(Damage):
+    """A gzip member that cannot be unpacked any further."""
+
+
+class _Inflated:
+    """The unpacked bytes of the gzip member at a window's place, as a stream.
+
+    A piece that fails is unpacked once more byte by byte, so what came before the damage is given. sure: the offset up
+    to which the member has surely been needed for what was given so far; no later member begins before it.
+    """
+
+    def __init__(self, window: _Bytes):
+        self.window, self.unpack, self.step, self.sure = window, zlib.decompressobj(31), PIECE_BYTES, window.offset
+
+    def read(self, _: int) -> bytes:
+        window = self.window
+        while not self.unpack.eof:
+            if window.at >= len(window.data) and not window.more():
+                raise Broken("cut off")
+            piece, saved = bytes(window.data[window.at : window.at + self.step]), self.unpack.copy()
+            try:
+                got = self.unpack.decompress(piece)
+            except zlib.error as e:
+                if self.step == 1:
+                    raise Broken(f"gzip: {e}") from e
+                self.unpack, self.step = saved, 1
+                continue
+            self.sure = window.offset + (self.step == 1)
+            window.at += len(piece) - len(self.unpack.unused_data)
+            if got:
+                return got
+        return b""
 
 
 def _head(text: bytes) -> dict[str, str]:
@@ -165,27 +225,6 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     return head, payload
 
 
-def _member(window: _Bytes, most: int) -> bytes:
-    """The gzip member at the window's place; the window stands after it."""
-    unpack, out, n, begin = zlib.decompressobj(31), [], 0, window.at
-    pos = begin
-    try:
-        while True:
-            got = unpack.decompress(window.data[pos:])
-            out.append(got)
-            n += len(got)
-            if n > most:
-                raise Damage("record too large")
-            if unpack.eof:
-                window.at = len(window.data) - len(unpack.unused_data)
-                return b"".join(out)
-            pos = len(window.data) - window.at
-            if not window.more():
-                raise Damage("cut off")
-    except zlib.error as e:
-        raise Damage(f"gzip: {e}") from e
-
-
 def _plain(window: _Bytes, most: int) -> bytes:
     """The uncompressed record at the window's place; the window stands after it."""
     while (end := window.data.find(b"\r\n\r\n", window.at, window.at + HEADER_BYTES)) < 0:
@@ -202,58 +241,111 @@ def _plain(window: _Bytes, most: int) -> bytes:
     return raw
 
 
-def _within(raw: bytes, start: int, end: int, most: int) -> list[tuple]:
-    """Records and gaps of a sound member from start to end: one record, or several with their gaps; places are the member's."""
+def _one(window: _Bytes, most: int) -> Iterator[tuple]:
+    """The uncompressed record at the window's place."""
+    start = window.offset
+    head, payload = parse_record(_plain(window, most))
+    yield ("record", start, window.offset, head, payload)
+
+
+def _member(window: _Bytes, most: int) -> Iterator[tuple]:
+    """Records and gaps of the gzip member at the window's place, each record as soon as it is unpacked and checked.
+
+    Offsets are those of the member; the end of a record that others follow is what had been read of the member by then.
+    Records that carry no digest wait for the member's own checksum. Where the member breaks off, Damage says from where.
+    """
+    start, unpacked = window.offset, _Inflated(window)
+    inner = _Bytes(unpacked)
+    done = start  # what was surely read when the last record was complete
+    ready, waiting, gaps, bad, held, why = None, [], [], None, 0, "no record"
     try:
-        return [("record", start, end, *parse_record(raw))]
-    except Damage as e:
-        found = list(salvage(io.BytesIO(raw), most, _LINE))
-        if not any(x[0] == "record" for x in found):
-            raise e
-        return [(kind, start, end, f"{what} in bytes {a} to {b} of the member" if kind == "gap" else what, payload) for kind, a, b, what, payload in found]
+        while inner.need(1):
+            inner.keep, at = inner.offset, inner.offset
+            try:
+                if not (inner.need(10) and _LINE.match(inner.data, inner.at)):
+                    raise Damage("no record")
+                head, payload = parse_record(_plain(inner, most))
+            except Broken:
+                raise
+            except Damage as e:
+                if bad is None:
+                    bad, why = at, str(e)
+                inner.go(at + 1)
+                while not (ahead := _LINE.search(inner.data, inner.at)):
+                    inner.go(inner.base + max(inner.at, len(inner.data) - 9))
+                    if not inner.more():
+                        inner.go(inner.base + len(inner.data))
+                        break
+                if ahead:
+                    inner.go(inner.base + ahead.start())
+                continue
+            if bad is not None:
+                gaps.append((bad, at, why))
+                bad = None
+            if ready:
+                yield ready
+            done = window.keep = unpacked.sure
+            ready = ("record", start, done, head, payload)
+            if not {"warc-block-digest", "warc-payload-digest"} & head.keys():
+                held += len(payload)
+                if held > most:
+                    raise Broken("more records without digest than can wait for the checksum")
+                waiting.append(ready)
+                ready = None
+    except Broken as e:
+        if ready:
+            yield ready
+        lost = done if ready or done > start and not waiting else start
+        for a, b, reason in gaps:
+            yield ("gap", start, lost, f"{reason} in bytes {a} to {b} of the member", None)
+        raise Damage(str(e), lost, max(lost, start + 1)) from e
+    end = window.offset
+    found = [*waiting, *([ready] if ready else [])]
+    if not found and done == start:
+        raise Damage(why, start, end)
+    for _, _, _, head, payload in found:
+        yield ("record", start, end, head, payload)
+    if bad is not None:
+        gaps.append((bad, inner.offset, why))
+    for a, b, reason in gaps:
+        yield ("gap", start, end, f"{reason} in bytes {a} to {b} of the member", None)
 
 
 def salvage(stream, most: int = MOST_BYTES, starts: re.Pattern[bytes] = _START) -> Iterator[tuple]:
     """("record", offset, end, header, payload) and ("gap", offset, end, reason, None), in the order of the file.
 
     After damage the search for the next start goes on one byte behind the start that failed, so no valid record is
-    passed over. Where a sound gzip member holds several records, or damaged ones among sound ones, each comes with the
-    member's offsets. most: bytes of the largest record or member. An empty stream yields nothing.
+    passed over. A gzip member of several records gives each as it is complete, and where it breaks off the gap begins
+    after the last of them. most: bytes of the largest record. An empty stream yields nothing. The window holds a
+    record and what is read ahead, however large the file or a member is.
     """
     window, bad, reason = _Bytes(stream), None, ""
-    while True:
-        if not window.need(3) and window.at >= len(window.data):
-            break
+    while window.need(1):
         start = window.offset
-        found = starts.match(window.data, window.at) if window.need(10) or window.data else None
-        if found:
+        window.keep, lost, resume, why = start, start, start + 1, "no record"
+        window.need(10)
+        if found := starts.match(window.data, window.at):
             try:
-                if found[0][:1] == b"\x1f":
-                    raw = _member(window, most)
-                    got = _within(raw, start, window.offset, most)
-                else:
-                    head, payload = parse_record(_plain(window, most))
-                    got = [("record", start, window.offset, head, payload)]
-                if bad is not None:
-                    yield ("gap", bad, start, reason, None)
-                    bad = None
-                yield from got
+                for x in (_member if found[0][:1] == b"\x1f" else _one)(window, most):
+                    if bad is not None:
+                        yield ("gap", bad, start, reason, None)
+                        bad = None
+                    yield x
                 continue
             except Damage as e:
                 why = str(e)
-                window.at = start - window.base  # the window still holds what was read since
-        else:
-            why = "no record"
+                if e.lost is not None:
+                    lost, resume = e.lost, e.resume
         if bad is None:
-            bad, reason = start, why
-        window.at += 1
+            bad, reason = lost, why
+        window.go(resume)
         while not (ahead := starts.search(window.data, window.at)):
-            window.at = max(window.at, len(window.data) - 9)
+            window.go(window.base + max(window.at, len(window.data) - 9))
             if not window.more():
-                window.at = len(window.data)
+                window.go(window.base + len(window.data))
                 break
         if ahead:
-            window.at = ahead.start()
+            window.go(window.base + ahead.start())
     if bad is not None:
         yield ("gap", bad, window.offset, reason, None)
 
