@@ -1,8 +1,8 @@
 """Document fingerprints: sketches that keep every shingle hash below a fixed fraction of the hash range.
 
-Sketches of the same fraction merge by union and compare on the hashes that both would keep, so the containment of a
-short document in a long one can be estimated. A document with few shingles keeps its FLOOR smallest hashes even where
-they lie above the fraction; a sketch then speaks for the range up to its largest hash.
+Sketches merge by union and compare on the hashes that both would keep, so the containment of a short document in a long
+one can be estimated. Nothing else is kept: a document with few shingles has few hashes, perhaps none. A scale of 1 keeps
+all, so that estimates are exact; sketches of different scales compare at the coarser one.
 """
 
 from __future__ import annotations
@@ -18,9 +18,7 @@ from lumigrid.session import table
 
 SHINGLE_WORDS = 5
 #: One hash of so many is kept.
-SCALE = 8
-#: Hashes that every sketch keeps, if there are so many.
-FLOOR = 16
+SCALE = 2
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -69,47 +67,40 @@ def shingle_set(text: str | None, shingle_words: int = SHINGLE_WORDS) -> np.ndar
     return np.unique(all_shingles(text, shingle_words))
 
 
-def sketch(text: str, shingle_words: int = SHINGLE_WORDS, scale: int = SCALE, floor: int = FLOOR) -> np.ndarray:
-    """Sorted distinct hashes of the runs of shingle_words words that the fraction or the floor keeps.
+def bound(scale: int = SCALE) -> np.uint64:
+    """The largest hash that a sketch keeps."""
+    return np.uint64(_FULL // scale - 1)
+
+
+def sketch(text: str, shingle_words: int = SHINGLE_WORDS, scale: int = SCALE) -> np.ndarray:
+    """Sorted distinct hashes, within the fraction, of the runs of shingle_words words.
 
     Fewer words are one shingle; without words the sketch is empty.
     """
     hashes = all_shingles(text, shingle_words)
-    below = hashes[hashes <= np.uint64(_FULL // scale - 1)]
-    kept = np.unique(below)
-    return kept if len(kept) >= floor else np.unique(hashes)[: max(floor, len(kept))]
-
+    return np.unique(hashes[hashes <= bound(scale)])
 
-def reach(own: np.ndarray, scale: int = SCALE, floor: int = FLOOR) -> int:
-    """The hash up to which a sketch holds everything."""
-    if len(own) < floor:
-        return _FULL - 1
-    return max(int(own[-1]), _FULL // scale - 1)
 
-
-def _shared(a: np.ndarray, b: np.ndarray, scale: int, floor: int) -> tuple[int, int, int]:
-    most = np.uint64(min(reach(a, scale, floor), reach(b, scale, floor)))
-    a, b = a[: np.searchsorted(a, most, "right")], b[: np.searchsorted(b, most, "right")]
+def _shared(a: np.ndarray, b: np.ndarray, scale: int, other: int) -> tuple[int, int, int]:
+    a, b = (x[: np.searchsorted(x, bound(max(scale, other)), "right")] for x in (a, b))
     return len(np.intersect1d(a, b, assume_unique=True)), len(a), len(b)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, scale: int = SCALE, floor: int = FLOOR) -> float:
-    """Estimated Jaccard likeness of two documents: 1 for two without words, 0 for one without."""
-    both, n, m = _shared(a, b, scale, floor)
-    return both / (n + m - both) if n + m > both else float(not len(a) and not len(b))
+def likeness(a: np.ndarray, b: np.ndarray, scale: int = SCALE, other: int = SCALE) -> float:
+    """Estimated Jaccard likeness of two documents, from sketches of these scales: 1 for two empty ones, 0 for one."""
+    both, n, m = _shared(a, b, scale, other)
+    return both / (n + m - both) if n + m else 1.0
 
 
-def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE, floor: int = FLOOR) -> float:
-    """Estimated share of a's shingles that b has; 1 for a without words, 0 where the common range holds none of a."""
-    both, n, _ = _shared(a, b, scale, floor)
-    return both / n if n else float(not len(a))
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE, other: int = SCALE) -> float:
+    """Estimated share of a's shingles that b has; 1 for an empty sketch a."""
+    both, n, _ = _shared(a, b, scale, other)
+    return both / n if n else 1.0
 
 
-def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE, floor: int = FLOOR) -> np.ndarray:
-    """The sketch of two documents' shingles together, from their sketches."""
-    every = np.union1d(a, b)
-    kept = every[every <= np.uint64(_FULL // scale - 1)]
-    return kept if len(kept) >= floor else every[:floor]
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sketch of two documents' shingles together, from their sketches of one scale."""
+    return np.union1d(a, b)
 
 
 def to_text(own: np.ndarray) -> str:
@@ -121,17 +112,6 @@ def from_text(text: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(text), ">u8").astype(np.uint64)
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """The doc_id, text and fingerprint of each row; a null text is empty. For joins, merges and containment."""
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = pa.array([to_text(sketch(t.as_py() or "")) for t in batch.column(1)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=["doc_id", "text", "fingerprint"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(prints, "doc_id long, text string, fingerprint string")
-
-
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
