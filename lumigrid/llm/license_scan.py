@@ -86,7 +86,8 @@ def _scan(docs: DataFrame, templates: list[tuple[str, str]], containment: float)
         F.least(*(f"{p}.first" for p in places)).alias("first_word"),
         F.greatest(*(f"{p}.last" for p in places)).alias("last_word"),
         F.array_compact(F.array(*(F.when(F.col(p).isNotNull(), F.lit(label)) for p, label in zip(places, PHRASES.values())))).alias("base"),
-        _blocks(F.split(F.trim("flat"), " "), F.col("n_words"), templates, containment).alias("held"),
+        # bound by a lambda, the words of a text are split once for all blocks
+        F.get(F.transform(F.array(F.split(F.trim("flat"), " ")), lambda words: _blocks(words, F.size(words), templates, containment)), F.lit(0)).alias("held"),
     )
 
 
