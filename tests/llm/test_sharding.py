@@ -17,8 +17,16 @@ def slow_walk(keys, nodes, shards):
         if room[s]:
             out[key], room[s] = s, room[s] - 1
         else:
-            late.append((key, cell))
-    return out, late, room
+            late.append((key, cell, next((k for k, (p, _) in enumerate(nodes) if p >= cell), 0)))
+    own, carried = dict(out), []
+    for lap in (0, 1):  # clockwise from node to node, first come first served
+        for at, (_, s) in enumerate(nodes):
+            while carried and room[s]:
+                out[carried.pop(0)] = s
+                room[s] -= 1
+            if lap == 0:
+                carried += [key for key, _, home in late if home == at]
+    return own, out, late
 
 
 def test_runs_keep_own_rows_and_fill_all():
@@ -28,9 +36,9 @@ def test_runs_keep_own_rows_and_fill_all():
     counts = {c: n for c, n in counts.items() if n}
     runs = sharding.assign_runs(counts, nodes, shards)
     keys = [((c, k), c) for c in sorted(counts) for k in range(counts[c])]
-    own, late, _ = slow_walk(keys, nodes, shards)
+    own, every, late = slow_walk(keys, nodes, shards)
     got = {(c, k): s for c, a, b, s, _ in runs for k in range(a, b)}
-    assert len(got) == len(keys) and all(got[k] == s for k, s in own.items())
+    assert len(got) == len(keys) and all(got[k] == s for k, s in own.items()) and got == every
     loads = Counter(got.values())
     assert max(loads.values()) - min(loads.values()) <= 1 and len(late) > 0
     slots = sorted((s, base + k) for c, a, b, s, base in runs for k in range(b - a))
@@ -56,7 +64,7 @@ def test_operator(spark, n):
 
 
 def test_little_moves(spark):
-    docs = spark.range(4000).selectExpr("id doc_id", "'t' text")
+    docs = spark.range(40_000).selectExpr("id doc_id", "'t' text")
     a = {r.doc_id: r.shard for r in sharding.shard_rows(docs, 24).collect()}
     b = {r.doc_id: r.shard for r in sharding.shard_rows(docs, 25).collect()}
-    assert sum(a[k] != b[k] for k in a) < 0.5 * len(a)
+    assert sum(a[k] != b[k] for k in a) < 0.08 * len(a)
