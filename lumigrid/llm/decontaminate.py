@@ -158,6 +158,14 @@ def _verify(run: int, agree: float):
     return verify
 
 
+def _check(run: int, agree: float) -> None:
+    """The masks meet every RUN words of which two differ; a longer run has such a part if its differences allow it."""
+    differ = lambda n: n - int(np.ceil(agree * n - 1e-9))
+    # items shorter than a run must agree as a whole
+    if run < RUN or not 0 < agree <= 1 or any(differ(n) // (n // RUN) > 2 for n in range(RUN, run + 1)):
+        raise ValueError(f"the masks are complete for runs of {RUN} words or more, of which no more than 2 in {RUN} differ")
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, run: int = RUN, agree: float = AGREE) -> DataFrame:
     """(doc_id, item_id, first_word, overlap_words, similarity) for each document that overlaps an item, longest overlap first seen.
 
@@ -166,6 +174,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, run: int = RUN, agree:
     items without words match nothing. Null and empty texts overlap nothing. Rows of docs with one doc_id count as one
     document, null doc_id included; repeated items count once. Empty tables give no rows. Further columns are not read.
     """
+    _check(run, agree)
     spark = docs.sparkSession
     scratch = Scratch(spark)
     items = materialize(benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct().mapInArrow(_items, "item_id long, tokens binary, n long, runs array<int>, hash array<long>"), "items")

@@ -1,6 +1,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from lumigrid.llm import decontaminate as dc
 
 
@@ -89,3 +91,11 @@ def test_rows_are_judged_by_their_texts(spark):
     got = dc.drop_overlapping(docs, items)
     assert got.columns == docs.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, docs.where("text is null or text in ('good text', 'other words')").collect()))
+
+
+@pytest.mark.parametrize("run,agree,fits", [(13, 0.8, True), (13, 0.75, False), (16, 0.75, False), (16, 0.88, True), (26, 0.85, False), (26, 0.93, True), (12, 1.0, False), (13, 0.0, False), (13, 1.0, True)])
+def test_arguments_that_the_masks_do_not_cover_are_refused(run, agree, fits):
+    if fits:
+        return dc._check(run, agree)
+    with pytest.raises(ValueError):
+        dc._check(run, agree)
