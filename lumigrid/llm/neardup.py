@@ -24,13 +24,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lumigrid.llm.fingerprints import shingle_set
 from lumigrid.llm.simhash import close_pairs, fingerprints
 from lumigrid.plans.components import connected_components
-from lumigrid.session import Scratch, materialize
+from lumigrid.session import Scratch, materialize, settings
 
 SIMILARITY, SHINGLE_WORDS, BITS = 0.8, 5, 2
 #: Frequent shingles that are kept: 1 MB.
 FREQUENT = 1 << 17
 #: A shingle is frequent if so many texts of a task hold it; shingles that a task counts before rare ones are let go.
-HELD, COUNTED = 3, 1 << 23
+HELD, COUNTED = 3, 1 << 20
+#: Rows that a task takes from Spark at once: texts and sets of shingles are large, and several tasks share a machine.
+BATCH = 512
 #: Texts of a shingle that meet in one block of a join; results do not depend on it.
 BLOCK = 2000
 
@@ -172,6 +174,11 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
 
     Groups: chains of texts that are similar. Texts without words, null ones included, are one group.
     """
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH)):
+        return _groups(docs, similarity)
+
+
+def _groups(docs: DataFrame, similarity: float) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     keyed = docs.select("doc_id", "text", text_digest().alias("digest"))
