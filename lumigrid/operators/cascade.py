@@ -207,6 +207,15 @@ def growth_schedule(most: int, start: int = 2) -> list[int]:
     return out
 
 
+def growth_schedules(limits: DataFrame, largest: int = 1 << 20) -> DataFrame:
+    """limits (most, more columns) with attempt and n for each size that a stage tries below most.
+
+    The sizes are the same for all limits; most bounds how many there are. largest: what no limit exceeds.
+    """
+    sizes = F.array(*map(F.lit, growth_schedule(min(largest, limits.agg(F.max("most")).first()[0] or 0)))).cast("array<int>")
+    return limits.select("*", F.posexplode(F.filter(sizes, lambda n: n < F.col("most"))).alias("attempt", "n"))
+
+
 def hard_negatives(samples: DataFrame, stages: list[Strong], most: int = 2400) -> DataFrame:
     """At most most negative samples that all stages accept, by hash of sample_id."""
     passed = survivors(samples.where("y = 0"), stages).where(F.col("passed") == len(stages))

@@ -28,6 +28,15 @@ def enumerate_features(spark: SparkSession, win: int = BASE, stride: int = 1) ->
     return out.select((F.row_number().over(order) - 1).alias("feature_id"), "ftype", "r", "c", "h", "w")
 
 
+def features_by_stride(rows: DataFrame, win: int = BASE) -> DataFrame:
+    """rows (stride, more columns) with all features of a window at their stride, which is 1, 2 or 3."""
+    every = None
+    for stride in (1, 2, 3):
+        own = enumerate_features(rows.sparkSession, win, stride).select(F.lit(stride).alias("stride"), "feature_id", "ftype", "r", "c", "h", "w")
+        every = own if every is None else every.unionByName(own)
+    return rows.join(F.broadcast(every), "stride")  # bounded by the window's size
+
+
 def adaptive_stride(n_positive: Column) -> Column:
     """3 up to 1,000 positive samples, 2 up to 3,000, else 1."""
     return F.when(n_positive <= 1000, 3).when(n_positive <= 3000, 2).otherwise(1)
@@ -43,22 +52,32 @@ def scale_ladder(height: int, width: int, factor: float = 1.25, least: int = BAS
     return out
 
 
-def ladder_rows(spark: SparkSession, height: int, width: int, **options) -> DataFrame:
-    return spark.createDataFrame(scale_ladder(height, width, **options), "scale_idx int, scale double, win int")
+def image_ladders(images: DataFrame, factor: float = 1.25, least: int = BASE, most: int | None = None, largest: int = 1 << 14) -> DataFrame:
+    """images (h, w, more columns) with a row for each scale of each: scale_idx, scale, win.
+
+    The scales do not depend on the image; how many there are does. largest: the side that no image exceeds.
+    """
+    rungs = F.array(*(F.struct(F.lit(k).alias("scale_idx"), F.lit(scale).alias("scale"), F.lit(win).alias("win")) for k, scale, win in scale_ladder(largest, largest, factor, least)))
+    side = F.least("h", "w") if most is None else F.least("h", "w", F.lit(most))
+    fit = F.when(F.greatest("h", "w") > largest, F.raise_error(F.lit(f"an image of more than {largest} pixels across")).cast("array<struct<scale_idx:int,scale:double,win:int>>")).otherwise(F.filter(rungs, lambda x: x["win"] <= side))
+    return images.withColumn("_rung", F.explode(fit)).select("*", "_rung.*").drop("_rung")
+
 
+def window_grid(ladder: DataFrame, delta: float = 1.0) -> DataFrame:
+    """All windows of ladder (h, w, scale, win, more columns) that fit, the far edges included: step, r, c.
 
-def window_grid(ladder: DataFrame, height: int, width: int, delta: float = 1.0) -> DataFrame:
-    """All windows of each scale that fit, the far edges included; the step is scale * delta, rounded, at least 1."""
+    The step is scale * delta, rounded, at least 1.
+    """
     step = F.greatest(F.lit(1), F.rint(F.col("scale") * delta).cast("int"))
     stepped = ladder.withColumn("step", step)
-    places = lambda size: F.sequence(F.lit(0), F.lit(size) - F.col("win"), F.col("step"))
-    return stepped.withColumn("r", F.explode(places(height))).withColumn("c", F.explode(places(width)))
+    places = lambda size: F.sequence(F.lit(0), F.col(size) - F.col("win"), F.col("step"))
+    return stepped.withColumn("r", F.explode(places("h"))).withColumn("c", F.explode(places("w")))
 
 
-def detector_windows(ladder: DataFrame, height: int, width: int, step_factor: float = 3.0) -> DataFrame:
+def detector_windows(ladder: DataFrame, step_factor: float = 3.0) -> DataFrame:
     """window_grid without the windows that lie within 3 pixels of the right or lower edge."""
-    inside = (F.col("r") + F.col("win") + 3 < height) & (F.col("c") + F.col("win") + 3 < width)
-    return window_grid(ladder, height, width, step_factor).where(inside)
+    inside = (F.col("r") + F.col("win") + 3 < F.col("h")) & (F.col("c") + F.col("win") + 3 < F.col("w"))
+    return window_grid(ladder, step_factor).where(inside)
 
 
 #: Features of a window; at a side of 24 there are 162,336.

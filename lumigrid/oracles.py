@@ -237,6 +237,8 @@ def _oracles() -> dict[str, str]:
         drawn AS (SELECT sample_id, row_number() OVER (ORDER BY md5('42:' || sample_id), sample_id) AS k FROM s WHERE y = 0)"""
     numbered = "SELECT {key}, row_number() OVER (ORDER BY md5('42:' || {key}), {key}) - 1 AS position FROM {rows}"
     edge = lambda lo, size, sign: f"round_even({lo} + {size} / 2.0::DOUBLE {sign} {size} * 1.5::DOUBLE / 2.0::DOUBLE, 0)::INT"
+    strides = "strides AS (SELECT label, CASE WHEN count(*) * 21 <= 1000 THEN 3 WHEN count(*) * 21 <= 3000 THEN 2 ELSE 1 END AS stride FROM embeddings GROUP BY label)"
+    sized = "sized AS (SELECT p_partkey AS img_id, (20 + p_size * 2)::INT AS h, (24 + p_partkey % 41 * 3)::INT AS w FROM part)"
     return {
         "gray_pixels": f"WITH {_PX} SELECT img_id, r, c, round_even((114 * v + 587 * coalesce(lead(v, 1) OVER w, 0) + 299 * coalesce(lead(v, 2) OVER w, 0)) / 1000.0::DOUBLE, 0)::BIGINT AS gray FROM px WINDOW w AS (PARTITION BY img_id, r ORDER BY c)",
         "variance_normalize": f"WITH {moments} SELECT img_id, r, c, round(CASE WHEN sqrt(var) < 1e-6 THEN 0 ELSE (v - mean) / nullif(sqrt(var), 0) END, 6) AS za, CASE WHEN var >= 1e-4 THEN round((v - mean) / sqrt(var), 6) END AS zb FROM m",
@@ -250,12 +252,14 @@ def _oracles() -> dict[str, str]:
         "rect_sum": f"WITH {_PX}, rects(rect_id, r, c, h, w) AS (VALUES {rects}) SELECT img_id, rect_id, sum(v)::BIGINT AS total, sum(v * v)::BIGINT AS total_sq FROM px JOIN rects q ON px.r >= q.r AND px.r < q.r + q.h AND px.c >= q.c AND px.c < q.c + q.w GROUP BY img_id, rect_id",
         "window_variance": f"WITH {variance} SELECT img_id, r, c, round(var, 6) AS var FROM var",
         "flat_patch_filter": f"WITH {variance} SELECT img_id, count(*) FILTER (round(var, 6) / 100 >= 50) AS texture, count(*) FILTER (round(var, 6) / 100 >= 10) AS detector, count(*) FILTER (round(var, 6) / 100 >= 1e-4) AS cascade FROM var GROUP BY img_id",
-        "haar_enumerate": f"WITH {_features(24, 3)} SELECT * FROM features",
-        "haar_type_counts": " UNION ALL ".join(f"(WITH {_features(24, s)} SELECT {s} AS stride, ftype, count(*) AS n FROM features GROUP BY ftype)" for s in (1, 2, 3)),
+        "haar_enumerate": f"WITH {strides} " + " UNION ALL ".join(f"(WITH {_features(12, s)} SELECT label, stride, features.* FROM strides, features WHERE stride = {s})" for s in (1, 2, 3)),
+        "haar_type_counts": f"WITH {strides} " + " UNION ALL ".join(f"(WITH {_features(24, s)} SELECT label, stride, ftype, count(*) AS n FROM strides, features WHERE stride = {s} GROUP BY ALL)" for s in (1, 2, 3)),
         "haar_stride_adaptive": "SELECT label, n_pos, CASE WHEN n_pos <= 1000 THEN 3 WHEN n_pos <= 3000 THEN 2 ELSE 1 END AS stride FROM (SELECT label, count(*) * 21 AS n_pos FROM embeddings GROUP BY label)",
-        "scale_ladder": f"WITH RECURSIVE {_ladder(288, 384)} SELECT * FROM ladder",
-        "window_grid": f"WITH RECURSIVE {_ladder(64, 64)}, {_grid(64, 64, 1.5)} SELECT * FROM grid",
-        "detector_windows": f"WITH RECURSIVE {_ladder(360, 480, 60, 140)}, {_grid(360, 480, 3.0)} SELECT * FROM grid WHERE r + win + 3 < 360 AND c + win + 3 < 480",
+        "scale_ladder": f"WITH RECURSIVE {sized}, {_ladder(200, 200)} SELECT * FROM sized JOIN ladder ON win <= least(h, w)",
+        "window_grid": f"""WITH RECURSIVE {sized}, {_ladder(200, 200)}, s AS (SELECT *, greatest(1, round_even(scale * 1.5::DOUBLE, 0)::INT)::INT AS step FROM sized JOIN ladder ON win <= least(h, w))
+            SELECT img_id, scale_idx, win, step, ((h - win) // step + 1) * ((w - win) // step + 1)::BIGINT AS n, ((h - win) // step * step)::INT AS last_r, ((w - win) // step * step)::INT AS last_c FROM s""",
+        "detector_windows": f"""WITH RECURSIVE {sized}, {_ladder(200, 200, 60, 90)}, s AS (SELECT *, greatest(1, round_even(scale * 3.0::DOUBLE, 0)::INT)::INT AS step FROM sized JOIN ladder ON win <= least(h, w, 90))
+            SELECT img_id, scale_idx, win, step, r::INT AS r, c::INT AS c FROM s, LATERAL (SELECT unnest(range(0, h - win + 1, step)) AS r), LATERAL (SELECT unnest(range(0, w - win + 1, step)) AS c) WHERE r + win + 3 < h AND c + win + 3 < w""",
         "haar_feature_values": f"WITH {_TABLES}, {_features(8, 3)} SELECT img_id, feature_id, ({_contrast('ftype', 'f.r', 'f.c', 'f.h', 'f.w', 8)})::FLOAT AS val FROM t, features f",
         "haar_feature_at_scale": f"WITH {_FRAMES}, {_features(8, 3)}, f AS (SELECT feature_id, ftype, 7 + round_even(r * 2.5, 0)::INT AS r, 11 + round_even(c * 2.5, 0)::INT AS c, greatest(1, round_even(h * 2.5, 0)::INT) AS h, greatest(1, round_even(w * 2.5, 0)::INT) AS w FROM features) SELECT img_id, feature_id, ({_contrast('ftype', 'f.r', 'f.c', 'f.h', 'f.w', 64)})::DOUBLE AS val FROM t, f",
         "weights_init": f"WITH {_WEIGHTED} SELECT sample_id, y, round(weight, 12) AS weight FROM weighted",
@@ -271,7 +275,8 @@ def _oracles() -> dict[str, str]:
             FROM (SELECT DISTINCT score FROM scored WHERE y = 1) a JOIN scored b ON b.score >= a.score GROUP BY a.score) SELECT * FROM c ORDER BY dr >= 0.8 DESC, threshold DESC LIMIT 1""",
         "cascade_predict": f"WITH {passed} SELECT sample_id, y, (passed = 2)::INT AS predicted FROM passed",
         "cascade_stage_survivors": f"WITH {passed} SELECT y, q.stage::INT AS stage, count(*) AS n FROM passed, range(0, 3) q(stage) WHERE q.stage <= passed GROUP BY ALL",
-        "cascade_growth_schedule": "WITH RECURSIVE g(attempt, n) AS (SELECT 0, 2 UNION ALL SELECT attempt + 1, nxt FROM (SELECT attempt, least(CASE WHEN n < 10 THEN n * 2 WHEN n < 30 THEN trunc(n * 1.5)::INT WHEN n < 100 THEN n + 25 ELSE n + 50 END, 400) AS nxt FROM g) WHERE nxt < 400) SELECT * FROM g",
+        "cascade_growth_schedule": """WITH RECURSIVE g(attempt, n) AS (SELECT 0, 2 UNION ALL SELECT attempt + 1, CASE WHEN n < 10 THEN n * 2 WHEN n < 30 THEN trunc(n * 1.5)::INT WHEN n < 100 THEN n + 25 ELSE n + 50 END FROM g WHERE n < 2000)
+            SELECT p_partkey, (p_size * 9)::INT AS most, attempt, n FROM part JOIN g ON n < p_size * 9""",
         "hard_negatives": f"WITH {passed} SELECT sample_id FROM passed WHERE y = 0 AND passed = 2",
         "hnm_fallback": f"WITH {refill} SELECT sample_id, 'hard' AS origin FROM hard UNION ALL SELECT sample_id, 'refill' FROM drawn WHERE (SELECT count(*) FROM hard) < 400 AND k <= 450 - (SELECT count(*) FROM hard)",
         "box_iou": f"WITH {_BOXES_ONCE}, pairs AS MATERIALIZED (SELECT a.img_id, a, b FROM boxes a JOIN boxes b ON a.img_id = b.img_id) SELECT img_id, a.box_id AS a_id, b.box_id AS b_id, round({_iou('a', 'b')}, 9) AS iou FROM pairs WHERE a.box_id < b.box_id AND {_inter('a', 'b')} > 0",

@@ -111,36 +111,48 @@ def flat_patch_filter(spark, d):
     return _patch_windows(spark, d).groupBy("img_id").agg(F.count_if(v >= 50).alias("texture"), F.count_if(v >= 10).alias("detector"), F.count_if(v >= 1e-4).alias("cascade"))
 
 
+def _strides(spark, d) -> DataFrame:
+    """Labels with the stride that their number of samples asks for."""
+    n = table(spark, d, "embeddings").groupBy("label").agg((F.count("*") * 21).alias("n_pos"))
+    return n.select("label", "n_pos", windows.adaptive_stride(F.col("n_pos")).alias("stride"))
+
+
 @query
 def haar_enumerate(spark, d):
-    return windows.enumerate_features(spark, 24, 3)
+    """The features of a 12 x 12 window for each label."""
+    return windows.features_by_stride(_strides(spark, d), 12).select("label", "stride", "feature_id", "ftype", "r", "c", "h", "w")
 
 
 @query
 def haar_type_counts(spark, d):
-    counted = [windows.enumerate_features(spark, 24, s).groupBy("ftype").agg(F.count("*").alias("n")).select(F.lit(s).alias("stride"), "ftype", "n") for s in (1, 2, 3)]
-    return counted[0].union(counted[1]).union(counted[2])
+    return windows.features_by_stride(_strides(spark, d), 24).groupBy("label", "stride", "ftype").agg(F.count("*").alias("n"))
 
 
 @query
 def haar_stride_adaptive(spark, d):
-    n = table(spark, d, "embeddings").groupBy("label").agg((F.count("*") * 21).alias("n_pos"))
-    return n.select("label", "n_pos", windows.adaptive_stride(F.col("n_pos")).alias("stride"))
+    return _strides(spark, d)
+
+
+def _sized(spark, d) -> DataFrame:
+    """Images of many sizes (img_id, h, w), by fixed arithmetic on part."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("img_id"), (20 + F.col("p_size") * 2).cast("int").alias("h"), (24 + F.col("p_partkey") % 41 * 3).cast("int").alias("w"))
 
 
 @query
 def scale_ladder(spark, d):
-    return windows.ladder_rows(spark, 288, 384)
+    return windows.image_ladders(_sized(spark, d))
 
 
 @query
 def window_grid(spark, d):
-    return windows.window_grid(windows.ladder_rows(spark, 64, 64), 64, 64, 1.5)
+    """The number of windows, and the last of them, at each scale of each image."""
+    grid = windows.window_grid(windows.image_ladders(_sized(spark, d)), 1.5)
+    return grid.groupBy("img_id", "scale_idx", "win", "step").agg(F.count("*").alias("n"), F.max("r").alias("last_r"), F.max("c").alias("last_c"))
 
 
 @query
 def detector_windows(spark, d):
-    return windows.detector_windows(windows.ladder_rows(spark, 360, 480, least=60, most=140), 360, 480)
+    return windows.detector_windows(windows.image_ladders(_sized(spark, d), least=60, most=90)).select("img_id", "scale_idx", "win", "step", "r", "c")
 
 
 @query
@@ -176,6 +188,7 @@ def stump_best_feature(spark, d):
 
 @query
 def adaboost_rounds(spark, d):
+    """Three rounds of boosting; the training runs while this query is built."""
     strong = boost.train(views.samples(spark, d), ROUNDS)
     rows = [(k + 1, s.feature_id, round(s.threshold, 9), s.polarity, round(s.error, 9), round(s.alpha, 6)) for k, s in enumerate(strong.stumps)]
     return spark.createDataFrame(rows, "round int, feature_id int, threshold double, polarity int, error double, alpha double")
@@ -220,7 +233,9 @@ def cascade_stage_survivors(spark, d):
 
 @query
 def cascade_growth_schedule(spark, d):
-    return spark.createDataFrame([(k, n) for k, n in enumerate(cascade.growth_schedule(400))], "attempt int, n int")
+    """The sizes that a stage tries below a limit, for a limit by fixed arithmetic on each part."""
+    limits = table(spark, d, "part").select("p_partkey", (F.col("p_size") * 9).cast("int").alias("most"))
+    return cascade.growth_schedules(limits).select("p_partkey", "most", "attempt", "n")
 
 
 @query
@@ -534,7 +549,10 @@ def cascade_from_images(spark, d):
 
 @query
 def cascade_training(spark, d):
-    """A cascade trained on the samples, validated on those of another residue of the id: its stages."""
+    """A cascade trained on the samples, validated on those of another residue of the id: its stages.
+
+    The whole training runs while this query is built.
+    """
     from lumigrid.plans.training import CascadeTrainConfig, train_cascade
 
     rows = views.samples(spark, d)

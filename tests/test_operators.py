@@ -283,6 +283,19 @@ def test_trained_cascade_detects(spark):
         detection_stages(trained, features.where("false"))
 
 
+def test_ladders_of_images(spark):
+    sizes = spark.createDataFrame([(1, 288, 384, "clash"), (2, 23, 90, ""), (3, None, 30, ""), (4, 24, 24, "")], "img_id long, h int, w int, step string")
+    got = [tuple(r) for r in windows.image_ladders(sizes).select("img_id", "scale_idx", "scale", "win").collect()]
+    assert got == [(1, *r) for r in windows.scale_ladder(288, 384)] + [(4, 0, 1.0, 24)]
+    grid = windows.window_grid(windows.image_ladders(sizes.where("img_id = 4")))
+    assert [(r.r, r.c, r.step) for r in grid.collect()] == [(0, 0, 1)] and windows.detector_windows(windows.image_ladders(sizes.where("img_id = 4"))).collect() == []
+    with pytest.raises(Exception, match="pixels across"):
+        windows.image_ladders(sizes, largest=300).collect()
+    limits = spark.createDataFrame([(2, "a"), (400, "b")], "most int, attempt string").drop("attempt")
+    assert [r.n for r in cascade.growth_schedules(limits).orderBy("most", "attempt").collect()] == cascade.growth_schedule(400)
+    assert cascade.growth_schedules(limits.where("false")).collect() == []
+
+
 def test_growth_schedule():
     assert cascade.growth_schedule(400) == [2, 4, 8, 16, 24, 36, 61, 86, 111, 161, 211, 261, 311, 361]
 
