@@ -55,12 +55,13 @@ def scale_ladder(height: int, width: int, factor: float = 1.25, least: int = BAS
 def image_ladders(images: DataFrame, factor: float = 1.25, least: int = BASE, most: int | None = None, largest: int = 1 << 14) -> DataFrame:
     """images (h, w, more columns) with a row for each scale of each: scale_idx, scale, win.
 
-    The scales do not depend on the image; how many there are does. largest: the side that no image exceeds.
+    The scales do not depend on the image; how many there are does. largest: the side that no image exceeds. Images
+    without a size have no scale.
     """
     rungs = F.array(*(F.struct(F.lit(k).alias("scale_idx"), F.lit(scale).alias("scale"), F.lit(win).alias("win")) for k, scale, win in scale_ladder(largest, largest, factor, least)))
     side = F.least("h", "w") if most is None else F.least("h", "w", F.lit(most))
     fit = F.when(F.greatest("h", "w") > largest, F.raise_error(F.lit(f"an image of more than {largest} pixels across")).cast("array<struct<scale_idx:int,scale:double,win:int>>")).otherwise(F.filter(rungs, lambda x: x["win"] <= side))
-    return images.withColumn("_rung", F.explode(fit)).select("*", "_rung.*").drop("_rung")
+    return images.dropna(subset=["h", "w"]).withColumn("_rung", F.explode(fit)).select("*", "_rung.*").drop("_rung")
 
 
 def window_grid(ladder: DataFrame, delta: float = 1.0) -> DataFrame:

@@ -285,7 +285,7 @@ def test_trained_cascade_detects(spark):
 
 def test_ladders_of_images(spark):
     sizes = spark.createDataFrame([(1, 288, 384, "clash"), (2, 23, 90, ""), (3, None, 30, ""), (4, 24, 24, "")], "img_id long, h int, w int, step string")
-    got = [tuple(r) for r in windows.image_ladders(sizes).select("img_id", "scale_idx", "scale", "win").collect()]
+    got = [tuple(r) for r in windows.image_ladders(sizes).orderBy("img_id", "scale_idx").select("img_id", "scale_idx", "scale", "win").collect()]
     assert got == [(1, *r) for r in windows.scale_ladder(288, 384)] + [(4, 0, 1.0, 24)]
     grid = windows.window_grid(windows.image_ladders(sizes.where("img_id = 4")))
     assert [(r.r, r.c, r.step) for r in grid.collect()] == [(0, 0, 1)] and windows.detector_windows(windows.image_ladders(sizes.where("img_id = 4"))).collect() == []
