@@ -30,9 +30,11 @@ SIMILARITY, SHINGLE_WORDS, BITS = 0.8, 5, 2
 #: Frequent shingles that are kept: 1 MB.
 FREQUENT = 1 << 17
 #: A shingle is frequent if so many texts of a task hold it; shingles that a task counts before rare ones are let go.
-HELD, COUNTED = 3, 1 << 20
+HELD, COUNTED = 3, 1 << 21
 #: Rows that a task takes from Spark at once: texts and sets of shingles are large, and several tasks share a machine.
 BATCH = 512
+#: Texts of candidate pairs up to which their names are broadcast, so that no other text is moved.
+NAMED = 500_000
 #: Texts of a shingle that meet in one block of a join; results do not depend on it.
 BLOCK = 2000
 
@@ -159,9 +161,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, limit: float,
     own = Scratch(docs.sparkSession)
     pairs = own.table(_ordered(pairs).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    # one row of docs for each text
-    named = ends.join(texts, "id").select("id", "digest")
-    one = docs.select("digest", "text").join(named, "digest").dropDuplicates(["id"]).select("id", "text")
+    named = own.table(ends.join(texts, "id").select("id", "digest"), "named")
+    # one row of docs for each text; each task keeps one of its equal texts before any is moved
+    if named.count() <= NAMED:
+        one = docs.select("digest", "text").join(F.broadcast(named), "digest").dropDuplicates(["digest"]).select("id", "text")
+    else:
+        one = docs.select("digest", "text").dropDuplicates(["digest"]).join(named, "digest").select("id", "text")
     sets = own.table(one.mapInArrow(_sets, "id long, set binary"), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
     found = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(limit), "a long, b long"), "links")

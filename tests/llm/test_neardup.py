@@ -2,6 +2,8 @@ import random
 from collections import defaultdict
 from itertools import combinations
 
+import pytest
+
 from lumigrid.llm import neardup
 
 
@@ -30,7 +32,9 @@ def brute(rows, limit=0.8):
     return sorted((min((d for d in g if d is not None), default=None) for g in groups.values()), key=repr)
 
 
-def test_groups(spark):
+@pytest.mark.parametrize("named", [neardup.NAMED, 0])
+def test_groups(spark, monkeypatch, named):
+    monkeypatch.setattr(neardup, "NAMED", named)
     rng = random.Random(6)
     words = [f"w{k}é" for k in range(2000)]
     rows = []
