@@ -1,7 +1,7 @@
 """A corpus pipeline: toxicity, language, near-duplicates, decontamination, and a check of the tokens.
 
-Every stage judges each row by its own text, so rows with a null or a repeated doc_id are kept or dropped by themselves,
-and gives no rows for no rows. All stages but the last pass whole rows on: the columns of docs, whatever further ones
+Every stage but near-duplicates judges each row by its own text, so rows with a null or a repeated doc_id are kept or
+dropped by themselves, and gives no rows for no rows. All stages but the last pass whole rows on: the columns of docs, whatever further ones
 there are.
 """
 
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lumigrid.llm import bpe, decontaminate, langid, neardup, toxicity
-from lumigrid.session import materialize, table
+from lumigrid.session import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each written to the shared folder and read again by the next, then removed."""
+    docs, before = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        own = Scratch(spark)
+        docs = own.table(stage(spark, docs, sf_dir), name)
+        before.clear()
+        before = own
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -31,6 +31,8 @@ SIMILARITY, SHINGLE_WORDS, BITS = 0.8, 5, 2
 FREQUENT = 1 << 17
 #: A shingle is frequent if so many texts of a task hold it; shingles that a task counts before rare ones are let go.
 HELD, COUNTED = 3, 1 << 21
+#: Texts of a prefix shingle from which on it goes last too, and how often the prefixes are made anew for such ones.
+CROWDED, ROUNDS = 1000, 4
 #: Rows that a task takes from Spark at once: texts and sets of shingles are large, and several tasks share a machine.
 BATCH = 512
 #: Texts of candidate pairs up to which their names are broadcast, so that no other text is moved.
@@ -73,7 +75,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_shingles(keyed: DataFrame) -> np.ndarray:
     """Sorted hashes of the shingles of keyed (digest, text) that most texts hold, over all texts.
 
-    They only go last in the order of shingles, so results do not depend on them.
+    They only go last in the order of shingles, so results do not depend on them. Shingles that no single task holds
+    often are not met here; _shared_prefixes adds those that crowd the prefixes.
     """
     counts = keyed.select("digest", "text").mapInArrow(_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return np.sort(counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()["key"].to_numpy().view(np.uint64))
@@ -97,6 +100,35 @@ def _prefixes(shared, limit: float):
     return prefixes
 
 
+def _shared_prefixes(texts: DataFrame, keyed: DataFrame, limit: float, scratch: Scratch) -> DataFrame:
+    """(key, id, n, p, held) of prefix shingles that held > 1 texts share, written; key is at place p of n shingles.
+
+    The number of texts of each prefix shingle is exact and over all tasks. Where one has too many and does not yet go
+    last, it does from then on, and prefixes are made anew. What is still crowded after some rounds is joined in blocks.
+    """
+    spark = keyed.sparkSession
+    frequent = frequent_shingles(keyed)
+    for left in reversed(range(ROUNDS)):
+        own = Scratch(spark)
+        shared = spark.sparkContext.broadcast(frequent)
+        made = keyed.select("digest", "text").mapInArrow(_prefixes(shared, limit), "digest string, n int, keys array<long>").dropDuplicates(["digest"])
+        made = own.table(made.join(texts, "digest").select("id", "n", "keys"), "prefixes")
+        shared.destroy()
+        rows = made.select("id", "n", F.posexplode("keys").alias("p", "key"))
+        held = made.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
+        found = Scratch(spark)
+        rows = found.table(rows.join(held, "key"), "shared")
+        own.clear()
+        crowded = rows.where(F.col("held") >= CROWDED).groupBy("key").agg(F.max("held").alias("held"))
+        keys = crowded.orderBy(F.desc("held"), "key").limit(FREQUENT).toArrow()["key"].to_numpy().view(np.uint64)
+        added = np.setdiff1d(keys, frequent)[: 2 * FREQUENT - len(frequent)]
+        if not left or not len(added):
+            scratch.paths += found.paths
+            return rows
+        found.clear()
+        frequent = np.union1d(frequent, added)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [shingle_set(t.as_py(), SHINGLE_WORDS).tobytes() for t in batch.column(1)]
@@ -188,13 +220,7 @@ def _groups(docs: DataFrame, similarity: float) -> DataFrame:
     scratch = Scratch(spark)
     keyed = docs.select("doc_id", "text", text_digest().alias("digest"))
     texts = materialize(keyed.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "texts")
-    shared = spark.sparkContext.broadcast(frequent_shingles(keyed))
-    own = keyed.select("digest", "text").mapInArrow(_prefixes(shared, similarity), "digest string, n int, keys array<long>").dropDuplicates(["digest"])
-    own = scratch.table(own.join(texts, "digest").select("id", "n", "keys"), "prefixes")
-    shared.destroy()
-    rows = own.select("id", "n", F.posexplode("keys").alias("p", "key"))
-    held = own.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
-    rows = scratch.table(rows.join(held, "key"), "shared")
+    rows = _shared_prefixes(texts, keyed, similarity, scratch)
     near = _central_pairs(rows, similarity).union(_simhash_pairs(texts.select("digest", "id"), keyed, scratch))
     links = _verified(near, texts, keyed, similarity, scratch)
     rest = _verified(_open_pairs(rows, connected_components(links), similarity, scratch), texts, keyed, similarity, scratch)

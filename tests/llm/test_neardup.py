@@ -3,8 +3,10 @@ from collections import defaultdict
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumigrid.llm import neardup
+from lumigrid.session import Scratch
 
 
 def shingles(text):
@@ -129,6 +131,27 @@ def test_many_near_copies(spark):
     assert kept == [0, *range(10_000, 10_500)]
 
 
+def test_shingles_that_no_task_holds_often(spark, monkeypatch):
+    """Two texts of each of many tasks share a passage; no task knows it as frequent, yet it does not fill the prefixes."""
+    monkeypatch.setattr(neardup, "CROWDED", 20)
+    passage = [f"s{k}" for k in range(40)]
+    rows = [(k, " ".join(passage + [f"t{k}w{j}" for j in range(60)])) for k in range(60)] + [(60, " ".join(passage + [f"t7w{j}" for j in range(59)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(31, "doc_id")
+    keyed = docs.select("doc_id", "text", neardup.text_digest().alias("digest"))
+    texts = keyed.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("id", F.col("least"))
+    assert len(neardup.frequent_shingles(keyed)) == 0
+    scratch = Scratch(spark)
+    most = [neardup._shared_prefixes(texts, keyed, 0.8, scratch).agg(F.max("held")).first()[0]]
+    monkeypatch.setattr(neardup, "ROUNDS", 1)
+    most.append(neardup._shared_prefixes(texts, keyed, 0.8, scratch).agg(F.max("held")).first()[0])
+    scratch.clear()
+    assert most[0] < 20 < most[1]
+    for rounds in (4, 1):
+        monkeypatch.setattr(neardup, "ROUNDS", rounds)
+        kept = sorted((r.doc_id for r in neardup.drop_near_duplicates(docs).collect()), key=repr)
+        assert kept == brute(rows) and set(kept) == set(range(60))
+
+
 def test_recall_on_documents(spark):
     """Against brute force over all pairs that share a shingle, on the documents of sf0.01."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
