@@ -1,10 +1,12 @@
 import hashlib
+from pathlib import Path
 
 import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline as cp
 from lumigrid.llm import bpe, decontaminate, langid, toxicity
+from lumigrid.session import materialize, shared_dir
 
 DATA = "/root/testdata/sf0.01"
 
@@ -15,7 +17,7 @@ def test_stages_in_order_and_effect(spark):
     labels, items = spark.read.parquet(f"{DATA}/labels.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
     sizes, now = [docs.count()], docs
     for name, stage in cp.STAGES[:-1]:
-        after = cp.materialize(stage(spark, now, DATA), name)
+        after = materialize(stage(spark, now, DATA), name)
         assert after.columns == docs.columns
         kept, before = {r.doc_id for r in after.collect()}, {r.doc_id for r in now.select("doc_id").collect()}
         if name == "toxicity":
@@ -41,6 +43,15 @@ def test_stages_in_order_and_effect(spark):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
+def test_run_leaves_the_last_stage_only(spark):
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    rows = cp.run(spark, "/root/testdata/sf0.001").collect()
+    assert 0 < len({r.doc_id for r in rows}) == len(rows)
+    left = {p.name.split("-")[1] for p in set(folder.iterdir()) - before}
+    assert "decontamination" in left and not left & {"toxicity", "language", "near_duplicates"}
+
+
 def test_nulls_and_empty(spark):
     rows = [(1, None, "en", None), (None, "The plain words of a text", None, "s"), (None, "The plain words of a text", None, "s"), (2, "", None, None), (3, "one two three", "en", "s")]
     docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
@@ -59,7 +70,7 @@ def test_rows_of_one_id_are_judged_by_themselves(spark):
     more = spark.createDataFrame([(None, "...", None, "bad", 3), (None, f"before {item} after", "en", "bad", 9), (None, good[0] + " end of it", "en", "copy", 9), (1, "?!", None, "bad", 2)], docs.schema)
     out = docs.union(more)
     for name, stage in cp.STAGES[1:4]:
-        out = cp.materialize(stage(spark, out, DATA), name)
+        out = materialize(stage(spark, out, DATA), name)
     left = out.collect()
     assert not any(r.source in ("bad", "copy") for r in left)
     clean = cp.STAGES[3][1](spark, docs, DATA).count()
