@@ -216,10 +216,10 @@ def growth_schedules(limits: DataFrame, largest: int = 1 << 20) -> DataFrame:
     return limits.select("*", F.posexplode(F.filter(sizes, lambda n: n < F.col("most"))).alias("attempt", "n"))
 
 
-def hard_negatives(samples: DataFrame, stages: list[Strong], most: int = 2400) -> DataFrame:
-    """At most most negative samples that all stages accept, by hash of sample_id."""
-    passed = survivors(samples.where("y = 0"), stages).where(F.col("passed") == len(stages))
-    return passed.select("sample_id").orderBy(F.xxhash64("sample_id"), "sample_id").limit(most)
+def hard_negatives(samples: DataFrame, stages: list[Strong], most: int | None = 2400) -> DataFrame:
+    """Negative samples that all stages accept: at most most, by hash of sample_id, or all of them for None."""
+    passed = survivors(samples.where("y = 0"), stages).where(F.col("passed") == len(stages)).select("sample_id")
+    return passed if most is None else passed.orderBy(F.xxhash64("sample_id"), "sample_id").limit(most)
 
 
 def refill_negatives(negatives: DataFrame, stages: list[Strong], least: int = 200, upto: int = 500, seed: int = 42) -> DataFrame:

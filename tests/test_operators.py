@@ -363,3 +363,12 @@ def test_annotation_files_come_in_bounded_pieces(spark):
     per_file = pieces.groupBy("file").count().collect()
     assert len(per_file) == 7 and all(r["count"] > 1 for r in per_file)
     assert pieces.agg(F.max(F.size(F.split("text", "img_")))).first()[0] <= 101
+
+
+def test_hard_negatives_are_not_cut(spark, tmp_path):
+    stumps = {s.feature_id: s for stage in queries.STAGES for s in stage.stumps}
+    x = [float(stumps[k].threshold - stumps[k].polarity) if k in stumps else 0.0 for k in range(64)]
+    rows = spark.range(2500).select(F.col("id").alias("vec_id"), F.when(F.col("id") == 7, 3).otherwise(1).alias("label"), F.array(*map(F.lit, x)).cast("array<float>").alias("embedding"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert queries.hard_negatives(spark, str(tmp_path)).count() == 2499
+    assert cascade.hard_negatives(queries.views.samples(spark, str(tmp_path)), queries.STAGES).count() == 2400
