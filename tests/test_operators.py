@@ -372,3 +372,10 @@ def test_hard_negatives_are_not_cut(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
     assert queries.hard_negatives(spark, str(tmp_path)).count() == 2499
     assert cascade.hard_negatives(queries.views.samples(spark, str(tmp_path)), queries.STAGES).count() == 2400
+
+
+def test_numbers_of_six_digits_stay_whole(spark, tmp_path):
+    spark.createDataFrame([(99_998,), (123_456,)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(1, 4).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    got = sorted(r.name for r in queries.index_continuation(spark, str(tmp_path)).collect())
+    assert got == ["neg_123457.jpg", "neg_123458.jpg", "neg_123459.jpg"]
