@@ -379,3 +379,16 @@ def test_numbers_of_six_digits_stay_whole(spark, tmp_path):
     spark.range(1, 4).withColumnRenamed("id", "c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
     got = sorted(r.name for r in queries.index_continuation(spark, str(tmp_path)).collect())
     assert got == ["neg_123457.jpg", "neg_123458.jpg", "neg_123459.jpg"]
+
+
+def test_grid_extents_tell_of_all_windows(spark):
+    sizes = spark.createDataFrame([(1, 24, 24), (2, 25, 90), (2, 25, 90), (3, 120, 61), (4, 23, 99)], "img_id long, h int, w int")
+    ladder = windows.image_ladders(sizes)
+    for delta in (1.0, 1.5, 40.0):
+        ends = windows.grid_extents(ladder, delta)
+        grid = windows.window_grid(ladder.distinct(), delta).groupBy("img_id", "scale_idx", "win", "step").agg(F.count("*").alias("n"), F.max("r").alias("last_r"), F.max("c").alias("last_c"))
+        columns = ["img_id", "scale_idx", "win", "step", "n", "last_r", "last_c"]
+        assert sorted(map(tuple, ends.select(columns).distinct().collect())) == sorted(map(tuple, grid.select(columns).collect()))
+        assert ends.count() == ladder.count() and ends.where("img_id = 4").count() == 0
+    plan = queries.window_grid(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "Exchange" not in plan  # scales are rows, windows are not
