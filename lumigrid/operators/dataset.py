@@ -22,9 +22,12 @@ def usable(annotations: DataFrame, least: int = LEAST_FACE) -> DataFrame:
 
 
 def images_without(images: DataFrame, marks: DataFrame, categories: DataFrame, name: str) -> DataFrame:
-    """images (id, ...) without any mark (image_id, category_id) of the named category (id, name)."""
+    """images (id, ...) without any mark (image_id, category_id) of the named category (id, name).
+
+    The ids of one name are few and go to every task; dealt by category, most marks would meet in one task.
+    """
     wanted = categories.where(F.col("name") == name).select(F.col("id").alias("category_id"))
-    marked = marks.join(wanted, "category_id", "left_semi").select(F.col("image_id").alias("id"))
+    marked = marks.join(F.broadcast(wanted), "category_id", "left_semi").select(F.col("image_id").alias("id"))
     return images.join(marked, "id", "left_anti")
 
 

@@ -166,3 +166,18 @@ def test_rows_with_nulls_are_left_out(spark):
     for solve in (boxes.vote_merge, boxes.suppress_by_score, lambda f: boxes.group_similar(f, 1), boxes.merge_overlapping):
         assert sorted(map(tuple, solve(mixed).collect())) == sorted(map(tuple, solve(plain).collect()))
         assert solve(mixed.where("false")).collect() == []
+
+
+def test_marks_are_not_dealt_by_category(spark):
+    from lumigrid.operators import dataset
+
+    marks = spark.createDataFrame([(k, 1 + (k % 3 == 0)) for k in range(30)] + [(None, 2), (1, None)], "image_id long, category_id int")
+    categories = spark.createDataFrame([(1, "cat"), (2, "person"), (4, "person"), (None, "person")], "id int, name string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = dataset.images_without(spark.range(30), marks, categories, "person")
+        assert "hashpartitioning(category_id" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.id for r in kept.collect()) == [k for k in range(30) if k % 3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
