@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lumigrid.session import Scratch, materialize
@@ -30,6 +31,11 @@ _TABLES = 1 << 24
 #: States: faces that are left, 0 for none, so a path follows; or a count follows; or a placeholder.
 COUNT, PLACEHOLDER = -1, -2
 _NUMBER = re.compile(r"[+-]?[0-9]{1,9}")
+#: In place of the count of a line that is no number.
+NONE = -1
+#: The same for Arrow: lines that are a number, and face lines of just ten numbers between spaces and tabs.
+_COUNT_LINE = r"\A[ \t\n\x0b\x0c\r]*[+-]?[0-9]{1,9}[ \t\n\x0b\x0c\r]*\z"
+_FACE_LINE = r"\A[ \t]*" + r"[ \t]+".join([r"[+-]?[0-9]{1,9}"] * len(FACE_FIELDS)) + r"[ \t]*\z"
 _KEY = ["file", "start", "part"]
 
 
@@ -45,23 +51,24 @@ def lines_of(text: str) -> list[str]:
 
 
 def ends(counts: Sequence[int | None]) -> tuple[np.ndarray, int, int]:
-    """For the numbers of a piece's lines: the states it ends in when its line k is a path, a count or placeholder comes first."""
-    n = len(counts)
-    out = np.zeros(n, np.int64)
-
-    def after(k: int, count: int | None) -> int:
-        """The end state if the line before line k is this count."""
-        if count == 0:
-            return PLACEHOLDER if k == n else at(k + 1)
-        return at(k + max(0, count or 0))
+    """For the numbers of a piece's lines: the states it ends in when its line k is a path, a count or placeholder comes first.
 
-    def at(k: int) -> int:
-        return int(out[k]) if k < n else k - n
-
-    for k in range(n - 1, -1, -1):
-        out[k] = after(k + 2, counts[k + 1]) if k + 1 < n else COUNT
-    first_count = after(1, counts[0]) if n else COUNT
-    return out, first_count, at(1) if n else PLACEHOLDER
+    Each line names the one that is a path next if it is one; these steps are doubled until all lead out of the piece.
+    """
+    n = len(counts)
+    if not n:
+        return np.zeros(0, np.int64), COUNT, PLACEHOLDER
+    own = counts if isinstance(counts, np.ndarray) else np.array([NONE if c is None else c for c in counts], np.int64)
+    # where a path follows if line k is a count; from n on it is beyond the piece, below 0 a state at its end
+    after = np.arange(1, n + 1) + np.where(own == 0, 1, np.maximum(own, 0))
+    if own[-1] == 0:
+        after[-1] = PLACEHOLDER
+    to = np.append(after[1:], COUNT)
+    while (inside := np.flatnonzero((to >= 0) & (to < n))).size:
+        to[inside] = to[to[inside]]
+    out = np.where(to >= n, to - n, to)
+    at = lambda k: int(k) if k < 0 else int(out[k]) if k < n else int(k) - n
+    return out, at(after[0]), at(1)
 
 
 def step(states: np.ndarray, size: int, table: np.ndarray, count: int, placeholder: int) -> np.ndarray:
@@ -93,6 +100,47 @@ def faces(lines: Sequence[str], state: int, path: str | None) -> tuple[list[tupl
     return out, state, path
 
 
+def line_numbers(lines: pa.Array) -> np.ndarray:
+    """number of each line, NONE where it is none."""
+    out = np.full(len(lines), NONE, np.int64)
+    at = np.flatnonzero(pc.fill_null(pc.match_substring_regex(lines, _COUNT_LINE), False).to_numpy(zero_copy_only=False))
+    out[at] = [number(x) for x in lines.take(pa.array(at)).to_pylist()]
+    return out
+
+
+def face_rows(lines: pa.Array, state: int) -> tuple[pa.Array, pa.Array, list[pa.Array], str | None]:
+    """As faces gives for many lines at once: (numbers of the face lines' paths, paths, columns of FACE_FIELDS, the last path).
+
+    Paths and counts are followed from entry to entry; the face lines between are read together. Path 0 is that from
+    before, None here. Lines that are not plainly ten numbers are read as faces does.
+    """
+    n, counts, paths = len(lines), line_numbers(lines), [None]
+    spans, k = [], 0  # first face line, one after the last, path
+    if state == COUNT and n:
+        state, k = (PLACEHOLDER if counts[0] == 0 else max(0, int(counts[0]))), 1
+    if state == PLACEHOLDER and k < n:
+        state, k = 0, k + 1
+    while k < n:
+        if state > 0:
+            spans.append((k, min(n, k + state), len(paths) - 1))
+            k += state
+        if k < n:
+            paths.append(lines[k].as_py().strip())
+            count = int(counts[k + 1]) if k + 1 < n else NONE
+            k, state = k + 2 + (count == 0), max(0, count)
+    at = np.concatenate([np.arange(a, b) for a, b, _ in spans]) if spans else np.zeros(0, np.int64)
+    of = np.repeat([p for *_, p in spans], [b - a for a, b, _ in spans]).astype(np.int64) if spans else np.zeros(0, np.int64)
+    text = lines.take(pa.array(at, pa.int64()))
+    plain = pc.fill_null(pc.match_substring_regex(text, _FACE_LINE), False).to_numpy(zero_copy_only=False)
+    values = np.zeros((len(at), len(FACE_FIELDS)), np.int32)
+    values[plain] = np.fromstring(" ".join(text.filter(pa.array(plain)).to_pylist()), np.int32, sep=" ").reshape(-1, len(FACE_FIELDS))
+    kept = plain.copy()
+    for j in np.flatnonzero(~plain):
+        if got := faces([text[int(j)].as_py()], 1, None)[0]:
+            kept[j], values[j] = True, got[0][1:]
+    return pa.array(of[kept]), pa.array(paths, pa.string()), [pa.array(c) for c in values[kept].T], paths[-1]
+
+
 def _pack(size: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, part, held, used = None, 0, [], 0
@@ -127,14 +175,21 @@ def _tables(most: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, lines in enumerate(batch.column(3).to_pylist()):
-                table, count, placeholder = ends([number(x) for x in lines])
+            for k in range(batch.num_rows):
+                lines = batch.column(3)[k].values
+                table, count, placeholder = ends(line_numbers(lines))
                 columns = [*(batch.column(n).slice(k, 1) for n in range(3)), pa.array([len(lines)], pa.int64()), pa.array([count], pa.int64()), pa.array([placeholder], pa.int64()), pa.array([table[: most + 1]], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[*_KEY, "size", "count", "placeholder", "table"])
 
     return run
 
 
+def _largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The largest number of a batch's lines."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([int(line_numbers(batch.column(0).flatten()).max(initial=0))], pa.int64())], names=["n"])
+
+
 def _compose(pieces: pd.DataFrame, most: int) -> tuple[int, int, int, np.ndarray]:
     """The table of a group of pieces, as that of one piece."""
     pieces = pieces.sort_values("at")
@@ -153,8 +208,7 @@ def parse_pieces(pieces: DataFrame, group: int = GROUP) -> DataFrame:
     face line with fewer than ten numbers, or other text among them, is left out. Further columns are not read.
     """
     spark, scratch = pieces.sparkSession, Scratch(pieces.sparkSession)
-    numbers = F.transform("lines", lambda x: F.regexp_extract(x, r"^\s*\+?([0-9]{1,9})\s*$", 1).try_cast("long"))
-    most = pieces.agg(F.max(F.array_max(numbers))).first()[0] or 0
+    most = pieces.select("lines").mapInArrow(_largest, "n long").agg(F.max("n")).first()[0] or 0
     tables = scratch.table(pieces.select(*_KEY, "lines").mapInArrow(_tables(most), "file string, start long, part int, size long, count long, placeholder long, table array<long>"), "piece-tables")
     order = F.row_number().over(Window.partitionBy("file").orderBy("start", "part")) - 1
     numbers = tables.select(*_KEY).withColumn("at", order).withColumn("group", F.floor(F.col("at") / group).cast("int"))
@@ -206,11 +260,15 @@ def _walk(grouped: DataFrame) -> Iterator[tuple[str, int, int]]:
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string(), *[pa.int32()] * len(FACE_FIELDS)]
+    names = [*_KEY, "last", "img_rel_path", *FACE_FIELDS]
     for batch in batches:
-        for file, start, part, lines, state in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            got, _, path = faces(lines, state, None)
-            rows = [(file, start, part, False, *row) for row in got] + [(file, start, part, True, path, *[None] * len(FACE_FIELDS))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[*_KEY, "last", "img_rel_path", *FACE_FIELDS])
+        for k, (file, start, part, state) in enumerate(zip(*(batch.column(n).to_pylist() for n in (0, 1, 2, 4)))):
+            of, paths, columns, path = face_rows(batch.column(3)[k].values, state)
+            n = len(of)
+            own = [pa.repeat(pa.scalar(x, kind), n) for x, kind in zip((file, start, part, False), types)]
+            yield pa.RecordBatch.from_arrays([*own, paths.take(of), *columns], names=names)
+            last = (file, start, part, True, path, *[None] * len(FACE_FIELDS))
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(last, types)], names=names)
 
 
 def parse_face_lists(files: DataFrame) -> DataFrame:
@@ -220,7 +278,7 @@ def parse_face_lists(files: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = [(file, *row) for row in faces(lines_of(text.as_py() or ""), 0, None)[0]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+                of, paths, columns, _ = face_rows(pa.array(lines_of(text.as_py() or ""), pa.string()), 0)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(file, pa.string()), len(of)), paths.take(of), *columns], schema=schema)
 
     return files.select("file", "text").mapInArrow(parse, "file string, img_rel_path string, " + ", ".join(f"{f} int" for f in FACE_FIELDS))

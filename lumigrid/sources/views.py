@@ -53,7 +53,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Face annotations: a box and the flags pose, occlusion, blur, invalid, by fixed arithmetic on lineitem."""
     rows = table(spark, sf_dir, "lineitem")
     return rows.select(
-        F.format_string("%d/img_%d.jpg", F.col("l_orderkey") % 7, (F.col("l_orderkey") / 10).cast("long")).alias("img_rel_path"),
+        F.concat((F.col("l_orderkey") % 7).cast("string"), F.lit("/img_"), (F.col("l_orderkey") / 10).cast("long").cast("string"), F.lit(".jpg")).alias("img_rel_path"),
         (F.col("l_partkey") * 37 % 160).alias("x"), (F.col("l_suppkey") * 53 % 160).alias("y"),
         (20 + F.col("l_partkey") % 60).alias("w"), (20 + F.col("l_suppkey") % 70).alias("h"),
         (F.col("l_returnflag") == "R").cast("int").alias("blur"), (F.col("l_linenumber") == 7).cast("int").alias("occlusion"),

@@ -7,6 +7,7 @@ import struct
 import threading
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -317,3 +318,15 @@ def test_random_places_by_hash(spark):
         kept = [(r, c) for r, c in places if p[r : r + 8, c : c + 8].var() >= 50][:3]
         want |= {(k, r, c): p[r : r + 8, c : c + 8].var() for r, c in kept}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got) and len(got) == 12
+
+
+def test_lines_read_together_give_the_same_faces():
+    rng = random.Random(1)
+    kinds = ["a.jpg", " b.jpg\t", "0", "1", "2", "3", " +2 ", "-1", "9999999999", "", "1 2 3", "1 2 3 4 5 6 7 8 9 10", "+1 -2 3 4 5 6 7 8 9 10 11 x", "1\x0b2 3 4 5 6 7 8 9 10", "1 2 3 4 5 6 7 8 9 10x", "0\n", "\u0661", "1 2 3 4 5 6 7 8 9 1234567890"]
+    for _ in range(3000):
+        lines = [rng.choice(kinds) for _ in range(rng.randrange(14))]
+        state = rng.choice([0, face_lists.COUNT, face_lists.PLACEHOLDER, 1, 2, 5, 40])
+        of, paths, columns, last = face_lists.face_rows(pa.array(lines, pa.string()), state)
+        want, _, path = face_lists.faces(lines, state, None)
+        assert list(zip(paths.take(of).to_pylist(), *(c.to_pylist() for c in columns))) == want and last == path
+        assert [None if n == face_lists.NONE else n for n in face_lists.line_numbers(pa.array(lines, pa.string()))] == [None if n == -1 else n for n in map(face_lists.number, lines)]
