@@ -2,7 +2,7 @@
 
 Every stage but near-duplicates judges each row by its own text, so rows with a null or a repeated doc_id are kept or
 dropped by themselves, and gives no rows for no rows. All stages but the last pass whole rows on: the columns of docs, whatever further ones
-there are.
+there are. Every stage lets the session's batches be small from then on, as texts are large.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lumigrid.llm import bpe, decontaminate, langid, neardup, toxicity
-from lumigrid.session import Scratch, table
+from lumigrid.session import Scratch, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,6 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text has no toxic word. Without labelled rows no row is toxic. Labels are matched by doc_id; a null
     one has none.
     """
+    small_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -29,6 +30,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without a letter, null and empty ones included, are rejected; where no row has a language, all are. Of equal
     cosines the first language in alphabetical order counts; that rejects nothing.
     """
+    small_batches(spark)
     return langid.keep_known(docs, langid.fit(docs))
 
 
@@ -37,16 +39,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Repeated rows leave one. Texts without words are one group. Of rows with one doc_id the text of least digest stays.
     """
+    small_batches(spark)
     return neardup.drop_near_duplicates(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text overlaps no benchmark item. A null or empty text overlaps none; no items drop nothing."""
+    small_batches(spark)
     return decontaminate.drop_overlapping(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """For each row doc_id, its ids, their number, and checksums of ids and of the decoded bytes; a null text has no ids."""
+    small_batches(spark)
     return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 

@@ -51,10 +51,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, n, waiting, size = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
-        every, at = np.unique(np.concatenate((keys, *waiting)), return_inverse=True)
-        total = np.bincount(at[len(keys) :], minlength=len(every)).astype(np.int64)
-        total[at[: len(keys)]] += n
-        return every, total
+        """keys and n with what waits; only that is sorted."""
+        own, times = np.unique(np.concatenate((np.empty(0, np.uint64), *waiting)), return_counts=True)
+        at = np.searchsorted(keys, own)
+        known = at < len(keys)
+        known[known] = keys[at[known]] == own[known]
+        n[at[known]] += times[known]
+        at, known = at[~known], ~known
+        return np.insert(keys, at, own[known]), np.insert(n, at, times[known])
 
     for batch in batches:
         for digest, text in zip(batch.column(0).to_pylist(), batch.column(1)):

@@ -1,7 +1,10 @@
 import random
-from collections import defaultdict
+import tracemalloc
+from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +160,21 @@ def test_recall_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert sorted((r.doc_id for r in neardup.drop_near_duplicates(docs).collect()), key=repr) == brute(rows)
+
+
+def test_counting_shingles_holds_little(monkeypatch):
+    r, counted = np.random.Generator(np.random.PCG64(3)), 1 << 18
+    sets = [np.unique(r.integers(0, 1 << 20, 5000, np.uint64)) for _ in range(300)]
+    monkeypatch.setattr(neardup, "shingle_set", lambda text, _: sets[int(text)])
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(300)])] * 2, names=["digest", "text"])
+    monkeypatch.setattr(neardup, "COUNTED", 1 << 30)
+    whole = next(neardup._counts(iter([batch])))
+    own = Counter(np.concatenate(sets).view(np.int64).tolist())
+    assert dict(zip(whole["key"].to_pylist(), whole["n"].to_pylist())) == {k: n for k, n in own.items() if n >= neardup.HELD}
+    monkeypatch.setattr(neardup, "COUNTED", counted)
+    tracemalloc.start()
+    part = next(neardup._counts(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * 8 * counted and len(part)
+    assert all(n <= own[k] for k, n in zip(part["key"].to_pylist(), part["n"].to_pylist()))

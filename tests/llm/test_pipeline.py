@@ -2,11 +2,14 @@ import hashlib
 from pathlib import Path
 
 import public_tokenizers as P
+import pyarrow as pa
+import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from lumigrid.llm import bpe, decontaminate, langid, toxicity
-from lumigrid.session import materialize, shared_dir
+from lumigrid.session import materialize, settings, shared_dir
 
 DATA = "/root/testdata/sf0.01"
 
@@ -75,3 +78,17 @@ def test_rows_of_one_id_are_judged_by_themselves(spark):
     assert not any(r.source in ("bad", "copy") for r in left)
     clean = cp.STAGES[3][1](spark, docs, DATA).count()
     assert len(left) >= 0.9 * clean
+
+
+@pytest.mark.parametrize("name, stage", cp.STAGES)
+def test_batches_of_long_texts_are_small(spark, name, stage):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "bytes"])
+
+    with settings(spark, spark__sql__parquet__columnarReaderBatchSize="4096", spark__sql__execution__arrow__maxBytesPerBatch="64m"):
+        docs = spark.createDataFrame([(1, "some plain words", "en", "s", 16)], "doc_id long, text string, lang string, source string, n_chars long")
+        stage(spark, docs, DATA)
+        long = spark.range(0, 300, 1, 1).select("id", F.repeat(F.lit("word "), 20_000).alias("text"))
+        made = long.mapInArrow(sizes, "rows long, bytes long").collect()
+        assert sum(r.rows for r in made) == 300 and max(r.bytes for r in made) < 5 << 20
