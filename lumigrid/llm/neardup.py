@@ -8,6 +8,10 @@ from three searches, and every candidate is verified on the whole sets:
    pairs as texts;
 3. all pairs of a prefix shingle's texts that no chain of links joins yet.
 
+Most candidates of the last search are not similar, and their number grows faster than the texts. So before any set is
+moved, candidates are tried on sketches, which count a set's shingles by ranges of their hashes: what two sets share is
+at most the sum of the lesser counts. Only pairs that this bound allows are verified.
+
 Shingles have one fixed order, frequent ones last. Two sets of similarity t or more share one of the first
 n - ceil(t n) + 1 shingles of either, so the last two searches lose no pair. The first shingle that two sets share
 bounds what they can share in all, by its places in both, so most other pairs are never verified.
@@ -37,6 +41,10 @@ CROWDED, ROUNDS = 1000, 4
 BATCH = 512
 #: Texts of candidate pairs up to which their names are broadcast, so that no other text is moved.
 NAMED = 500_000
+#: A sketch counts so many shingles in a range of hashes at most, on average, and half as many at least.
+RANGED = 4
+#: Shuffle files of a step go when it has ended, not when the driver happens to collect its garbage.
+CLEANED = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
 #: Texts of a shingle that meet in one block of a join; results do not depend on it.
 BLOCK = 2000
 
@@ -86,26 +94,45 @@ def frequent_shingles(keyed: DataFrame) -> np.ndarray:
     return np.sort(counts.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()["key"].to_numpy().view(np.uint64))
 
 
+def _sketch(own: np.ndarray) -> bytes:
+    """Counts of own's hashes in 2 ** k equal ranges, a byte each; nothing where there are no hashes or a count is too large."""
+    bits = max(0, (-(-len(own) // RANGED) - 1).bit_length())
+    counts = np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if bits else np.array([len(own)])
+    return counts.astype(np.uint8).tobytes() if len(own) and counts.max() < 256 else b""
+
+
+def _most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """At most so many shingles are in both sets of sketches x and y; the finer one is summed to the ranges of the other."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(1)).sum())
+
+
 def _prefixes(shared, limit: float):
-    """Of each text the size of its set and the first shingles in the fixed order; [0] for a text without words."""
+    """Of each text the size of its set, its sketch and the first shingles in the fixed order; [0] for a text without words."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in batches:
-            made, sizes = [], []
+            made, sizes, sketches = [], [], []
             for text in batch.column(1):
                 own = shingle_set(text.as_py(), SHINGLE_WORDS)
                 late = frequent[np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)] == own if len(frequent) else np.zeros(len(own), bool)
                 first = len(own) - int(np.ceil(limit * len(own) - 1e-9)) + 1
                 made.append(np.concatenate((own[~late], own[late]))[:first].view(np.int64) if len(own) else np.zeros(1, np.int64))
                 sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))], names=["digest", "n", "keys"])
+                sketches.append(_sketch(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.array(made, pa.list_(pa.int64()))], names=["digest", "n", "sketch", "keys"])
 
     return prefixes
 
 
 def _shared_prefixes(texts: DataFrame, keyed: DataFrame, limit: float, scratch: Scratch) -> DataFrame:
-    """(key, id, n, p, held) of prefix shingles that held > 1 texts share, written; key is at place p of n shingles.
+    """(key, id, n, p, held) of prefix shingles that held > 1 texts share, written; key is at place p of n shingles."""
+    return _prefixes_and_sketches(texts, keyed, limit, scratch)[0]
+
+
+def _prefixes_and_sketches(texts: DataFrame, keyed: DataFrame, limit: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """What _shared_prefixes gives, and (id, sketch) of all texts, written.
 
     The number of texts of each prefix shingle is exact and over all tasks. Where one has too many and does not yet go
     last, it does from then on, and prefixes are made anew. What is still crowded after some rounds is joined in blocks.
@@ -115,20 +142,22 @@ def _shared_prefixes(texts: DataFrame, keyed: DataFrame, limit: float, scratch:
     for left in reversed(range(ROUNDS)):
         own = Scratch(spark)
         shared = spark.sparkContext.broadcast(frequent)
-        made = keyed.select("digest", "text").mapInArrow(_prefixes(shared, limit), "digest string, n int, keys array<long>").dropDuplicates(["digest"])
-        made = own.table(made.join(texts, "digest").select("id", "n", "keys"), "prefixes")
+        made = keyed.select("digest", "text").mapInArrow(_prefixes(shared, limit), "digest string, n int, sketch binary, keys array<long>").dropDuplicates(["digest"])
+        made = own.table(made.join(texts, "digest").select("id", "n", "sketch", "keys"), "prefixes")
         shared.destroy()
         rows = made.select("id", "n", F.posexplode("keys").alias("p", "key"))
         held = made.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("held")).where("held > 1")
         found = Scratch(spark)
         rows = found.table(rows.join(held, "key"), "shared")
-        own.clear()
         crowded = rows.where(F.col("held") >= CROWDED).groupBy("key").agg(F.max("held").alias("held"))
         keys = crowded.orderBy(F.desc("held"), "key").limit(FREQUENT).toArrow()["key"].to_numpy().view(np.uint64)
         added = np.setdiff1d(keys, frequent)[: 2 * FREQUENT - len(frequent)]
         if not left or not len(added):
+            sketches = scratch.table(made.select("id", "sketch"), "sketches")
+            own.clear()
             scratch.paths += found.paths
-            return rows
+            return rows, sketches
+        own.clear()
         found.clear()
         frequent = np.union1d(frequent, added)
 
@@ -152,6 +181,21 @@ def _similar(limit: float):
     return similar
 
 
+def _allowed(limit: float):
+    """Pairs whose sketches do not exclude the limit; empty ones exclude nothing."""
+
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_py(), np.uint8).astype(np.int64) for v in (x, y))
+                n, m = int(x.sum()), int(y.sum())
+                kept.append(not (n and m) or min(n, m) >= limit * max(n, m) - 1e-9 and _most_shared(x, y) >= limit / (1 + limit) * (n + m) - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    return allowed
+
+
 def _possible(limit: float) -> Column:
     """Sets of n and m shingles that meet at places p and q of the order can reach the limit, if they meet there first."""
     least = F.lit(limit / (1 + limit)) * (F.col("n") + F.col("m")) - 1e-6
@@ -192,10 +236,16 @@ def _open_pairs(rows: DataFrame, linked: DataFrame, limit: float, scratch: Scrat
     return left.join(right, ["key", "block"]).where("ca < cb").where(_possible(limit)).select("a", "b")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, limit: float, scratch: Scratch) -> DataFrame:
+def _ends(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """(a, b, x, y): the pairs with column name of values (id, name) for either end."""
+    left, right = values.select(F.col("id").alias("a"), F.col(name).alias("x")), values.select(F.col("id").alias("b"), F.col(name).alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, docs: DataFrame, limit: float, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of ids whose sets reach the limit, written."""
     own = Scratch(docs.sparkSession)
-    pairs = own.table(_ordered(pairs).distinct(), "pairs")
+    pairs = own.table(_ends(_ordered(pairs).distinct(), sketches, "sketch").mapInArrow(_allowed(limit), "a long, b long"), "pairs")
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     named = own.table(ends.join(texts, "id").select("id", "digest"), "named")
     # one row of docs for each text; each task keeps one of its equal texts before any is moved
@@ -204,8 +254,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, limit: float,
     else:
         one = docs.select("digest", "text").dropDuplicates(["digest"]).join(named, "digest").select("id", "text")
     sets = own.table(one.mapInArrow(_sets, "id long, set binary"), "sets")
-    left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("x")), sets.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    found = scratch.table(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(limit), "a long, b long"), "links")
+    found = scratch.table(_ends(pairs, sets, "set").mapInArrow(_similar(limit), "a long, b long"), "links")
     own.clear()
     return found
 
@@ -215,7 +264,7 @@ def near_duplicate_groups(docs: DataFrame, similarity: float = SIMILARITY) -> Da
 
     Groups: chains of texts that are similar. Texts without words, null ones included, are one group.
     """
-    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH)):
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=str(BATCH), **CLEANED):
         return _groups(docs, similarity)
 
 
@@ -224,10 +273,10 @@ def _groups(docs: DataFrame, similarity: float) -> DataFrame:
     scratch = Scratch(spark)
     keyed = docs.select("doc_id", "text", text_digest().alias("digest"))
     texts = materialize(keyed.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumn("id", F.monotonically_increasing_id()), "texts")
-    rows = _shared_prefixes(texts, keyed, similarity, scratch)
+    rows, sketches = _prefixes_and_sketches(texts, keyed, similarity, scratch)
     near = _central_pairs(rows, similarity).union(_simhash_pairs(texts.select("digest", "id"), keyed, scratch))
-    links = _verified(near, texts, keyed, similarity, scratch)
-    rest = _verified(_open_pairs(rows, connected_components(links), similarity, scratch), texts, keyed, similarity, scratch)
+    links = _verified(near, texts, sketches, keyed, similarity, scratch)
+    rest = _verified(_open_pairs(rows, connected_components(links), similarity, scratch), texts, sketches, keyed, similarity, scratch)
     linked = materialize(connected_components(links.union(rest)), "linked")
     scratch.clear()
     joined = texts.join(linked.withColumnRenamed("node", "id"), "id", "left")
@@ -245,7 +294,8 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> Dat
     groups = near_duplicate_groups(docs, similarity)
     kept = groups.groupBy("component").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest")).alias("one"))
     kept = kept.select("one.least", "one.digest")
+    # one column names a row's id, null or not, and its text, so that rows move once for both steps; digests are of one length
+    name = lambda digest, least: F.concat(digest, F.coalesce(F.concat(F.lit("="), F.col(least).cast("string")), F.lit(""))).alias("name")
     # whole rows in one column, so that no name can clash
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("row_id"), text_digest().alias("row_digest"))
-    same = whole["row_id"].eqNullSafe(kept["least"]) & (whole["row_digest"] == kept["digest"])
-    return whole.join(kept, same, "left_semi").dropDuplicates(["row_id", "row_digest"]).select("row.*")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), name(text_digest(), "doc_id"))
+    return whole.join(kept.select(name(F.col("digest"), "least")), "name", "left_semi").dropDuplicates(["name"]).select("row.*")

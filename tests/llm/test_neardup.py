@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -178,3 +179,51 @@ def test_counting_shingles_holds_little(monkeypatch):
     tracemalloc.stop()
     assert peak < 12 * 8 * counted and len(part)
     assert all(n <= own[k] for k, n in zip(part["key"].to_pylist(), part["n"].to_pylist()))
+
+
+def test_sketches_bound_what_sets_share(monkeypatch):
+    r = np.random.Generator(np.random.PCG64(4))
+    for n in (1, 3, 4, 5, 17, 64, 65, 300, 5000):
+        base = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        for kept in (0.0, 0.5, 0.85, 1.0):
+            other = np.unique(np.concatenate((base[: int(kept * len(base))], r.integers(0, 1 << 64, max(1, int((1 - kept) * n)), np.uint64))))
+            x, y = (np.frombuffer(neardup._sketch(s), np.uint8).astype(np.int64) for s in (base, other))
+            assert x.sum() == len(base) and y.sum() == len(other) and len(x) <= max(1, n)
+            assert neardup._most_shared(x, y) == neardup._most_shared(y, x) >= len(np.intersect1d(base, other))
+            if n >= 64 and not kept:
+                assert neardup._most_shared(x, y) < 0.85 * n
+    assert neardup._sketch(np.empty(0, np.uint64)) == b"" == neardup._sketch(np.arange(300, dtype=np.uint64))  # these exclude nothing
+
+
+def test_only_likely_pairs_are_verified(spark, monkeypatch):
+    """Two texts each share half their words, in prefixes too, and are not similar; one more text is."""
+    rng = random.Random(9)
+    own = lambda tag, n: [f"{tag}w{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [own(f"s{k}", 150) for k in range(20)]
+    rows = [(k, " ".join(shared[k % 20] + own(f"t{k}", 150))) for k in range(40)]
+    rows.append((40, rows[7][1] + " and one more"))
+    moved, table = [], Scratch.table
+
+    def counted(self, df, what):
+        made = table(self, df, what)
+        moved.extend([made.count()] if what == "sets" else [])
+        return made
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    kept = neardup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(40))
+    assert moved == [2, 0]
+
+
+def test_shuffle_files_go_and_rows_move_once(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: sum(1 for k in range(blocks.getAllBlocks().size()) if blocks.getAllBlocks().apply(k).isShuffle())
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    spark._jvm.System.gc()
+    time.sleep(3)
+    before = shuffled()
+    kept = neardup.drop_near_duplicates(docs)
+    time.sleep(3)
+    assert shuffled() <= before
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(name") == 2  # the rows, and the names of those that stay
